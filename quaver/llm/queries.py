@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from quaver.llm import quality
+from quaver.llm import minimax_shards, quality, token_store, url_filter
 
-QUERIES = {"op5_quality": quality.op5_quality}
-ORACLES = {"op5_quality": quality.OP5_SQL}
+QUERIES = {
+    "op2_minimax_shards": minimax_shards.op2_minimax_shards,
+    "op3_url_filter": url_filter.op3_url_filter,
+    "op5_quality": quality.op5_quality,
+    "op10_token_store": token_store.op10_token_store,
+}
+ORACLES = {
+    "op3_url_filter": url_filter.OP3_SQL,
+    "op5_quality": quality.OP5_SQL,
+}
