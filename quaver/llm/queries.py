@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quaver.llm import minimax_shards, quality, token_store, url_filter
+from quaver.llm import decontaminate, minimax_shards, quality, simhash, token_store, url_filter
 
 QUERIES = {
     "op2_minimax_shards": minimax_shards.op2_minimax_shards,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_quality": quality.op5_quality,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op9_simhash": simhash.op9_simhash,
     "op10_token_store": token_store.op10_token_store,
 }
 ORACLES = {
     "op3_url_filter": url_filter.OP3_SQL,
     "op5_quality": quality.OP5_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
 }
