@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quaver.llm import decontaminate, minimax_shards, quality, simhash, token_store, url_filter
+from quaver.llm import decontaminate, minimax_shards, quality, simhash, suffix_tree_lm, token_store, url_filter
 
 QUERIES = {
+    "op1_suffix_tree_lm": suffix_tree_lm.op1_suffix_tree_lm,
     "op2_minimax_shards": minimax_shards.op2_minimax_shards,
     "op3_url_filter": url_filter.op3_url_filter,
     "op5_quality": quality.op5_quality,
