@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quaver.llm import decontaminate, minimax_shards, quality, simhash, suffix_tree_lm, token_store, url_filter
+from quaver.llm import decontaminate, minimax_shards, piece_codec, quality, simhash, suffix_tree_lm, token_store, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_tree_lm": suffix_tree_lm.op1_suffix_tree_lm,
     "op2_minimax_shards": minimax_shards.op2_minimax_shards,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality": quality.op5_quality,
+    "op6_piece_codec": piece_codec.op6_piece_codec,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_simhash": simhash.op9_simhash,
     "op10_token_store": token_store.op10_token_store,

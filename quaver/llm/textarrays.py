@@ -76,8 +76,18 @@ class Words:
         _grow(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUES[self.data] * _powers[:n], out=total[1:])
-        value = (total[self.end] - total[self.start]) * _inverse[self.start]
-        self.hash = mix(value + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self._total = total
+        self.hash = self._hash(self.start, self.end)
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        value = (self._total[end] - self._total[start]) * _inverse[start]
+        return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash of its first n bytes) of the words with more than n bytes."""
+        at = np.flatnonzero(self.end - self.start > n)
+        start = self.start[at]
+        return at, self._hash(start, start + n) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b-1, space-joined."""

@@ -1,0 +1,104 @@
+import random
+
+import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+from quaver.llm import piece_codec, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_viterbi(vocabulary, text):
+    best = [(0.0, ())] + [None] * len(text)
+    for j in range(1, len(text) + 1):
+        for i in range(max(0, j - vocabulary.longest), j):
+            part = text[i:j]
+            if part in vocabulary.pieces:
+                step, ids = vocabulary.pieces[part][1], (vocabulary.pieces[part][0],)
+            elif j == i + 1:
+                step, ids = vocabulary.unknown, tuple(vocabulary.byte_ids[b] for b in part.encode())
+            else:
+                continue
+            value = best[i][0] + step
+            if best[j] is None or value > best[j][0]:
+                best[j] = (value, best[i][1] + ids)
+    return best[-1]
+
+
+def total(vocabulary, ids, text):
+    scores = {i: s for i, s in vocabulary.pieces.values()}
+    characters = sum(1 for c in text if c not in vocabulary.pieces)
+    return sum(scores[i] for i in ids if i in scores) + characters * vocabulary.unknown
+
+
+def test_streaming_equals_full_viterbi():
+    rng = random.Random(4)
+    for round_ in range(60):
+        names = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(12)} | {"a", "b"}
+        vocabulary = piece_codec.Pieces({s: (1000 + k, -rng.random() * 9) for k, s in enumerate(sorted(names))}, list(range(256)))
+        text = "".join(rng.choice("abcx") for _ in range(rng.randint(1, 200)))
+        assert tuple(piece_codec.viterbi_stream(vocabulary, text)) == plain_viterbi(vocabulary, text)[1], (round_, text)
+
+
+def test_codec_round_trip_and_score(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    hard = [None, "", " ", "  a  b ", "▁ mark", "tab\tnew\nline", "😀 é", "z" * 500, "x y" * 90, "\x00"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(hard)] + [(None, "n", 1), (2, " ", 1)], "doc_id long, text string, n_ids long")
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text", F.lit(2).cast("long").alias("n_ids"))
+    docs = docs.union(texts)
+    out = piece_codec.encode(docs, path)
+    assert out.where("not round_trip").count() == 0 and out.count() == docs.count()
+    back = {(r["doc_id"], r["text"]) for r in piece_codec.decode(out.select("doc_id", "ids"), path).collect()}
+    assert back == {(r["doc_id"], r["text"] or "") for r in docs.collect()}
+    vocabulary = piece_codec.Pieces.from_file(path)
+    for r in out.join(texts.limit(3).select("doc_id", "text"), "doc_id").collect():
+        text = " " + r["text"]
+        assert np.isclose(total(vocabulary, r["ids"], text), plain_viterbi(vocabulary, text)[0])
+    assert piece_codec.encode(docs.limit(0), path).count() == 0
+
+
+def test_neighbours_are_exact():
+    rng = np.random.default_rng(2)
+    vocabulary = toxicity.Vocabulary(rng.integers(1, 2**62, 40, dtype=np.uint64))
+    idf = 1 + rng.random(40)
+    rows = []
+    for i in range(500):
+        terms = sorted(rng.choice(40, rng.integers(0, 6), replace=False).tolist())
+        rows.append({"doc_id": i, "toxic": int(rng.random() < 0.5), "terms": terms, "counts": rng.integers(1, 4, len(terms)).tolist()})
+    index = toxicity._index(rows, vocabulary, idf, {0: 2.0, 1: 1.0})
+    dense = np.zeros((len(index.doc_ids), 40))
+    by_id = {r["doc_id"]: r for r in rows}
+    for k, d in enumerate(index.doc_ids):
+        r = by_id[int(d)]
+        dense[k, r["terms"]] = index.weight(np.array(r["terms"]), np.array(r["counts"]))
+    for _ in range(50):
+        term = np.sort(rng.choice(40, 4, replace=False))
+        weight = index.weight(term, rng.integers(1, 4, 4))
+        cosines = dense[:, term] @ weight
+        best, got = index.nearest(term, weight)
+        assert np.allclose(got, np.sort(cosines)[::-1][: len(got)]) and len(got) == min(15, (cosines > 0).sum())
+
+
+def test_monotone_fit():
+    x, y = toxicity.monotone(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), np.ones(4))
+    assert list(y) == sorted(y) and y[0] == 0 and y[-1] == 1
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").toPandas()
+    hit = rows[(rows["predicted"] == 1) & (rows["toxic"] == 1)]
+    assert len(hit) >= 0.9 * (rows["toxic"] == 1).sum() and len(hit) >= 0.97 * (rows["predicted"] == 1).sum()
+    assert rows["score"].between(0, 1).all()
+
+
+def test_toxicity_of_hard_rows(spark):
+    texts = [(i, f"plain words number {i}") for i in range(60)] + [(i, f"vile words number {i}") for i in range(60, 120)]
+    docs = spark.createDataFrame([*texts, (None, None), (200, ""), (200, "vile"), (201, "vile " * 5000)], "doc_id long, text string").withColumn("score", F.lit(1))
+    labels = spark.createDataFrame([(i, 0, int(i >= 60)) for i in range(120)] + [(None, 0, 1), (1, 0, None), (99999, 0, 1)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, index).collect()
+    assert len(out) == 124
+    assert [r["predicted"] for r in out if r["doc_id"] == 201] == [1] and [r["predicted"] for r in out if r["doc_id"] is None] == [0]
+    assert all(r["predicted"] == 0 for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect())
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
