@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine.
 
-Terms are words and the first four to six bytes of words. ``fit`` picks terms
-that mark toxic examples (likelihood ratio with a least lift) from a bounded sample of
+Terms are words and the first four to eight bytes of words. ``fit`` picks terms
+that mark toxic examples (likelihood ratio with a least share of toxic rows) from a bounded sample of
 labelled rows, takes their document frequencies over all documents, and builds an
 inverted index of the sample's vectors over these terms. Postings are cut into
 blocks of examples with the block's greatest weight on record: a query visits
@@ -36,8 +36,8 @@ from quaver.llm.common import stored
 from quaver.llm.textarrays import ALPHANUMERIC, Words, text_slices
 
 MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 4000, 1024, 15, 64
-STEMS = (4, 5, 6)
-LEAST_GAIN, LEAST_LIFT, LEAST_ROWS = 25.0, 3.0, 4
+STEMS = (4, 5, 6, 8)
+LEAST_GAIN, LEAST_SHARE, LEAST_ROWS = 25.0, 0.6, 4
 THRESHOLD = 0.3
 SCORED = "score double, predicted int, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>, terms array<string>"
 
@@ -220,8 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     clean = F.col("n") - F.col("a")
     gain = 2 * (F.col("a") * F.log(F.col("a") / expected) + F.when(clean > 0, clean * F.log(clean / (F.col("n") - expected))).otherwise(0.0))
     toxic_share = F.col("a") * share.get(1, 0.0) / (F.col("a") * share.get(1, 0.0) + (F.col("n") - F.col("a")) * share.get(0, 0.0))
-    prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    marked = terms.where((gain >= LEAST_GAIN) & (toxic_share >= min(0.5, LEAST_LIFT * prior)) if all_toxic else F.lit(False))
+    marked = terms.where((gain >= LEAST_GAIN) & (toxic_share >= LEAST_SHARE) if all_toxic else F.lit(False))
     chosen = [r["term"] for r in marked.orderBy(gain.desc(), "term").limit(MAX_TERMS).collect()]
     vocabulary = Vocabulary(np.array(chosen, np.int64).view(np.uint64))
     frequency, n = _frequencies(docs, vocabulary)
