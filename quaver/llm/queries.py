@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaver.llm import decontaminate, minimax_shards, piece_codec, quality, simhash, suffix_tree_lm, token_store, toxicity, url_filter
+from quaver.llm import decontaminate, main_text, minimax_shards, piece_codec, quality, simhash, suffix_tree_lm, token_store, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_tree_lm": suffix_tree_lm.op1_suffix_tree_lm,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality": quality.op5_quality,
     "op6_piece_codec": piece_codec.op6_piece_codec,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_main_text": main_text.op8_main_text,
     "op9_simhash": simhash.op9_simhash,
     "op10_token_store": token_store.op10_token_store,
 }
