@@ -185,6 +185,14 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate")
+    found = find_contamination(rows.select("doc_id", F.col("_row").alias("row"), "text"), benchmark)
+    bad = stored(found.where(contaminated()).select(F.col("row").alias("_row")), "contaminated")
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
+
+
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")

@@ -83,7 +83,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` and ``fp``, the fingerprint's bits as a long."""
-    rows = docs.select(*keep, text)
+    rows = docs.select(*keep, F.col(text).alias("_hashed_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_fingerprints, f"{fields}, fp long")
 
@@ -189,13 +189,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
-    """Add ``component_id`` to stored rows with ``doc_id`` and ``fp``."""
+    """Add ``component_id`` and ``root``, the component's least fingerprint, to stored rows with ``doc_id`` and ``fp``."""
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(link_edges(distinct))
     by_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     by_root = stored(by_root, "roots")
     least = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(by_root.select("fp", "root").join(least, "root"), "fp").select(*rows.columns, "component_id")
+    return rows.join(by_root.select("fp", "root").join(least, "root"), "fp").select(*rows.columns, "component_id", "root")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the least id of each component, one a component."""
+    columns = docs.columns
+    rows = stored(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), (*columns, "_row")), "simhash")
+    marked = near_duplicates(rows.select("_row", "doc_id", "fp"))
+    first = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
+    return rows.join(first.select("first._row"), "_row", "left_semi").select(columns)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Symbols are lower-cased words and an end of text. The root's distribution is the
 smoothed word frequency, with one unknown word that gets the discounted mass. A
-context of one or two words becomes a state if it is frequent enough and passes a
+context of one or two words becomes a state if its empirical probability is large enough and it passes a
 divergence test against its parent: the mean gain in log-likelihood over the
 parent's distribution on its own occurrences, each left out in turn, must reach
 ``min_gain`` nats. A state's distribution is its counts smoothed towards its
@@ -42,9 +42,11 @@ from pyspark.sql import functions as F
 from quaver.llm.common import new_path, partitions, stored
 from quaver.llm.textarrays import NOT_WHITE, Words, mix, text_slices
 
-BLOCK_BYTES = 8 << 20
-#: Occurrences that a context needs, strength of the parent in a state, nats of the test, discount of the root.
-MIN_COUNT, PRIOR, MIN_GAIN, DISCOUNT = 12, 4.0, 0.02, 0.5
+BLOCK_BYTES = 6 << 20
+#: Occurrences and share of all training tokens that a context needs.
+MIN_COUNT, MIN_SHARE = 12, 1e-6
+#: Strength of the parent in a state, nats of the test, discount of the root.
+PRIOR, MIN_GAIN, DISCOUNT = 4.0, 0.02, 0.5
 END = np.uint64(0x45D9F3B3335B369)
 KEY_BITS = 50
 MESSAGE = "bucket int, block string, kind string, keys binary, numbers binary"
@@ -68,6 +70,11 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
+def least_count(total: int) -> int:
+    """Occurrences that a context needs among ``total`` training tokens."""
+    return max(MIN_COUNT, int(np.ceil(MIN_SHARE * total)))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     task, seq = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -104,16 +111,16 @@ class Block:
     def words_message(self):
         return self.words, np.bincount(self.local[self.train], minlength=len(self.words)).astype(np.uint32)
 
-    def count_words(self) -> np.ndarray:
+    def count_words(self, total: int) -> None:
         self.count = self.answer("word", np.uint32).astype(np.int64)
-        return self.count
+        self.least = least_count(total)
 
     def contexts(self, depth: int):
         """Positions with ``depth`` words of their text before them, all frequent, and the context's key."""
         at = np.arange(depth, len(self.local))
         fits = self.doc[at - depth] == self.doc[at]
         for back in range(1, depth + 1):
-            fits &= self.count[self.local[at - back]] >= MIN_COUNT
+            fits &= self.count[self.local[at - back]] >= self.least
         at = at[fits]
         context = np.full(len(at), np.uint64(depth))
         for back in range(1, depth + 1):
@@ -154,7 +161,7 @@ class Block:
             at, context = self.contexts(depth)
             # A context is itself a successor one depth lower, or a word.
             self.context[depth, at] = self.count[self.local[at - 1]] if depth == 1 else self.seen[1, at - 1]
-            frequent = self.context[depth, at] >= MIN_COUNT
+            frequent = self.context[depth, at] >= self.least
             self.key[depth] = (at[frequent], context[frequent])
 
     def smoothed(self, depth: int, at: np.ndarray, parent: np.ndarray, less: int = 0) -> np.ndarray:
@@ -282,7 +289,7 @@ def score_texts(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
             if not len(left):
                 return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
             block = Block(next(left.itertuples()), right)
-            block.count_words()
+            block.count_words(total)
             return function(block)
 
         return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)

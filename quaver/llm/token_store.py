@@ -97,56 +97,79 @@ class Segment:
         return (high << self.low_bits) + (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
 
+#: What the byte-level tokenizer cuts texts into before it merges, a fixed value.
+PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts of these characters alone are cut here; all libraries agree on their classes.
+PLAIN = re.compile(r"[\t\n\r !-~\u00a1-\u024f]*")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes: visible Latin-1 characters for themselves, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class CachedEncoder:
-    """A byte-level BPE tokenizer behind a cache of the pieces between spaces.
+    """A byte-level BPE tokenizer behind a cache of its pre-tokens.
 
-    The pre-tokenizer never joins what stands before a space to the space and the
-    visible character after it, so such a text is the concatenation of its pieces,
-    each with its space. Texts in which white space follows a space, or that hold a
-    special token, are encoded whole. The cache is emptied at ``limit`` pieces.
+    Texts of plain characters are cut into pre-tokens here, and only those not seen
+    before go through the merges. Texts with other characters, or with a special
+    token, are encoded whole. After ``limit`` additions a new cache begins, which
+    takes what it needs from the one before.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model, self.pretokens, self.letters = self.tokenizer.model, regex.compile(PRETOKENS), _byte_letters()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" \s", r" \Z", *special]))
-        self.clear()
-
-    def clear(self) -> None:
-        self.first, self.rest = {}, {}
-        self.flat, self.starts, self.lengths = array.array("I"), array.array("q"), array.array("q")
-
-    def _learn(self, known: dict, pieces: set, prefix: str) -> None:
-        new = [p for p in pieces if p not in known]
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast([prefix + p for p in new], add_special_tokens=False)):
-            known[piece] = len(self.starts)
-            ids = got.ids
-            self.starts.append(len(self.flat))
-            self.lengths.append(len(ids))
-            self.flat.extend(ids)
+        self.special = re.compile("|".join(special) or r"(?!)")
+        self.kind, self.dtype = ("I", np.uint32) if self.tokenizer.get_vocab_size() > 1 << 16 else ("H", np.uint16)
+        self.turn()
+        self.turn()
+
+    def turn(self) -> None:
+        self.old = getattr(self, "now", None)
+        #: Pre-token to number; by number, where its ids start and how many there are.
+        self.now = ({}, array.array(self.kind), array.array("q"), array.array("I"))
+
+    def _learn(self, tokens: list[str]) -> None:
+        index, flat, starts, lengths = self.now
+        old, old_flat, old_starts, old_lengths = self.old
+        for token in tokens:
+            start = len(flat)
+            if (at := old.get(token)) is not None:
+                flat.extend(old_flat[old_starts[at] : old_starts[at] + old_lengths[at]])
+            else:
+                letters = token.encode().decode("latin-1").translate(self.letters)
+                flat.extend([t.id for t in self.model.tokenize(letters)])
+            index[token] = len(starts)
+            starts.append(start)
+            lengths.append(len(flat) - start)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.starts) > self.limit:
-            self.clear()
-        split = [None if self.whole.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in split if p}, "")
-        self._learn(self.rest, set().union(*(p[1:] for p in split if p)), " ")
-        flat, starts, lengths = (np.frombuffer(a, d) if len(a) else np.zeros(0, d) for a, d in ((self.flat, np.uint32), (self.starts, np.int64), (self.lengths, np.int64)))
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, split) if p is None], add_special_tokens=False))
+        if len(self.now[0]) > self.limit:
+            self.turn()
+        index = self.now[0]
+        plain = [PLAIN.fullmatch(t) is not None and self.special.search(t) is None for t in texts]
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
+        codes = []
+        for text, p in zip(texts, plain):
+            tokens = self.pretokens.findall(text) if p else []
+            self._learn([t for t in set(tokens) if t not in index])
+            codes.append(np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens)))
+        flat, starts, lengths = (np.frombuffer(a, d) if len(a) else np.zeros(0, d) for a, d in zip(self.now[1:], (self.dtype, np.int64, np.uint32)))
         out = []
-        for pieces in split:
-            if pieces is None:
-                out.append(np.array(next(whole).ids, np.uint32))
+        for at, p in zip(codes, plain):
+            if not p:
+                out.append(np.array(next(whole).ids, self.dtype))
                 continue
-            codes = np.empty(len(pieces), np.int64)
-            codes[0] = self.first[pieces[0]]
-            codes[1:] = list(map(self.rest.__getitem__, pieces[1:]))
-            sizes = lengths[codes]
+            sizes = lengths[at].astype(np.int64)
             ends = np.cumsum(sizes)
-            out.append(flat[np.repeat(starts[codes] - ends + sizes, sizes) + np.arange(ends[-1])])
-        del flat, starts, lengths
+            out.append(flat[np.repeat(starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
         return out
 
 
@@ -195,7 +218,7 @@ def segments(docs: DataFrame, tokenizer_path: str, end_id: int = 0, text: str =
             for a, b in slices(texts):
                 for name, ids in zip(doc_ids[a:b], encoder.encode(texts[a:b])):
                     names.append(name)
-                    arrays.append(np.append(ids, np.uint32(end_id)))
+                    arrays.append(np.append(ids, encoder.dtype(end_id)))
                     held += len(ids) + 1
                     if held >= SEGMENT_IDS or len(names) >= SEGMENT_DOCS:
                         yield close()

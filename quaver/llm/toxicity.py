@@ -272,7 +272,7 @@ def _index(rows: list, vocabulary: Vocabulary, idf: np.ndarray, share: dict[int,
 def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the columns of ``SCORED``; the index has a bounded number of examples and terms."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    rows = docs.select(*keep, "text")
+    rows = docs.select(*keep, F.col("text").alias("_scored_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

@@ -28,7 +28,7 @@ def plain_scores(rows):
     smooth = lambda k, h, s, parent, less=0: (max(nxt[k][h, s] - less, 0) + lm.PRIOR * parent) / (size[k][h] - less + lm.PRIOR)
 
     def frequent(h):
-        return all(c[x] >= lm.MIN_COUNT for x in h) and size[len(h)][h] >= lm.MIN_COUNT
+        return all(c[x] >= lm.least_count(total) for x in h) and size[len(h)][h] >= lm.least_count(total)
 
     gain = defaultdict(lambda: [0.0, 0.0])
     for k in (1, 2):
