@@ -97,8 +97,11 @@ def linked(x: np.ndarray) -> np.ndarray:
     return (tally >= MATCHES) & (np.bitwise_count(x) <= BITS)
 
 
-def spanning_edges(fps: np.ndarray, tile: int = 1024) -> list[tuple[int, int]]:
-    """Edges that connect what the links between distinct ``fps`` connect."""
+def spanning_edges(fps: np.ndarray, tile: int = 128) -> list[tuple[int, int]]:
+    """Edges that connect what the links between distinct ``fps`` connect.
+
+    Frontier and rest meet in tiles, so that memory stays at a few MB.
+    """
     out = []
     left = fps
     while len(left) > 1:
