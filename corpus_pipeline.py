@@ -23,7 +23,9 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.apply_policy(quality.ledger(docs), "v2").where("kept").select(docs.columns)
+    # The ledger is a table: a filter on its bits must not pull the rules' expressions into itself.
+    ledger = stored(quality.ledger(docs), "quality-ledger")
+    return quality.apply_policy(ledger, "v2").where("kept").select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
