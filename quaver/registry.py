@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quaver.plans import search, spans, tables, vectors
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | spans.QUERIES | tables.QUERIES | vectors.QUERIES
+ORACLES: dict[str, str] = search.ORACLES | spans.ORACLES | tables.ORACLES | vectors.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,4 +27,6 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Times without a zone are read as UTC, whatever the session's zone was.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
