@@ -204,8 +204,8 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the least id of each component, one a component."""
     columns = docs.columns
-    rows = stored(fingerprints(docs.withColumn("_row", F.monotonically_increasing_id()), (*columns, "_row")), "simhash")
-    marked = near_duplicates(rows.select("_row", "doc_id", "fp"))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    marked = near_duplicates(stored(fingerprints(rows, ("_row", "doc_id")), "simhash"))
     first = marked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first"))
     return rows.join(first.select("first._row"), "_row", "left_semi").select(columns)
 
