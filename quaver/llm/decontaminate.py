@@ -33,6 +33,7 @@ from quaver.llm.textarrays import ALPHANUMERIC, Words, text_slices
 
 SIZE = 13
 SCANNED = "doc_id long, row long, n_words long, hits array<long>, items array<string>"
+FOUND = "doc_id long, row long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
 
 
 class Windows:
@@ -122,7 +123,9 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
+def _scan(docs: DataFrame, windows: Windows, only: bool) -> DataFrame:
+    """Hits of a block's windows; the finished rows where it is the only block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, offsets, data in text_slices(batch.column(2)):
@@ -141,7 +144,9 @@ def _scan(docs: DataFrame, windows: Windows) -> DataFrame:
                     names=["doc_id", "row", "n_words", "hits", "items"],
                 )
 
-    return docs.select("doc_id", "row", "text").mapInArrow(run, SCANNED)
+    texts = docs.select("doc_id", "row", "text")
+    # One Python function a task: two in a row would take two workers.
+    return texts.mapInArrow(lambda batches: _covered(run(batches)), FOUND) if only else texts.mapInArrow(run, SCANNED)
 
 
 def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +179,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE,
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         windows = Windows([tuple(r) for r in own.collect()], size)
         windows.order(word_counts(docs, windows.vocabulary()))
-        scan = _scan(docs, windows)
+        scan = _scan(docs, windows, blocks == 1)
         scans = scan if scans is None else scans.union(scan)
-    if blocks > 1:
-        scans = scans.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
-    return scans.mapInArrow(_covered, "doc_id long, row long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>")
+    if blocks == 1:
+        return scans
+    scans = scans.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
+    return scans.mapInArrow(_covered, FOUND)
 
 
 def contaminated() -> Column:
