@@ -16,7 +16,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from quaver.llm import decontaminate, piece_codec, quality, simhash, toxicity
-from quaver.llm.common import read, stored
+from quaver.llm.common import read, small_batches, stored
 
 #: No SQL: fingerprints, nearest examples and the segmentation are beyond it.
 ORACLE_SQL = None
@@ -29,19 +29,23 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     index = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.score(docs, index, tuple(docs.columns)).where("predicted = 0").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -272,13 +272,15 @@ def _index(rows: list, vocabulary: Vocabulary, idf: np.ndarray, share: dict[int,
 def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the columns of ``SCORED``; the index has a bounded number of examples and terms."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    rows = docs.select(*keep, F.col("text").alias("_scored_text"))
+    # A text that is kept goes to Python once.
+    rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("_scored_text"))
+    text_at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            for first, offsets, data in text_slices(batch.column(len(keep))):
+            for first, offsets, data in text_slices(batch.column(text_at)):
                 words = Words(offsets, data, ALPHANUMERIC)
                 doc, term, count, place = index.vocabulary.vectors(words)
                 cut = np.searchsorted(doc, np.arange(len(offsets)))
