@@ -2,7 +2,7 @@
 
 Symbols are lower-cased words and an end of text. The root's distribution is the
 smoothed word frequency, with one unknown word that gets the discounted mass. A
-context of one or two words becomes a state if its empirical probability is large enough and it passes a
+context of one or two words becomes a state if it occurs ``MIN_COUNT`` times and passes a
 divergence test against its parent: the mean gain in log-likelihood over the
 parent's distribution on its own occurrences, each left out in turn, must reach
 ``min_gain`` nats. A state's distribution is its counts smoothed towards its
@@ -43,8 +43,8 @@ from quaver.llm.common import new_path, partitions, stored
 from quaver.llm.textarrays import NOT_WHITE, Words, mix, text_slices
 
 BLOCK_BYTES = 6 << 20
-#: Occurrences and share of all training tokens that a context needs.
-MIN_COUNT, MIN_SHARE = 12, 1e-6
+#: Occurrences that a context needs, in a corpus of any size.
+MIN_COUNT = 12
 #: Strength of the parent in a state, nats of the test, discount of the root.
 PRIOR, MIN_GAIN, DISCOUNT = 4.0, 0.02, 0.5
 END = np.uint64(0x45D9F3B3335B369)
@@ -71,8 +71,8 @@ def held_out(doc_id) -> bool:
 
 
 def least_count(total: int) -> int:
-    """Occurrences that a context needs among ``total`` training tokens."""
-    return max(MIN_COUNT, int(np.ceil(MIN_SHARE * total)))
+    """Occurrences that a context needs among ``total`` training tokens: no more in a larger corpus."""
+    return MIN_COUNT
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:

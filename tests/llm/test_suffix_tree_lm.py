@@ -83,3 +83,12 @@ def test_empty_table(spark):
 def test_nothing_to_train_on(spark):
     out = lm.score_texts(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
     assert out["held_out"] and out["train_tokens"] == 0 and out["score"] == 0 and out["base_score"] == 0
+
+
+def test_contexts_of_a_small_corpus_stay_in_a_large_one(spark):
+    rare = [(i, "rare pair") for i in range(20)]
+    large = spark.range(100, 116).select(F.col("id").alias("doc_id"), F.expr("repeat('filler ', 1600000)").alias("text"))
+    out = lm.score_texts(spark.createDataFrame(rare, "doc_id long, text string").union(large)).where("doc_id < 100").collect()
+    trained = sum(not r["held_out"] for r in out)
+    assert lm.MIN_COUNT <= trained <= 20 and out[0]["train_tokens"] > 20_000_000
+    assert {r["n_states"] for r in out} == {2}
