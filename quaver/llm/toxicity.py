@@ -38,6 +38,8 @@ from quaver.llm.textarrays import ALPHANUMERIC, Words, text_slices
 MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 4000, 1024, 15, 64
 STEMS = (4, 5, 6, 8)
 LEAST_GAIN, LEAST_SHARE, LEAST_ROWS = 25.0, 0.6, 4
+#: Marks and share of all long words that a copy has in common with its original.
+COPY_MARKS, COPY_SHARE = 3, 0.5
 THRESHOLD = 0.3
 SCORED = "score double, predicted int, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>, terms array<string>"
 
@@ -180,24 +182,45 @@ def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, i
     return out, n
 
 
+def _copies(hashes: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
+    """Rows that share ``COPY_MARKS`` marks and ``COPY_SHARE`` of both rows' words with one and the same earlier row that stays."""
+    drop = np.zeros(len(hashes), bool)
+    kept: dict[tuple[int, int], list[int]] = {}
+    for i, (own, row) in enumerate(zip(hashes, marks)):
+        if not len(own):
+            continue
+        lists = [kept.setdefault((k, int(m)), []) for k, m in enumerate(row)]
+        earlier, shared = np.unique(np.array([j for x in lists for j in x], np.int64), return_counts=True)
+        for j in earlier[shared >= COPY_MARKS]:
+            both = len(np.intersect1d(own, hashes[j], assume_unique=True))
+            if both >= COPY_SHARE * (len(own) + len(hashes[j]) - both):
+                drop[i] = True
+                break
+        if not drop[i]:
+            for x in lists:
+                x.append(i)
+    return drop
+
+
 def _without_copies(sample: DataFrame) -> DataFrame:
     """One example of each group of copies, so that their words count once.
 
-    Eight hash functions each mark a text by the least hash of its long words. A
-    row goes if at least three of its marks are an earlier row's too.
+    Eight hash functions each mark a text by the least hash of its long words.
+    Rows with three marks of an earlier row are compared with that row.
     """
     long = F.filter(common.words(F.col("text")), lambda w: F.octet_length(w) >= 9)
-    hashes = F.transform(long, lambda w: F.xxhash64(w))
+    hashes = F.array_distinct(F.transform(long, lambda w: F.xxhash64(w)))
 
     def least(k: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(k))))
+        return F.array_min(F.transform(F.col("hashes"), lambda h: F.xxhash64(h, F.lit(k))))
 
-    marks = F.array(*[F.struct(F.lit(k).alias("k"), least(k).alias("mark")) for k in range(8)])
     sample = stored(sample.select("*", F.monotonically_increasing_id().alias("_row")), "toxic-sample")
-    each = sample.select("_row", F.inline(marks)).where("mark is not null")
-    first = each.groupBy("k", "mark").agg(F.min("_row").alias("_first"))
-    copies = each.join(first, ["k", "mark"]).where("_first < _row").groupBy("_row").agg(F.count("*").alias("n")).where("n >= 3")
-    return stored(sample.join(copies, "_row", "left_anti").select("doc_id", "toxic", "text"), "toxic-sample")
+    each = sample.select("_row", "doc_id", hashes.alias("hashes")).select("*", F.array(*[least(k) for k in range(8)]).alias("marks"))
+    # At most twice MAX_EXAMPLES rows, and repeats of their ids.
+    rows = each.where(F.size("hashes") > 0).toPandas().sort_values(["doc_id", "_row"])
+    drop = _copies(list(rows["hashes"]), list(rows["marks"]))
+    copies = sample.sparkSession.createDataFrame([(int(r),) for r in rows["_row"][drop]], "_row long")
+    return stored(sample.join(F.broadcast(copies), "_row", "left_anti").select("doc_id", "toxic", "text"), "toxic-sample")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:

@@ -103,3 +103,13 @@ def test_toxicity_of_hard_rows(spark):
     assert [r["predicted"] for r in out if r["doc_id"] == 201] == [1] and [r["predicted"] for r in out if r["doc_id"] is None] == [0]
     assert all(r["predicted"] == 0 for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect())
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_only_true_copies_leave_the_sample(spark):
+    rng = random.Random(7)
+    words = [f"longword{k:04d}" for k in range(400)]
+    rows = [(i, i % 2, " ".join(rng.sample(words, 60))) for i in range(300)]
+    near = [(1000 + i, 0, f"{rows[i][2]} anotherword") for i in range(20)]
+    sample = spark.createDataFrame(rows + near + [(2000 + i, 0, "short ones") for i in range(3)], "doc_id long, toxic int, text string")
+    left = [r["doc_id"] for r in toxicity._without_copies(sample).collect()]
+    assert sorted(left) == [*range(300), 2000, 2001, 2002]
