@@ -11,7 +11,9 @@ often a host repeats them. A page with an article keeps that, whole; of other
 pages the unmarked blocks' unique runs stay.
 
 Pages that are copies of each other count as one page for a run. A host's pages
-are split into batches of about ``BATCH_BYTES`` of source.
+are split into batches of about ``BATCH_BYTES`` of source. Runs that a host with
+several batches repeats are found over all of them first, by 64-bit hashes of each
+``MIN_RUN`` tokens, and each batch is given those that it holds.
 
 Defined results: null and empty pages give the empty text. Null ids and urls, and
 repeated rows, stay rows of their own; a null url belongs to the nameless host.
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.common import stored
+from quaver.llm.textarrays import mix
 from quaver.llm.url_filter import host
 
 MIN_RUN, MIN_PAGES, BATCH_BYTES = 8, 3, 3 << 20
@@ -196,8 +199,36 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN, pages: in
     return np.cumsum(delta[:-1]) > 0
 
 
-def _clean(frame: pd.DataFrame) -> pd.DataFrame:
-    """One batch of a host: its suffix array, and each page's text."""
+def _hashes(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, object), categorize=False)
+
+
+def window_keys(words: list[str], host: str | None) -> np.ndarray:
+    """A hash of the host and each ``MIN_RUN`` tokens of a page."""
+    n = max(0, len(words) - MIN_RUN + 1)
+    keys = np.full(n, _hashes(["\0" if host is None else host])[0], np.uint64)
+    own = _hashes(words) if n else keys
+    for k in range(MIN_RUN):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n])
+    return keys
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _parsed(batches):
+        for host, batch, texts in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(5).to_pylist()):
+            text = "\n".join(texts)
+            keys = np.unique(window_keys(text.split(), host)).view(np.int64)
+            page = np.full(len(keys), _hashes([text])[0], np.uint64).view(np.int64)
+            yield pa.record_batch(
+                [pa.array(keys), pa.array(page), pa.array([host] * len(keys), pa.string()), pa.array(np.full(len(keys), batch, np.int32))],
+                names=["key", "page", "host", "batch"],
+            )
+
+
+def _clean(frame: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+    """One batch of a host: its suffix array, the runs that it shares with other batches, and each page's text."""
+    if not len(frame):
+        return pd.DataFrame(columns=["page_id", "url", "text", "n_repeated"])
     frame = frame.sort_values(["page_id", "url"], kind="stable")
     #: Copies stand for one page: the first one's stream is in the array, the others share its answer.
     first: dict[str, int] = {}
@@ -207,6 +238,13 @@ def _clean(frame: pd.DataFrame) -> pd.DataFrame:
     sizes = np.array([len(s) for s in streams])
     covered = repeated(np.concatenate(streams), np.repeat(np.arange(len(streams)), sizes))
     start = np.cumsum(sizes) - sizes
+    if len(shared):
+        elsewhere = np.sort(shared["key"].to_numpy(np.int64))
+        for text, at in zip(first, start):
+            keys = window_keys(text.split(), frame["host"].iloc[0]).view(np.int64)
+            place = np.minimum(np.searchsorted(elsewhere, keys), len(elsewhere) - 1)
+            for k in at + np.flatnonzero(elsewhere[place] == keys):
+                covered[k : k + MIN_RUN] = True
     out, counts = [], []
     for copy, kinds, texts in zip(copy_of, frame["kinds"], frame["texts"]):
         own = covered[start[copy] : start[copy] + sizes[copy]]
@@ -237,9 +275,13 @@ def main_texts(pages: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     hint = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
     rows = rows.join(hint, "host", "left")
     batch = F.coalesce(F.pmod(F.xxhash64("url", "html"), F.col("batches")), F.lit(0)).cast("int")
-    rows = rows.select("page_id", "url", "host", batch.alias("batch"), "html")
+    rows = rows.select("page_id", "url", "host", batch.alias("batch"), "html", "batches")
+    windows = rows.where("batches is not null").drop("batches").mapInArrow(_windows, "key long, page long, host string, batch int")
+    held = windows.groupBy("host", "key").agg(F.collect_set("page").alias("pages"), F.collect_set("batch").alias("own"))
+    shared = held.where(F.size("pages") >= MIN_PAGES).select("host", F.explode("own").alias("batch"), "key")
+    rows = rows.drop("batches")
     parsed = rows.mapInArrow(_parsed, "page_id long, url string, host string, batch int, kinds array<int>, texts array<string>")
-    out = parsed.groupBy("host", "batch").applyInPandas(_clean, "page_id long, url string, text string, n_repeated long")
+    out = parsed.groupBy("host", "batch").cogroup(shared.groupBy("host", "batch")).applyInPandas(_clean, "page_id long, url string, text string, n_repeated long")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 

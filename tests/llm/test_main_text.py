@@ -60,3 +60,13 @@ def test_pages_without_article(spark):
         out = sorted(main_text.main_texts(pages, size).collect(), key=lambda r: (r["page_id"] is None, r["page_id"]))
         assert [r["text"] for r in out] == [f"one{i} two{i} three{i} four{i}\n{i}" for i in (0, 0, 1, 2, 3, 4)] + ["", "", menu]
     assert main_text.main_texts(pages.limit(0)).count() == 0
+
+
+def test_runs_repeated_across_batches(spark):
+    menu = "home news sport weather travel music books games"
+    rows = [(i, f"http://h.org/{i}", f"<div>{menu}</div><p>one{i} two{i} three{i} four{i}</p>") for i in range(12)]
+    rows += [(100 + i, f"http://h.org/c{i}", "<p>a b c d e f g h copy</p>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (1 << 20, 300, 1):
+        out = {r["page_id"]: (r["text"], r["n_repeated"]) for r in main_text.main_texts(pages, size).collect()}
+        assert out == {i: (f"one{i} two{i} three{i} four{i}", 8) for i in range(12)} | {100 + i: ("a b c d e f g h copy", 0) for i in range(6)}
