@@ -2,21 +2,29 @@
 
 Each page is walked once and cut into blocks of three kinds: those of its article
 or main element, those that elements or their names mark as menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments, and the rest. The
-token streams of a host's pages are concatenated, and a suffix array over them, by
-prefix doubling, finds the runs of ``MIN_RUN`` tokens and more that ``MIN_PAGES``
-distinct pages share. What such a run covers is boilerplate unless the page says
-that it is its article: passages and copies that articles share are text, however
-often a host repeats them. A page with an article keeps that, whole; of other
-pages the unmarked blocks' unique runs stay.
-
-Pages that are copies of each other count as one page for a run. A host's pages
-are split into batches of about ``BATCH_BYTES`` of source. Runs that a host with
-several batches repeats are found over all of them first, by 64-bit hashes of each
-``MIN_RUN`` tokens, and each batch is given those that it holds.
+footers, sidebars, notices, adverts, forms or reader comments, and the rest.
+
+The token streams of a host's pages, blocks of all kinds in page order, go through
+a suffix array: tasks gather pages into blocks of about ``BLOCK_BYTES`` of source,
+sort the suffixes of a block's streams by their first ``MIN_RUN`` tokens with prefix
+doubling, and merge the classes of equal suffixes with those of all other blocks by
+a 64-bit key of host and tokens. So a run is known by all pages of its host, however
+the pages were dealt and however large the host is, and no host sits in one task.
+
+A run of ``MIN_RUN`` tokens that ``MIN_PAGES`` distinct pages of a host share is
+judged by where it stands; pages with equal tokens and kinds count once. What articles share,
+such as quoted passages and near copies, is text, also where single adverts say the
+same. So of an article only the blocks go that are filled from end to end by runs
+which at least half of the host's pages have outside of their article: the notices
+and menus of a site. A page without article loses every word of its unmarked blocks that
+is covered by runs which fewer than half of their pages have in an article. What is
+left is the text: the article's blocks, or without one the unmarked ones.
+
+Tokens are compared without regard to the case of A-Z, by 64-bit hashes.
 
 Defined results: null and empty pages give the empty text. Null ids and urls, and
-repeated rows, stay rows of their own; a null url belongs to the nameless host.
+repeated rows, stay rows of their own; a null url belongs to the nameless host. An
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,16 +36,17 @@ from html.parser import HTMLParser
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import stored
-from quaver.llm.textarrays import mix
+from quaver.llm import exchange
+from quaver.llm.common import small_batches, stored
+from quaver.llm.exchange import packed, unpacked
+from quaver.llm.textarrays import NOT_WHITE, Words, mix
 from quaver.llm.url_filter import host
 
-MIN_RUN, MIN_PAGES, BATCH_BYTES = 8, 3, 3 << 20
-#: Hosts beyond one batch are broadcast up to this number.
-BROADCAST_HOSTS = 500_000
+MIN_RUN, MIN_PAGES, BLOCK_BYTES = 8, 3, 4 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object head title canvas audio video".split())
 MARKED = frozenset("nav footer aside form button select textarea dialog menu".split())
@@ -52,32 +61,60 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|comments?|disqus|repl(?:y|ies)|"
     r"sidebar|nav|navbar|navigation|menu|breadcrumbs?|footer|share|sharing|social|newsletter|subscribe|related|popup|modal|widget|skip)(?:$|[\s_-])"
 )
+#: Inside an article only whole class names count, so that no slug of a heading is taken for one.
+CLASSES = frozenset(
+    "ad ads advert advertisement sponsored promo banner cookie cookies consent notice notification comment comments replies sidebar nav navbar "
+    "navigation menu breadcrumb breadcrumbs footer share sharing social newsletter subscribe related popup modal widget".split()
+)
 ARTICLE, JUNK, REST = 0, 1, 2
 
 
 class _Walker(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        #: Open elements: (tag, kind it sets or None, silent).
+        #: Open elements (tag, kind it sets or None, silent), and how many there are of each tag and kind.
         self.open: list[tuple[str, int | None, bool]] = []
-        self.kind, self.silent, self.text = REST, 0, []
+        self.tags: dict[str, int] = {}
+        self.kinds = [0, 0, 0]
+        self.silent, self.text = 0, []
         self.blocks: list[tuple[int, str]] = []
 
     def flush(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.blocks.append((self.kind, text))
+                self.blocks.append((JUNK if self.kinds[JUNK] else ARTICLE if self.kinds[ARTICLE] else REST, text))
             self.text = []
 
-    def set_kind(self) -> None:
-        kinds = [k for _, k, _ in self.open if k is not None]
-        self.kind = JUNK if JUNK in kinds else ARTICLE if ARTICLE in kinds else REST
+    def push(self, tag: str, kind: int | None) -> None:
+        silent = tag in SILENT
+        self.open.append((tag, kind, silent))
+        self.tags[tag] = self.tags.get(tag, 0) + 1
+        self.silent += silent
+        if kind is not None:
+            self.kinds[kind] += 1
 
     def pop_to(self, depth: int) -> None:
-        for _, _, silent in self.open[depth:]:
+        for tag, kind, silent in self.open[depth:]:
+            self.tags[tag] -= 1
             self.silent -= silent
+            if kind is not None:
+                self.kinds[kind] -= 1
         del self.open[depth:]
-        self.set_kind()
+
+    def is_marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        inside = self.kinds[ARTICLE] > 0
+        if tag in MARKED or tag == "header" and not inside:
+            return True
+        if not attrs:
+            return False
+        named = {k: (v or "").lower() for k, v in attrs}
+        if named.get("role") in ROLES or "hidden" in named or named.get("aria-hidden") == "true":
+            return True
+        if "style" in named and re.search(r"display\s*:\s*none", named["style"]):
+            return True
+        if inside:
+            return not CLASSES.isdisjoint(named.get("class", "").split())
+        return tag not in ("html", "body", "article", "main") and any(NAMES.search(named[a]) for a in ("class", "id") if a in named)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -86,36 +123,19 @@ class _Walker(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        named = {k: (v or "").lower() for k, v in attrs}
-        inside = any(k == ARTICLE for _, k, _ in self.open)
-        marked = (
-            tag in MARKED
-            or tag == "header" and not inside
-            or named.get("role") in ROLES
-            or "hidden" in named
-            or named.get("aria-hidden") == "true"
-            or re.search(r"display\s*:\s*none", named.get("style", "")) is not None
-            or tag not in ("html", "body") and any(NAMES.search(named.get(a, "")) for a in ("class", "id"))
-        )
-        if tag in IMPLIED:
+        if tag in IMPLIED and self.tags.get(tag):
             for depth in range(len(self.open) - 1, -1, -1):
                 if self.open[depth][0] == tag:
                     self.pop_to(depth)
                     break
                 if self.open[depth][0] in BLOCKS and self.open[depth][0] not in IMPLIED:
                     break
-        kind = JUNK if marked else ARTICLE if tag in ("article", "main") or named.get("role") == "main" else None
-        if kind == ARTICLE and not inside:
+        article = tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs)
+        kind = JUNK if self.is_marked(tag, attrs) else ARTICLE if article else None
+        if kind == ARTICLE and not self.kinds[ARTICLE] and self.kinds[JUNK]:
             # An article inside an element that was left open does not belong to it.
-            for depth, (_, k, _) in enumerate(self.open):
-                if k == JUNK:
-                    self.pop_to(depth)
-                    break
-        silent = tag in SILENT
-        self.open.append((tag, kind, silent))
-        self.silent += silent
-        if kind is not None:
-            self.set_kind()
+            self.pop_to(next(depth for depth, (_, k, _) in enumerate(self.open) if k == JUNK))
+        self.push(tag, kind)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag in SILENT:
@@ -126,6 +146,8 @@ class _Walker(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
+        if not self.tags.get(tag):
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
                 self.pop_to(depth)
@@ -147,141 +169,198 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
     return walker.blocks
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, 256):
-            part = batch.slice(first, 256)
-            pages = [blocks_of(html.as_py() or "") for html in part.column(4)]
-            kinds = pa.array([[k for k, _ in blocks] for blocks in pages], pa.list_(pa.int32()))
-            texts = pa.array([[t for _, t in blocks] for blocks in pages], pa.list_(pa.string()))
-            yield pa.record_batch([*part.columns[:4], kinds, texts], names=["page_id", "url", "host", "batch", "kinds", "texts"])
-
+def suffix_classes(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the suffixes that have ``run`` tokens of their page left, and their classes.
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN, pages: int = MIN_PAGES) -> np.ndarray:
-    """Tokens covered by runs of ``run`` and more tokens that ``pages`` distinct pages share.
-
-    ``tokens`` are numbers; ``page`` is each token's page, not falling. Ranks of
-    prefixes double in length until they reach ``run``; the order of the ranks is
-    the suffix array, its equal neighbours are the repeats. Runs end at page ends.
+    ``tokens`` are numbers; ``page`` is each token's page, not falling. Ranks of prefixes
+    double in length until they reach ``run``; suffixes of equal rank are the array's
+    neighbours with a common prefix of that length.
     """
     n = len(tokens)
-    covered = np.zeros(n, bool)
-    if not n:
-        return covered
-    # Each page is followed by a token of its own.
-    ends = np.flatnonzero(np.append(page[1:] != page[:-1], True))
-    place = np.arange(n) + page - page[0]
-    size = place[-1] + 2
-    rank = np.empty(size, np.int64)
-    rank[:] = -1
-    _, rank[place] = np.unique(tokens, return_inverse=True)
-    holes = np.flatnonzero(rank < 0)
-    rank[holes] = rank.max() + 1 + np.arange(len(holes))
+    if n < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, rank = np.unique(tokens, return_inverse=True)
     length = 1
     while length < run:
         step = min(length, run - length)
-        second = np.full(size, -1, np.int64)
-        second[: size - step] = rank[step:]
-        _, rank = np.unique(rank * (size + 1) + second + 1, return_inverse=True)
+        second = np.zeros(n, np.int64)
+        second[: n - step] = rank[step:] + 1
+        _, rank = np.unique(rank * (n + 1) + second, return_inverse=True)
         length += step
-    own = rank[place]
-    suffixes = np.lexsort((page, own))
-    by_rank, by_page = own[suffixes], page[suffixes]
-    new_rank = np.append(True, by_rank[1:] != by_rank[:-1])
-    new_page = new_rank | np.append(True, by_page[1:] != by_page[:-1])
-    group = np.cumsum(new_rank) - 1
-    shared = np.bincount(group, new_page) >= pages
-    starts = np.sort(suffixes[shared[group]])
-    last_of_page = ends[np.searchsorted(ends, starts)]
-    delta = np.zeros(n + 1, np.int64)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, np.minimum(starts + run, last_of_page + 1), -1)
-    return np.cumsum(delta[:-1]) > 0
-
-
-def _hashes(words: list[str]) -> np.ndarray:
-    return pd.util.hash_array(np.array(words, object), categorize=False)
-
-
-def window_keys(words: list[str], host: str | None) -> np.ndarray:
-    """A hash of the host and each ``MIN_RUN`` tokens of a page."""
-    n = max(0, len(words) - MIN_RUN + 1)
-    keys = np.full(n, _hashes(["\0" if host is None else host])[0], np.uint64)
-    own = _hashes(words) if n else keys
-    for k in range(MIN_RUN):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + own[k : k + n])
-    return keys
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _parsed(batches):
-        for host, batch, texts in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(5).to_pylist()):
-            text = "\n".join(texts)
-            keys = np.unique(window_keys(text.split(), host)).view(np.int64)
-            page = np.full(len(keys), _hashes([text])[0], np.uint64).view(np.int64)
-            yield pa.record_batch(
-                [pa.array(keys), pa.array(page), pa.array([host] * len(keys), pa.string()), pa.array(np.full(len(keys), batch, np.int32))],
-                names=["key", "page", "host", "batch"],
-            )
-
-
-def _clean(frame: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-    """One batch of a host: its suffix array, the runs that it shares with other batches, and each page's text."""
-    if not len(frame):
-        return pd.DataFrame(columns=["page_id", "url", "text", "n_repeated"])
-    frame = frame.sort_values(["page_id", "url"], kind="stable")
-    #: Copies stand for one page: the first one's stream is in the array, the others share its answer.
-    first: dict[str, int] = {}
-    copy_of = [first.setdefault("\n".join(texts), len(first)) for texts in frame["texts"]]
-    known: dict[str, int] = {}
-    streams = [np.array([known.setdefault(t, len(known)) for t in text.split()], np.int64) for text in first]
-    sizes = np.array([len(s) for s in streams])
-    covered = repeated(np.concatenate(streams), np.repeat(np.arange(len(streams)), sizes))
-    start = np.cumsum(sizes) - sizes
-    if len(shared):
-        elsewhere = np.sort(shared["key"].to_numpy(np.int64))
-        for text, at in zip(first, start):
-            keys = window_keys(text.split(), frame["host"].iloc[0]).view(np.int64)
-            place = np.minimum(np.searchsorted(elsewhere, keys), len(elsewhere) - 1)
-            for k in at + np.flatnonzero(elsewhere[place] == keys):
-                covered[k : k + MIN_RUN] = True
-    out, counts = [], []
-    for copy, kinds, texts in zip(copy_of, frame["kinds"], frame["texts"]):
-        own = covered[start[copy] : start[copy] + sizes[copy]]
-        counts.append(int(own.sum()))
-        if ARTICLE in kinds:
-            out.append("\n".join(t for k, t in zip(kinds, texts) if k == ARTICLE))
-            continue
-        at, blocks = 0, []
-        for kind, text in zip(kinds, texts):
-            words = text.split()
-            free = " ".join(w for w, c in zip(words, own[at : at + len(words)]) if not c) if kind == REST else ""
-            at += len(words)
-            if free:
-                blocks.append(free)
-        out.append("\n".join(blocks))
-    return pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": out, "n_repeated": counts})
-
-
-def main_texts(pages: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    places = np.flatnonzero(page[: n - run + 1] == page[run - 1 :])
+    return places, rank[places]
+
+
+def _streams(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of parsed pages with the classes of their suffixes."""
+    task, seq = TaskContext.get().partitionId(), 0
+    rows: list = []
+    held = 0
+
+    def close() -> pa.RecordBatch:
+        nonlocal seq
+        texts = [t for r in rows for _, t in r[3]]
+        n_blocks = np.array([len(r[3]) for r in rows], np.int64)
+        column = pa.array(texts, pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64, len(texts) + 1)
+        words = Words(offsets, np.frombuffer(column.buffers()[2] or b"", np.uint8), NOT_WHITE)
+        page_of_block = np.repeat(np.arange(len(rows)), n_blocks)
+        page = page_of_block[words.doc]
+        hosts = pd.util.hash_array(np.array(["\0" if r[2] is None else r[2] for r in rows], object), categorize=False)
+        tokens = mix(words.hash ^ hosts[page])
+        places, classes = suffix_classes(tokens, page)
+        _, first, local = np.unique(classes, return_index=True, return_inverse=True)
+        keys = np.zeros(len(first), np.uint64)
+        for k in range(MIN_RUN):
+            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + tokens[places[first] + k])
+        keys, again = np.unique(keys, return_inverse=True)
+        kinds = np.array([k for r in rows for k, _ in r[3]], np.uint8)
+        # A page's stream: its tokens in order, and the kinds of their blocks.
+        turn = np.arange(len(tokens)) * 3 + kinds[words.doc] - np.searchsorted(page, page) * 3
+        own = mix(tokens + turn.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
+        cut = np.searchsorted(page, np.arange(len(rows) + 1))
+        streams = mix(total[cut[1:]] - total[cut[:-1]] + hosts)
+        sizes = np.bincount(words.doc, minlength=len(texts)).astype(np.uint32)
+        row = [
+            f"{task}-{seq}", [r[0] for r in rows], [r[1] for r in rows], texts, packed(n_blocks.astype(np.uint32)), packed(kinds), packed(sizes),
+            packed(streams), packed(hosts), packed(keys), packed(again[local].astype(np.uint32)), len(keys),
+        ]
+        seq += 1
+        return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
+
+    for batch in batches:
+        for page_id, url, name, html in zip(*(batch.column(k) for k in range(4))):
+            html = html.as_py() or ""
+            rows.append((page_id.as_py(), url.as_py(), name.as_py(), blocks_of(html)))
+            held += len(html)
+            if held >= block_bytes:
+                yield close()
+                rows, held = [], 0
+    if rows:
+        yield close()
+
+
+_BLOCK = pa.schema(
+    [("block", pa.string()), ("page_ids", pa.list_(pa.int64())), ("urls", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))]
+    + [(c, pa.binary()) for c in ("n_blocks", "kinds", "sizes", "streams", "hosts", "keys", "local")]
+    + [("n_keys", pa.int64())]
+)
+BLOCK_SCHEMA = "block string, page_ids array<long>, urls array<string>, texts array<string>, n_blocks binary, kinds binary, sizes binary, streams binary, hosts binary, keys binary, local binary, n_keys long"
+OUT = "page_id long, url string, text string, n_repeated long"
+
+
+class _Layout:
+    """Where a block's tokens and suffixes stand."""
+
+    def __init__(self, row):
+        n_blocks, self.kinds, self.sizes = unpacked(row.n_blocks, np.uint32), unpacked(row.kinds, np.uint8), unpacked(row.sizes, np.uint32).astype(np.int64)
+        self.pages = len(n_blocks)
+        self.block_of_token = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.page_of_block = np.repeat(np.arange(self.pages), n_blocks)
+        page = self.page_of_block[self.block_of_token]
+        self.places = np.flatnonzero(page[: max(0, len(page) - MIN_RUN + 1)] == page[MIN_RUN - 1 :])
+        self.page = page[self.places]
+        self.local = unpacked(row.local, np.uint32).astype(np.int64)
+
+
+def _first_blocks(place: np.ndarray, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """1 for the first entry of each key."""
+    out = np.zeros(len(place), np.uint8)
+    out[np.unique(place, return_index=True)[1]] = 1
+    return out
+
+
+def _pages(place: np.ndarray, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Distinct pages of each key, and in the high half how many of them have it in their article."""
+    sums = sums.astype(np.uint64)
+    return (sums[:, 0] | sums[:, 1] << np.uint64(32))[place]
+
+
+def main_texts(pages: DataFrame, block_bytes: int = BLOCK_BYTES, array: bool = True) -> DataFrame:
     """``page_id, url, text, n_chars, n_repeated`` of pages with ``page_id``, ``url`` and ``html``.
 
-    ``n_repeated`` counts the words of the page, of whatever kind, that repeated runs cover.
+    ``n_repeated`` counts the words of the page, of whatever kind, that shared runs cover.
+    Without ``array`` no run counts as shared, for comparison.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), "html")
-    sizes = rows.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1).alias("bytes"))
-    large = stored(sizes.where(F.col("bytes") > batch_bytes).select("host", F.ceil(F.col("bytes") / batch_bytes).cast("int").alias("batches")), "large-hosts")
-    # One row for each host beyond a batch.
-    hint = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
-    rows = rows.join(hint, "host", "left")
-    batch = F.coalesce(F.pmod(F.xxhash64("url", "html"), F.col("batches")), F.lit(0)).cast("int")
-    rows = rows.select("page_id", "url", "host", batch.alias("batch"), "html", "batches")
-    windows = rows.where("batches is not null").drop("batches").mapInArrow(_windows, "key long, page long, host string, batch int")
-    held = windows.groupBy("host", "key").agg(F.collect_set("page").alias("pages"), F.collect_set("batch").alias("own"))
-    shared = held.where(F.size("pages") >= MIN_PAGES).select("host", F.explode("own").alias("batch"), "key")
-    rows = rows.drop("batches")
-    parsed = rows.mapInArrow(_parsed, "page_id long, url string, host string, batch int, kinds array<int>, texts array<string>")
-    out = parsed.groupBy("host", "batch").cogroup(shared.groupBy("host", "batch")).applyInPandas(_clean, "page_id long, url string, text string, n_repeated long")
+    blocks = rows.mapInArrow(lambda batches: _streams(batches, block_bytes), BLOCK_SCHEMA)
+    with exchange.block_table(blocks, "main_text_blocks") as blocks:
+        n_keys = blocks.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
+        buckets = exchange.bucket_count(n_keys, 2)
+
+        def send_streams(row) -> pd.DataFrame:
+            keys = np.unique(unpacked(row.streams, np.uint64))
+            return exchange.messages(row.block, keys, np.ones(len(keys), np.uint8), buckets)
+
+        def counted(row, replies: pd.DataFrame) -> np.ndarray:
+            """The pages that stand for their stream."""
+            streams = unpacked(row.streams, np.uint64)
+            out = np.zeros(len(streams), bool)
+            out[np.unique(streams, return_index=True)[1]] = exchange.answer(replies, np.uint8) > 0
+            return out
+
+        def send_hosts(row, replies: pd.DataFrame) -> pd.DataFrame:
+            keys, place = np.unique(unpacked(row.hosts, np.uint64), return_inverse=True)
+            n = np.bincount(place, counted(row, replies), len(keys)).astype(np.uint32)
+            return exchange.messages(row.block, keys, np.stack([n, np.zeros_like(n)], 1), buckets)
+
+        def send_runs(row, replies: pd.DataFrame) -> pd.DataFrame:
+            at, counts = _Layout(row), counted(row, replies)
+            # Tokens of articles before each place, and so whether a run has any.
+            before = np.concatenate([[0], np.cumsum(at.kinds[at.block_of_token] == ARTICLE)])
+            article = before[at.places + MIN_RUN] > before[at.places]
+            keep = counts[at.page]
+            pair, where = np.unique(at.local[keep] * at.pages + at.page[keep], return_inverse=True)
+            inside = np.bincount(where, article[keep], len(pair)) > 0
+            keys = unpacked(row.keys, np.uint64)
+            numbers = np.stack([np.bincount(pair // at.pages, minlength=len(keys)), np.bincount(pair // at.pages, inside, len(keys))], 1)
+            return exchange.messages(row.block, keys, numbers.astype(np.uint32), buckets)
+
+        def finish(row, replies: pd.DataFrame) -> pd.DataFrame:
+            at = _Layout(row)
+            of_runs, of_hosts = replies[replies["bucket"] >= 0], replies[replies["bucket"] < 0]
+            both = exchange.answer(of_runs, np.uint64)[at.local] if array and len(at.local) else np.zeros(len(at.local), np.uint64)
+            total, inside = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.int64)
+            host_pages = exchange.answer(of_hosts.assign(bucket=-of_hosts["bucket"]), np.uint64).astype(np.int64)
+            host_pages = host_pages[np.unique(unpacked(row.hosts, np.uint64), return_inverse=True)[1]]
+            repeats = total >= MIN_PAGES
+            everywhere = repeats & (2 * (total - inside) >= host_pages[at.page])
+            outside = repeats & (2 * inside < total)
+
+            def covered(places: np.ndarray) -> np.ndarray:
+                delta = np.zeros(len(at.block_of_token) + MIN_RUN + 1, np.int64)
+                np.add.at(delta, places, 1)
+                np.add.at(delta, places + MIN_RUN, -1)
+                return np.cumsum(delta)[: len(at.block_of_token)] > 0
+
+            n = len(at.sizes)
+            has_article = np.bincount(at.page_of_block, at.kinds == ARTICLE, at.pages) > 0
+            boiler = np.where(has_article[at.page_of_block[at.block_of_token]], covered(at.places[everywhere]), covered(at.places[outside]))
+            gone = np.bincount(at.block_of_token, boiler, n)
+            shared = np.bincount(at.page_of_block, np.bincount(at.block_of_token, covered(at.places[repeats]), n), at.pages)
+            start = np.cumsum(at.sizes) - at.sizes
+            out: list = [[] for _ in range(at.pages)]
+            for b, (page, kind, text) in enumerate(zip(at.page_of_block.tolist(), at.kinds.tolist(), row.texts)):
+                if kind != (ARTICLE if has_article[page] else REST) or gone[b] == at.sizes[b]:
+                    continue
+                if kind == REST and gone[b]:
+                    own = boiler[start[b] : start[b] + at.sizes[b]]
+                    text = " ".join(w for w, c in zip(text.split(" "), own) if not c)
+                out[page].append(text)
+            ids = pd.array([None if x is None or x != x else int(x) for x in row.page_ids], "Int64")
+            return pd.DataFrame({"page_id": ids, "url": list(row.urls), "text": ["\n".join(x) for x in out], "n_repeated": shared.astype(np.int64)})
+
+        firsts = exchange.tallied(exchange.sent_by(blocks, ("streams",), send_streams), np.uint8, 1, _first_blocks, "main-text-streams")
+        runs = exchange.answered(blocks, ("n_blocks", "kinds", "sizes", "streams", "keys", "local"), firsts, send_runs, exchange.MESSAGE)
+        runs = exchange.tallied(runs, np.uint32, 2, _pages, "main-text-runs")
+        hosts = exchange.answered(blocks, ("streams", "hosts"), firsts, send_hosts, exchange.MESSAGE)
+        hosts = exchange.tallied(hosts, np.uint32, 2, _pages, "main-text-hosts")
+        # Hosts' answers have negative numbers of buckets.
+        replies = runs.union(hosts.withColumn("bucket", -1 - F.col("bucket")).select(runs.columns))
+        out = exchange.answered(blocks, ("page_ids", "urls", "texts", "n_blocks", "kinds", "sizes", "hosts", "local"), replies, finish, OUT)
+        out = stored(out, "main-texts")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
