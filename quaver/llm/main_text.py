@@ -191,8 +191,52 @@ def suffix_classes(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN) ->
     return places, rank[places]
 
 
-def _streams(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of parsed pages with the classes of their suffixes."""
+class _Suffixes:
+    """A block's tokens, the suffixes of its streams and the keys of their classes.
+
+    They are worked out anew in each round: keys do not compress, so storing them
+    would take more than the pages themselves.
+    """
+
+    def __init__(self, texts: list[str], n_blocks: np.ndarray, kinds: np.ndarray, hosts: np.ndarray):
+        column = pa.array(texts, pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64, len(texts) + 1) if len(texts) else np.zeros(1, np.int64)
+        words = Words(offsets, np.frombuffer(column.buffers()[2] or b"", np.uint8), NOT_WHITE)
+        self.pages, self.kinds, self.hosts = len(n_blocks), kinds, hosts
+        self.page_of_block = np.repeat(np.arange(self.pages), n_blocks)
+        self.block_of_token = words.doc
+        self.sizes = np.bincount(words.doc, minlength=len(texts))
+        self.page_of_token = self.page_of_block[words.doc]
+        self.tokens = mix(words.hash ^ hosts[self.page_of_token])
+
+    def classes(self) -> None:
+        """Set ``places``, their ``page``, the sorted ``keys`` of the classes and each place's key in ``local``."""
+        self.places, classes = suffix_classes(self.tokens, self.page_of_token)
+        self.page = self.page_of_token[self.places]
+        _, first, local = np.unique(classes, return_index=True, return_inverse=True)
+        keys = np.zeros(len(first), np.uint64)
+        for k in range(MIN_RUN):
+            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + self.tokens[self.places[first] + k])
+        self.keys, again = np.unique(keys, return_inverse=True)
+        self.local = again[local]
+
+    def streams(self) -> np.ndarray:
+        """A hash of each page's tokens in order, with the kinds of their blocks."""
+        turn = np.arange(len(self.tokens)) * 3 + self.kinds[self.block_of_token] - np.searchsorted(self.page_of_token, self.page_of_token) * 3
+        own = mix(self.tokens + turn.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
+        cut = np.searchsorted(self.page_of_token, np.arange(self.pages + 1))
+        return mix(total[cut[1:]] - total[cut[:-1]] + self.hosts)
+
+    @classmethod
+    def of(cls, row) -> _Suffixes:
+        out = cls(list(row.texts), unpacked(row.n_blocks, np.uint32), unpacked(row.kinds, np.uint8), unpacked(row.hosts, np.uint64))
+        out.classes()
+        return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of parsed pages."""
     task, seq = TaskContext.get().partitionId(), 0
     rows: list = []
     held = 0
@@ -200,32 +244,10 @@ def _streams(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa
     def close() -> pa.RecordBatch:
         nonlocal seq
         texts = [t for r in rows for _, t in r[3]]
-        n_blocks = np.array([len(r[3]) for r in rows], np.int64)
-        column = pa.array(texts, pa.large_string())
-        offsets = np.frombuffer(column.buffers()[1], np.int64, len(texts) + 1)
-        words = Words(offsets, np.frombuffer(column.buffers()[2] or b"", np.uint8), NOT_WHITE)
-        page_of_block = np.repeat(np.arange(len(rows)), n_blocks)
-        page = page_of_block[words.doc]
+        n_blocks, kinds = np.array([len(r[3]) for r in rows], np.uint32), np.array([k for r in rows for k, _ in r[3]], np.uint8)
         hosts = pd.util.hash_array(np.array(["\0" if r[2] is None else r[2] for r in rows], object), categorize=False)
-        tokens = mix(words.hash ^ hosts[page])
-        places, classes = suffix_classes(tokens, page)
-        _, first, local = np.unique(classes, return_index=True, return_inverse=True)
-        keys = np.zeros(len(first), np.uint64)
-        for k in range(MIN_RUN):
-            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + tokens[places[first] + k])
-        keys, again = np.unique(keys, return_inverse=True)
-        kinds = np.array([k for r in rows for k, _ in r[3]], np.uint8)
-        # A page's stream: its tokens in order, and the kinds of their blocks.
-        turn = np.arange(len(tokens)) * 3 + kinds[words.doc] - np.searchsorted(page, page) * 3
-        own = mix(tokens + turn.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
-        cut = np.searchsorted(page, np.arange(len(rows) + 1))
-        streams = mix(total[cut[1:]] - total[cut[:-1]] + hosts)
-        sizes = np.bincount(words.doc, minlength=len(texts)).astype(np.uint32)
-        row = [
-            f"{task}-{seq}", [r[0] for r in rows], [r[1] for r in rows], texts, packed(n_blocks.astype(np.uint32)), packed(kinds), packed(sizes),
-            packed(streams), packed(hosts), packed(keys), packed(again[local].astype(np.uint32)), len(keys),
-        ]
+        at = _Suffixes(texts, n_blocks, kinds, hosts)
+        row = [f"{task}-{seq}", [r[0] for r in rows], [r[1] for r in rows], texts, packed(n_blocks), packed(kinds), packed(at.streams()), packed(hosts), len(at.tokens)]
         seq += 1
         return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, _BLOCK)], schema=_BLOCK)
 
@@ -243,27 +265,13 @@ def _streams(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa
 
 _BLOCK = pa.schema(
     [("block", pa.string()), ("page_ids", pa.list_(pa.int64())), ("urls", pa.list_(pa.string())), ("texts", pa.list_(pa.string()))]
-    + [(c, pa.binary()) for c in ("n_blocks", "kinds", "sizes", "streams", "hosts", "keys", "local")]
-    + [("n_keys", pa.int64())]
+    + [(c, pa.binary()) for c in ("n_blocks", "kinds", "streams", "hosts")]
+    + [("n_tokens", pa.int64())]
 )
-BLOCK_SCHEMA = "block string, page_ids array<long>, urls array<string>, texts array<string>, n_blocks binary, kinds binary, sizes binary, streams binary, hosts binary, keys binary, local binary, n_keys long"
+BLOCK_SCHEMA = "block string, page_ids array<long>, urls array<string>, texts array<string>, n_blocks binary, kinds binary, streams binary, hosts binary, n_tokens long"
 OUT = "page_id long, url string, text string, n_repeated long"
 
 
-class _Layout:
-    """Where a block's tokens and suffixes stand."""
-
-    def __init__(self, row):
-        n_blocks, self.kinds, self.sizes = unpacked(row.n_blocks, np.uint32), unpacked(row.kinds, np.uint8), unpacked(row.sizes, np.uint32).astype(np.int64)
-        self.pages = len(n_blocks)
-        self.block_of_token = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.page_of_block = np.repeat(np.arange(self.pages), n_blocks)
-        page = self.page_of_block[self.block_of_token]
-        self.places = np.flatnonzero(page[: max(0, len(page) - MIN_RUN + 1)] == page[MIN_RUN - 1 :])
-        self.page = page[self.places]
-        self.local = unpacked(row.local, np.uint32).astype(np.int64)
-
-
 def _first_blocks(place: np.ndarray, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """1 for the first entry of each key."""
     out = np.zeros(len(place), np.uint8)
@@ -285,10 +293,10 @@ def main_texts(pages: DataFrame, block_bytes: int = BLOCK_BYTES, array: bool = T
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), "html")
-    blocks = rows.mapInArrow(lambda batches: _streams(batches, block_bytes), BLOCK_SCHEMA)
+    blocks = rows.mapInArrow(lambda batches: _blocks(batches, block_bytes), BLOCK_SCHEMA)
     with exchange.block_table(blocks, "main_text_blocks") as blocks:
-        n_keys = blocks.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
-        buckets = exchange.bucket_count(n_keys, 2)
+        n_tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+        buckets = exchange.bucket_count(n_tokens, 2)
 
         def send_streams(row) -> pd.DataFrame:
             keys = np.unique(unpacked(row.streams, np.uint64))
@@ -307,24 +315,24 @@ def main_texts(pages: DataFrame, block_bytes: int = BLOCK_BYTES, array: bool = T
             return exchange.messages(row.block, keys, np.stack([n, np.zeros_like(n)], 1), buckets)
 
         def send_runs(row, replies: pd.DataFrame) -> pd.DataFrame:
-            at, counts = _Layout(row), counted(row, replies)
+            at, counts = _Suffixes.of(row), counted(row, replies)
             # Tokens of articles before each place, and so whether a run has any.
             before = np.concatenate([[0], np.cumsum(at.kinds[at.block_of_token] == ARTICLE)])
             article = before[at.places + MIN_RUN] > before[at.places]
             keep = counts[at.page]
             pair, where = np.unique(at.local[keep] * at.pages + at.page[keep], return_inverse=True)
             inside = np.bincount(where, article[keep], len(pair)) > 0
-            keys = unpacked(row.keys, np.uint64)
-            numbers = np.stack([np.bincount(pair // at.pages, minlength=len(keys)), np.bincount(pair // at.pages, inside, len(keys))], 1)
-            return exchange.messages(row.block, keys, numbers.astype(np.uint32), buckets)
+            n = len(at.keys)
+            numbers = np.stack([np.bincount(pair // at.pages, minlength=n), np.bincount(pair // at.pages, inside, n)], 1)
+            return exchange.messages(row.block, at.keys, numbers.astype(np.uint32), buckets)
 
         def finish(row, replies: pd.DataFrame) -> pd.DataFrame:
-            at = _Layout(row)
+            at = _Suffixes.of(row)
             of_runs, of_hosts = replies[replies["bucket"] >= 0], replies[replies["bucket"] < 0]
             both = exchange.answer(of_runs, np.uint64)[at.local] if array and len(at.local) else np.zeros(len(at.local), np.uint64)
             total, inside = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.int64)
             host_pages = exchange.answer(of_hosts.assign(bucket=-of_hosts["bucket"]), np.uint64).astype(np.int64)
-            host_pages = host_pages[np.unique(unpacked(row.hosts, np.uint64), return_inverse=True)[1]]
+            host_pages = host_pages[np.unique(at.hosts, return_inverse=True)[1]]
             repeats = total >= MIN_PAGES
             everywhere = repeats & (2 * (total - inside) >= host_pages[at.page])
             outside = repeats & (2 * inside < total)
@@ -353,13 +361,13 @@ def main_texts(pages: DataFrame, block_bytes: int = BLOCK_BYTES, array: bool = T
             return pd.DataFrame({"page_id": ids, "url": list(row.urls), "text": ["\n".join(x) for x in out], "n_repeated": shared.astype(np.int64)})
 
         firsts = exchange.tallied(exchange.sent_by(blocks, ("streams",), send_streams), np.uint8, 1, _first_blocks, "main-text-streams")
-        runs = exchange.answered(blocks, ("n_blocks", "kinds", "sizes", "streams", "keys", "local"), firsts, send_runs, exchange.MESSAGE)
+        runs = exchange.answered(blocks, ("texts", "n_blocks", "kinds", "streams", "hosts"), firsts, send_runs, exchange.MESSAGE)
         runs = exchange.tallied(runs, np.uint32, 2, _pages, "main-text-runs")
         hosts = exchange.answered(blocks, ("streams", "hosts"), firsts, send_hosts, exchange.MESSAGE)
         hosts = exchange.tallied(hosts, np.uint32, 2, _pages, "main-text-hosts")
         # Hosts' answers have negative numbers of buckets.
         replies = runs.union(hosts.withColumn("bucket", -1 - F.col("bucket")).select(runs.columns))
-        out = exchange.answered(blocks, ("page_ids", "urls", "texts", "n_blocks", "kinds", "sizes", "hosts", "local"), replies, finish, OUT)
+        out = exchange.answered(blocks, ("page_ids", "urls", "texts", "n_blocks", "kinds", "hosts"), replies, finish, OUT)
         out = stored(out, "main-texts")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
