@@ -5,11 +5,14 @@ or main element, those that elements or their names mark as menus, headers,
 footers, sidebars, notices, adverts, forms or reader comments, and the rest.
 
 The token streams of a host's pages, blocks of all kinds in page order, go through
-a suffix array: tasks gather pages into blocks of about ``BLOCK_BYTES`` of source,
-sort the suffixes of a block's streams by their first ``MIN_RUN`` tokens with prefix
-doubling, and merge the classes of equal suffixes with those of all other blocks by
-a 64-bit key of host and tokens. So a run is known by all pages of its host, however
-the pages were dealt and however large the host is, and no host sits in one task.
+a suffix array. Tasks gather pages into blocks of about ``BLOCK_BYTES`` of source. As
+a first sieve, each run of ``MIN_RUN`` tokens is stood for by the least hash among
+its shorter grams: equal runs have equal ones, so a run whose gram fewer than
+``MIN_PAGES`` pages of the host hold cannot be shared, and a third of all hashes does.
+The suffixes that are left are sorted by their first ``MIN_RUN`` tokens with prefix
+doubling, and the classes of equal suffixes are merged with those of all other blocks
+by a 64-bit key of host and tokens. So a run is known by all pages of its host,
+however the pages were dealt and however large the host is, and no host sits in one task.
 
 A run of ``MIN_RUN`` tokens that ``MIN_PAGES`` distinct pages of a host share is
 judged by where it stands; pages with equal tokens and kinds count once. What articles share,
@@ -47,6 +50,8 @@ from quaver.llm.textarrays import NOT_WHITE, Words, mix
 from quaver.llm.url_filter import host
 
 MIN_RUN, MIN_PAGES, BLOCK_BYTES = 8, 3, 4 << 20
+#: Tokens of a gram of the sieve.
+GRAM = 4
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object head title canvas audio video".split())
 MARKED = frozenset("nav footer aside form button select textarea dialog menu".split())
@@ -209,17 +214,43 @@ class _Suffixes:
         self.page_of_token = self.page_of_block[words.doc]
         self.tokens = mix(words.hash ^ hosts[self.page_of_token])
 
-    def classes(self) -> None:
-        """Set ``places``, their ``page``, the sorted ``keys`` of the classes and each place's key in ``local``."""
-        self.places, classes = suffix_classes(self.tokens, self.page_of_token)
+    def sieve(self) -> None:
+        """Set the ``places`` of all runs, their ``page``, the sorted ``grams`` that stand for them and each run's in ``gram``."""
+        n = max(0, len(self.tokens) - MIN_RUN + 1)
+        self.places = np.flatnonzero(self.page_of_token[:n] == self.page_of_token[MIN_RUN - 1 :])
         self.page = self.page_of_token[self.places]
-        _, first, local = np.unique(classes, return_index=True, return_inverse=True)
+        grams = np.zeros(max(0, len(self.tokens) - GRAM + 1), np.uint64)
+        for k in range(GRAM):
+            grams = mix(grams * np.uint64(0x9E3779B97F4A7C15) + self.tokens[k : k + len(grams)])
+        least = grams[:n]
+        for k in range(1, MIN_RUN - GRAM + 1):
+            least = np.minimum(least, grams[k : k + n])
+        self.grams, self.gram = np.unique(least[self.places], return_inverse=True)
+
+    def classes(self, shared: np.ndarray) -> None:
+        """Keep the runs whose gram is ``shared``; set the sorted ``keys`` of their classes and each run's key in ``local``."""
+        keep = shared[self.gram]
+        self.places, self.page = self.places[keep], self.page[keep]
+        near = self.covered(self.places)
+        at = np.flatnonzero(near)
+        # Runs do not reach from one stretch of tokens that are left into the next.
+        stretch = np.cumsum(np.append(True, np.diff(at) > 1)) if len(at) else at
+        places, classes = suffix_classes(self.tokens[at], stretch * (self.pages + 1) + self.page_of_token[at])
+        wanted = np.isin(at[places], self.places, assume_unique=True)
+        _, first, local = np.unique(classes[wanted], return_index=True, return_inverse=True)
         keys = np.zeros(len(first), np.uint64)
         for k in range(MIN_RUN):
             keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + self.tokens[self.places[first] + k])
         self.keys, again = np.unique(keys, return_inverse=True)
         self.local = again[local]
 
+    def covered(self, places: np.ndarray) -> np.ndarray:
+        """Tokens in runs that begin at ``places``."""
+        delta = np.zeros(len(self.tokens) + MIN_RUN + 1, np.int64)
+        np.add.at(delta, places, 1)
+        np.add.at(delta, places + MIN_RUN, -1)
+        return np.cumsum(delta)[: len(self.tokens)] > 0
+
     def streams(self) -> np.ndarray:
         """A hash of each page's tokens in order, with the kinds of their blocks."""
         turn = np.arange(len(self.tokens)) * 3 + self.kinds[self.block_of_token] - np.searchsorted(self.page_of_token, self.page_of_token) * 3
@@ -231,7 +262,7 @@ class _Suffixes:
     @classmethod
     def of(cls, row) -> _Suffixes:
         out = cls(list(row.texts), unpacked(row.n_blocks, np.uint32), unpacked(row.kinds, np.uint8), unpacked(row.hosts, np.uint64))
-        out.classes()
+        out.sieve()
         return out
 
 
@@ -279,6 +310,11 @@ def _first_blocks(place: np.ndarray, numbers: np.ndarray, sums: np.ndarray) -> n
     return out
 
 
+def _enough(place: np.ndarray, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """1 where enough distinct pages hold the key."""
+    return (sums[:, 0] >= MIN_PAGES).astype(np.uint8)[place]
+
+
 def _pages(place: np.ndarray, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """Distinct pages of each key, and in the high half how many of them have it in their article."""
     sums = sums.astype(np.uint64)
@@ -314,8 +350,15 @@ def main_texts(pages: DataFrame, block_bytes: int = BLOCK_BYTES, array: bool = T
             n = np.bincount(place, counted(row, replies), len(keys)).astype(np.uint32)
             return exchange.messages(row.block, keys, np.stack([n, np.zeros_like(n)], 1), buckets)
 
-        def send_runs(row, replies: pd.DataFrame) -> pd.DataFrame:
+        def send_grams(row, replies: pd.DataFrame) -> pd.DataFrame:
             at, counts = _Suffixes.of(row), counted(row, replies)
+            keep = counts[at.page]
+            pair = np.unique(at.gram[keep] * at.pages + at.page[keep])
+            return exchange.messages(row.block, at.grams, np.bincount(pair // at.pages, minlength=len(at.grams)).astype(np.uint32), buckets)
+
+        def send_runs(row, replies: pd.DataFrame) -> pd.DataFrame:
+            at, counts = _Suffixes.of(row), counted(row, replies[replies["kind"] == "stream"])
+            at.classes(exchange.answer(replies[replies["kind"] == "gram"], np.uint8) > 0)
             # Tokens of articles before each place, and so whether a run has any.
             before = np.concatenate([[0], np.cumsum(at.kinds[at.block_of_token] == ARTICLE)])
             article = before[at.places + MIN_RUN] > before[at.places]
@@ -328,26 +371,20 @@ def main_texts(pages: DataFrame, block_bytes: int = BLOCK_BYTES, array: bool = T
 
         def finish(row, replies: pd.DataFrame) -> pd.DataFrame:
             at = _Suffixes.of(row)
-            of_runs, of_hosts = replies[replies["bucket"] >= 0], replies[replies["bucket"] < 0]
-            both = exchange.answer(of_runs, np.uint64)[at.local] if array and len(at.local) else np.zeros(len(at.local), np.uint64)
+            at.classes(exchange.answer(replies[replies["kind"] == "gram"], np.uint8) > 0)
+            both = exchange.answer(replies[replies["kind"] == "run"], np.uint64)[at.local] if array else np.zeros(len(at.local), np.uint64)
             total, inside = (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.int64)
-            host_pages = exchange.answer(of_hosts.assign(bucket=-of_hosts["bucket"]), np.uint64).astype(np.int64)
+            host_pages = exchange.answer(replies[replies["kind"] == "host"], np.uint64).astype(np.int64)
             host_pages = host_pages[np.unique(at.hosts, return_inverse=True)[1]]
             repeats = total >= MIN_PAGES
             everywhere = repeats & (2 * (total - inside) >= host_pages[at.page])
             outside = repeats & (2 * inside < total)
 
-            def covered(places: np.ndarray) -> np.ndarray:
-                delta = np.zeros(len(at.block_of_token) + MIN_RUN + 1, np.int64)
-                np.add.at(delta, places, 1)
-                np.add.at(delta, places + MIN_RUN, -1)
-                return np.cumsum(delta)[: len(at.block_of_token)] > 0
-
             n = len(at.sizes)
             has_article = np.bincount(at.page_of_block, at.kinds == ARTICLE, at.pages) > 0
-            boiler = np.where(has_article[at.page_of_block[at.block_of_token]], covered(at.places[everywhere]), covered(at.places[outside]))
+            boiler = np.where(has_article[at.page_of_block[at.block_of_token]], at.covered(at.places[everywhere]), at.covered(at.places[outside]))
             gone = np.bincount(at.block_of_token, boiler, n)
-            shared = np.bincount(at.page_of_block, np.bincount(at.block_of_token, covered(at.places[repeats]), n), at.pages)
+            shared = np.bincount(at.page_of_block, np.bincount(at.block_of_token, at.covered(at.places[repeats]), n), at.pages)
             start = np.cumsum(at.sizes) - at.sizes
             out: list = [[] for _ in range(at.pages)]
             for b, (page, kind, text) in enumerate(zip(at.page_of_block.tolist(), at.kinds.tolist(), row.texts)):
@@ -360,14 +397,18 @@ def main_texts(pages: DataFrame, block_bytes: int = BLOCK_BYTES, array: bool = T
             ids = pd.array([None if x is None or x != x else int(x) for x in row.page_ids], "Int64")
             return pd.DataFrame({"page_id": ids, "url": list(row.urls), "text": ["\n".join(x) for x in out], "n_repeated": shared.astype(np.int64)})
 
+        def kind(answers: DataFrame, name: str) -> DataFrame:
+            return answers.withColumn("kind", F.lit(name))
+
+        source = ("texts", "n_blocks", "kinds", "streams", "hosts")
         firsts = exchange.tallied(exchange.sent_by(blocks, ("streams",), send_streams), np.uint8, 1, _first_blocks, "main-text-streams")
-        runs = exchange.answered(blocks, ("texts", "n_blocks", "kinds", "streams", "hosts"), firsts, send_runs, exchange.MESSAGE)
-        runs = exchange.tallied(runs, np.uint32, 2, _pages, "main-text-runs")
         hosts = exchange.answered(blocks, ("streams", "hosts"), firsts, send_hosts, exchange.MESSAGE)
-        hosts = exchange.tallied(hosts, np.uint32, 2, _pages, "main-text-hosts")
-        # Hosts' answers have negative numbers of buckets.
-        replies = runs.union(hosts.withColumn("bucket", -1 - F.col("bucket")).select(runs.columns))
-        out = exchange.answered(blocks, ("page_ids", "urls", "texts", "n_blocks", "kinds", "hosts"), replies, finish, OUT)
+        hosts = kind(exchange.tallied(hosts, np.uint32, 2, _pages, "main-text-hosts"), "host")
+        grams = exchange.answered(blocks, source, firsts, send_grams, exchange.MESSAGE)
+        grams = kind(exchange.tallied(grams, np.uint32, 1, _enough, "main-text-grams"), "gram")
+        runs = exchange.answered(blocks, source, kind(firsts, "stream").union(grams), send_runs, exchange.MESSAGE)
+        runs = kind(exchange.tallied(runs, np.uint32, 2, _pages, "main-text-runs"), "run")
+        out = exchange.answered(blocks, ("page_ids", "urls", *source[:3], "hosts"), grams.union(runs).union(hosts), finish, OUT)
         out = stored(out, "main-texts")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
