@@ -1,22 +1,28 @@
 """Toxicity by the nearest labelled examples in exact TF-IDF cosine.
 
-Terms are words and the first four to eight bytes of words. ``fit`` picks terms
-that mark toxic examples (likelihood ratio with a least share of toxic rows) from a bounded sample of
-labelled rows, takes their document frequencies over all documents, and builds an
-inverted index of the sample's vectors over these terms. Postings are cut into
-blocks of examples with the block's greatest weight on record: a query visits
-blocks in order of the upper bound that these give and stops when no block can
-reach its k-th neighbour, so that the neighbours are exact.
-
-Neighbours vote with weights that fall with distance. Leaving each example out in
-turn gives its vote; a monotone fit of labels on votes, weighted to the share of
-each class in all labelled rows, calibrates the score. A text without any of the
-terms has no neighbour and gets the share of toxic rows among such examples.
-
-``MAX_EXAMPLES`` of each class bounds the sample: the rows with the smallest hash
-of their id.
-
-Defined results: null and empty texts score as texts without terms. Rows without
+Terms are words and the first four and six bytes of longer words; the vocabulary is
+all terms of a bounded sample of labelled rows, compared by 64-bit hashes. A term
+weighs (1 + log of its count in the text) times the log of how rare it is among all
+documents, times its relevance in the sample: the square of log2(2 + toxic examples
+with it for each clean one), at shares as if both classes were equal in number. No
+term is left out for its relevance.
+
+All examples are in an inverted index. Postings are cut into blocks of examples with
+the block's greatest weight on record; a query bounds the cosine of each block by
+these, scores the blocks of highest bound, and then every other block whose bound
+reaches the k-th cosine found, so that the neighbours are exact.
+
+Neighbours vote with weights that fall with distance. For the calibration the sample is
+cut into folds: examples of a fold vote by an index of the others, with relevances of
+the others, and a monotone fit of labels on votes, weighted to the share of each class
+in all labelled rows, turns votes into scores. A text without neighbour scores as
+one with clean neighbours alone.
+
+``MAX_EXAMPLES`` of each class, in order of a hash of their id, and ``MAX_BYTES`` of their
+texts bound the sample; a labelled id that several rows have gives one text. Near copies
+of one class count as one example, so that their words count once.
+
+Defined results: null and empty texts score as texts without neighbour. Rows without
 an id are scored and never learnt from. Repeated labels of an id count as toxic if
 one says so; null labels are ignored. Without toxic examples every score is 0.
 """
@@ -27,94 +33,154 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm import common
-from quaver.llm.common import stored
+from quaver.llm.common import small_batches, stored
 from quaver.llm.textarrays import ALPHANUMERIC, Words, text_slices
 
-MAX_EXAMPLES, MAX_TERMS, NEIGHBOURS, BLOCK = 4000, 1024, 15, 64
-STEMS = (4, 5, 6, 8)
-LEAST_GAIN, LEAST_SHARE, LEAST_ROWS = 25.0, 0.6, 4
+MAX_EXAMPLES, MAX_BYTES, NEIGHBOURS, BLOCK = 3000, 32 << 20, 15, 64
+STEMS, FOLDS, PARTS = (4, 6), 4, 3
+#: Blocks that are scored before the bound is known.
+FIRST_BLOCKS = 4
 #: Marks and share of all long words that a copy has in common with its original.
 COPY_MARKS, COPY_SHARE = 3, 0.5
 THRESHOLD = 0.3
 SCORED = "score double, predicted int, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>, terms array<string>"
 
 
-def _terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(word, hash) of every term in a slice."""
+def _counted(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of a slice's terms, and sorted (document, place of its hash, count, a word with it)."""
     places, hashes = [np.arange(len(words.hash))], [words.hash]
     for n in STEMS:
         at, h = words.prefixes(n)
         places.append(at)
         hashes.append(h)
-    return np.concatenate(places), np.concatenate(hashes)
+    place = np.concatenate(places)
+    distinct, local = np.unique(np.concatenate(hashes), return_inverse=True)
+    pair, first, count = np.unique(words.doc[place] * max(1, len(distinct)) + local, return_index=True, return_counts=True)
+    return distinct, pair // max(1, len(distinct)), pair % max(1, len(distinct)), count, place[first]
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1 ... of each range, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Vocabulary:
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.filter = np.zeros(1 << 16, bool)
-        self.filter[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def vectors(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sorted (document, term, count, a word with it) of a slice."""
-        place, h = _terms(words)
-        maybe = self.filter[(h & np.uint64(0xFFFF)).astype(np.int64)]
-        place, h = place[maybe], h[maybe]
-        term = np.searchsorted(self.hashes, h)
+        distinct, doc, local, count, place = _counted(words)
+        term = np.searchsorted(self.hashes, distinct)
         term[term == len(self.hashes)] = 0
-        same = self.hashes[term] == h if len(self.hashes) else np.zeros(0, bool)
-        place, term = place[same], term[same]
-        pair, first, count = np.unique(words.doc[place] * len(self.hashes) + term, return_index=True, return_counts=True)
-        return pair // max(1, len(self.hashes)), pair % max(1, len(self.hashes)), count, place[first]
+        known = self.hashes[term] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        keep = known[local]
+        return doc[keep], term[local[keep]], count[keep], place[keep]
 
 
 @dataclass
-class Index:
-    """Block-max inverted index over examples."""
+class Examples:
+    """Term counts of examples: those of example i stand from ``cut[i]`` to ``cut[i + 1]``."""
 
-    vocabulary: Vocabulary
-    idf: np.ndarray
     doc_ids: np.ndarray
     toxic: np.ndarray
-    postings: np.ndarray
-    weights: np.ndarray
-    starts: np.ndarray
-    block_max: np.ndarray
-    calibration: tuple[np.ndarray, np.ndarray]
-    without: float
+    cut: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+    #: What an example of each class stands for.
+    share: tuple[float, float]
+
+    def part(self, rows: np.ndarray) -> Examples:
+        size = (self.cut[1:] - self.cut[:-1])[rows]
+        at = ranges(self.cut[rows], size)
+        return Examples(self.doc_ids[rows], self.toxic[rows], np.concatenate([[0], np.cumsum(size)]), self.term[at], self.count[at], self.share)
+
+    def row(self, i: int) -> slice:
+        return slice(self.cut[i], self.cut[i + 1])
+
+
+class Index:
+    """Block-max inverted index over examples."""
+
+    def __init__(self, examples: Examples, idf: np.ndarray):
+        toxic = examples.toxic.astype(bool)
+        row = np.repeat(np.arange(len(toxic)), np.diff(examples.cut))
+        with_term = [np.bincount(examples.term[toxic[row] == k], minlength=len(idf)) for k in (False, True)]
+        even = (~toxic).sum() / max(1, toxic.sum())
+        self.base = idf * np.log2(2 + with_term[1] * even / np.maximum(1, with_term[0])) ** 2
+        # Examples alike in their heaviest term stand together, which keeps the blocks' bounds low.
+        heaviest = np.zeros(len(toxic), np.int64)
+        weight = (1 + np.log(examples.count)) * self.base[examples.term]
+        by = np.lexsort((weight, row))
+        heaviest[row[by]] = examples.term[by]
+        at = examples.part(np.lexsort((examples.doc_ids, heaviest, toxic)))
+        self.doc_ids, self.toxic, self.blocks = at.doc_ids, at.toxic, -(-len(at.toxic) // BLOCK)
+        row = np.repeat(np.arange(len(at.toxic)), np.diff(at.cut))
+        weight = (1 + np.log(at.count)) * self.base[at.term]
+        length = np.sqrt(np.bincount(row, weight * weight, len(at.toxic)))
+        weight = np.divide(weight, length[row], out=np.zeros_like(weight), where=length[row] > 0)
+        order = np.lexsort((row, at.term))
+        term, self.example, self.weights = at.term[order], row[order].astype(np.int32), weight[order].astype(np.float32)
+        # A cell is the run of a term's postings within a block.
+        cell = term.astype(np.int64) * max(1, self.blocks) + self.example // BLOCK
+        self.cell_start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]) if len(cell) else np.zeros(0, bool)).astype(np.int32)
+        self.cell_block = (cell[self.cell_start] % max(1, self.blocks)).astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.weights, self.cell_start) if len(cell) else np.zeros(0, np.float32)
+        self.first_cell = np.searchsorted(term[self.cell_start], np.arange(len(idf) + 1)).astype(np.int32)
+        self.cell_start = np.append(self.cell_start, len(cell)).astype(np.int32)
 
     def weight(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(count)) * self.idf[term]
-        return w / np.sqrt((w * w).sum())
+        w = (1 + np.log(count)) * self.base[term]
+        length = np.sqrt((w * w).sum())
+        return w / length if length > 0 else w
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine (over 0), ties by place, and the cosines."""
-        bound = weight @ self.block_max[term]
-        best, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(cosines) == k and bound[b] < cosines[-1] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(term, weight):
-                s, e = self.starts[t, b], self.starts[t, b + 1]
-                scores[self.postings[s:e] - b * BLOCK] += w * self.weights[s:e]
-            if 0 <= without - b * BLOCK < BLOCK:
-                scores[without - b * BLOCK] = 0
-            found = np.flatnonzero(scores > 0)
-            best, cosines = np.concatenate([best, found + b * BLOCK]), np.concatenate([cosines, scores[found]])
-            order = np.lexsort((best, -np.round(cosines, 12)))[:k]
-            best, cosines = best[order], cosines[order]
-        return best, cosines
+        size = self.first_cell[term + 1] - self.first_cell[term]
+        cells = ranges(self.first_cell[term], size)
+        weight = np.repeat(weight, size)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, weight * self.cell_max[cells], self.blocks)
+        scores = np.zeros(len(self.toxic))
+
+        def visit(blocks: np.ndarray) -> None:
+            own = np.flatnonzero(blocks[block])
+            at = cells[own]
+            n = self.cell_start[at + 1] - self.cell_start[at]
+            postings = ranges(self.cell_start[at], n)
+            scores[:] += np.bincount(self.example[postings], np.repeat(weight[own], n) * self.weights[postings], len(scores))
+
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        visit(first)
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        rest = ~first & (bound > 0) & (bound >= least - 1e-6)
+        if rest.any():
+            visit(rest)
+        found = np.flatnonzero(scores > 0)
+        if len(found) > 4 * k:
+            found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
+        best = found[np.lexsort((found, -np.round(scores[found], 12)))[:k]]
+        return best, scores[best]
 
     def vote(self, best: np.ndarray, cosines: np.ndarray) -> float:
         w = 1 / (0.1 + 1 - np.minimum(cosines, 1))
         return float((w * self.toxic[best]).sum() / w.sum())
 
+
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    index: Index
+    calibration: tuple[np.ndarray, np.ndarray]
+
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, *self.calibration))
 
@@ -145,45 +211,8 @@ def held_out() -> Column:
     return F.crc32(name.cast("binary")) % 4 == 2
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        toxic = np.array(batch.column(0).to_pylist(), np.int64)
-        for first, offsets, data in text_slices(batch.column(1)):
-            words = Words(offsets, data, ALPHANUMERIC)
-            place, h = _terms(words)
-            unique, local = np.unique(h, return_inverse=True)
-            pair = np.unique(local * (len(offsets) - 1) + words.doc[place])
-            term, doc = pair // (len(offsets) - 1), pair % (len(offsets) - 1)
-            label = toxic[first + doc]
-            yield pa.record_batch(
-                [pa.array(unique.view(np.int64)), pa.array(np.bincount(term, label, len(unique)).astype(np.int64)), pa.array(np.bincount(term, minlength=len(unique)))],
-                names=["term", "toxic", "n"],
-            )
-
-
-def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """Documents with each term, and all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocabulary.hashes), np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for _, offsets, data in text_slices(batch.column(0)):
-                total += np.bincount(vocabulary.vectors(Words(offsets, data, ALPHANUMERIC))[1], minlength=len(total))
-        full = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(np.append(full, -1).astype(np.int32)), pa.array(np.append(total[full], n))], names=["term", "n"])
-
-    out, n = np.zeros(len(vocabulary.hashes), np.int64), 0
-    for term, count in docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
-        if term < 0:
-            n = count
-        else:
-            out[term] = count
-    return out, n
-
-
-def _copies(hashes: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
-    """Rows that share ``COPY_MARKS`` marks and ``COPY_SHARE`` of both rows' words with one and the same earlier row that stays."""
+def _copies(hashes: list[np.ndarray], marks: list[np.ndarray], labels: list[int]) -> np.ndarray:
+    """Rows that share ``COPY_MARKS`` marks, ``COPY_SHARE`` of both rows' words and the label with one and the same earlier row that stays."""
     drop = np.zeros(len(hashes), bool)
     kept: dict[tuple[int, int], list[int]] = {}
     for i, (own, row) in enumerate(zip(hashes, marks)):
@@ -193,7 +222,7 @@ def _copies(hashes: list[np.ndarray], marks: list[np.ndarray]) -> np.ndarray:
         earlier, shared = np.unique(np.array([j for x in lists for j in x], np.int64), return_counts=True)
         for j in earlier[shared >= COPY_MARKS]:
             both = len(np.intersect1d(own, hashes[j], assume_unique=True))
-            if both >= COPY_SHARE * (len(own) + len(hashes[j]) - both):
+            if labels[i] == labels[j] and both >= COPY_SHARE * (len(own) + len(hashes[j]) - both):
                 drop[i] = True
                 break
         if not drop[i]:
@@ -215,15 +244,35 @@ def _without_copies(sample: DataFrame) -> DataFrame:
         return F.array_min(F.transform(F.col("hashes"), lambda h: F.xxhash64(h, F.lit(k))))
 
     sample = stored(sample.select("*", F.monotonically_increasing_id().alias("_row")), "toxic-sample")
-    each = sample.select("_row", "doc_id", hashes.alias("hashes")).select("*", F.array(*[least(k) for k in range(8)]).alias("marks"))
+    each = sample.select("_row", "doc_id", "toxic", hashes.alias("hashes")).select("*", F.array(*[least(k) for k in range(8)]).alias("marks"))
     # At most twice MAX_EXAMPLES rows, and repeats of their ids.
     rows = each.where(F.size("hashes") > 0).toPandas().sort_values(["doc_id", "_row"])
-    drop = _copies(list(rows["hashes"]), list(rows["marks"]))
+    drop = _copies(list(rows["hashes"]), list(rows["marks"]), list(rows["toxic"]))
     copies = sample.sparkSession.createDataFrame([(int(r),) for r in rows["_row"][drop]], "_row long")
     return stored(sample.join(F.broadcast(copies), "_row", "left_anti").select("doc_id", "toxic", "text"), "toxic-sample")
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Index:
+def _frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    """Documents with each term, and all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(vocabulary.hashes), np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for _, offsets, data in text_slices(batch.column(0)):
+                total += np.bincount(vocabulary.vectors(Words(offsets, data, ALPHANUMERIC))[1], minlength=len(total))
+        full = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(full, -1).astype(np.int32)), pa.array(np.append(total[full], n))], names=["term", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, count = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    out = np.zeros(len(vocabulary.hashes), np.int64)
+    out[term[term >= 0]] = count[term >= 0]
+    return out, int(count[term < 0].sum())
+
+
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """``doc_id, toxic, text`` of the examples, and the labelled rows of each class."""
     rows = training_rows(labels)
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     pick = None
@@ -232,88 +281,103 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
         pick = own if pick is None else pick.union(own)
     # At most MAX_EXAMPLES ids of each class.
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in pick.collect()], "doc_id long, toxic int")
-    sample = _without_copies(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
-    seen = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    # What a sampled row of each class stands for.
-    share = {k: counts[k] / seen[k] for k in seen}
-    terms = sample.select("toxic", "text").mapInArrow(_term_counts, "term long, toxic long, n long")
-    terms = terms.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("n").alias("n")).where(F.col("a") >= LEAST_ROWS)
-    all_rows, all_toxic = sum(seen.values()), seen.get(1, 0)
-    expected = F.col("n") * F.lit(all_toxic / max(all_rows, 1))
-    clean = F.col("n") - F.col("a")
-    gain = 2 * (F.col("a") * F.log(F.col("a") / expected) + F.when(clean > 0, clean * F.log(clean / (F.col("n") - expected))).otherwise(0.0))
-    toxic_share = F.col("a") * share.get(1, 0.0) / (F.col("a") * share.get(1, 0.0) + (F.col("n") - F.col("a")) * share.get(0, 0.0))
-    marked = terms.where((gain >= LEAST_GAIN) & (toxic_share >= LEAST_SHARE) if all_toxic else F.lit(False))
-    chosen = [r["term"] for r in marked.orderBy(gain.desc(), "term").limit(MAX_TERMS).collect()]
-    vocabulary = Vocabulary(np.array(chosen, np.int64).view(np.uint64))
-    frequency, n = _frequencies(docs, vocabulary)
-    idf = np.log((1 + n) / (1 + frequency)) + 1
+    body = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = stored(texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxic-sample")
+    sizes = texts.select("doc_id", "toxic", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h")).toPandas()
+    sizes = sizes.sort_values(["toxic", "h", "doc_id"])
+    kept = sizes[sizes.groupby("toxic")["n"].cumsum() <= MAX_BYTES]
+    ids = docs.sparkSession.createDataFrame([(int(x),) for x in kept["doc_id"]], "doc_id long")
+    return _without_copies(texts.join(F.broadcast(ids), "doc_id", "left_semi")), counts
+
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _examples(sample: DataFrame, counts: dict[int, int]) -> tuple[Vocabulary, Examples]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, offsets, data in text_slices(batch.column(2)):
-                doc, term, count, _ = vocabulary.vectors(Words(offsets, data, ALPHANUMERIC))
-                cut = np.searchsorted(doc, np.arange(len(offsets))).astype(np.int32)
+                distinct, doc, local, count, _ = _counted(Words(offsets, data, ALPHANUMERIC))
+                size = np.bincount(doc, minlength=len(offsets) - 1)
                 part = batch.slice(first, len(offsets) - 1)
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v.astype(np.int32))) for v in (term, count)]
-                yield pa.record_batch([part.column(0), part.column(1), *lists], names=["doc_id", "toxic", "terms", "counts"])
-
-    examples = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>")
-    return _index(examples.collect(), vocabulary, idf, share)
-
-
-def _index(rows: list, vocabulary: Vocabulary, idf: np.ndarray, share: dict[int, float]) -> Index:
-    """``rows``: at most twice MAX_EXAMPLES vectors over at most MAX_TERMS terms, and repeats of their ids."""
-    bare = [r for r in rows if not r["terms"]]
-    bare_toxic = sum(share[1] for r in bare if r["toxic"])
-    bare_all = sum(share[r["toxic"]] for r in bare)
-    without = bare_toxic / bare_all if bare_all else 0.0
-    # Examples alike in their rarest term stand together, which keeps the blocks' bounds low.
-    full = sorted((r for r in rows if r["terms"]), key=lambda r: (max(r["terms"], key=lambda t: (idf[t], t)), r["doc_id"], r["counts"]))
-    n, t = len(full), len(idf)
-    blocks = -(-n // BLOCK)
-    index = Index(vocabulary, idf, np.array([r["doc_id"] for r in full], np.int64), np.array([r["toxic"] for r in full], np.int64), *[np.zeros(0)] * 3, np.zeros((t, blocks)), (np.zeros(1), np.zeros(1)), without)
-    own = [(np.array(r["terms"]), index.weight(np.array(r["terms"]), np.array(r["counts"]))) for r in full]
-    triples = [(np.concatenate([x[k] for x in own]) if own else np.zeros(0)) for k in (0, 1)]
-    term, weight = triples[0].astype(np.int64), triples[1]
-    example = np.repeat(np.arange(n), [len(x[0]) for x in own]).astype(np.int64)
-    order = np.lexsort((example, term))
-    term, index.postings, index.weights = term[order], example[order], weight[order]
-    cell = term * blocks + index.postings // BLOCK
-    index.starts = np.searchsorted(cell, np.arange(t)[:, None] * blocks + np.arange(blocks + 1))
-    np.maximum.at(index.block_max, (term, index.postings // BLOCK), index.weights)
-    votes = []
-    for i, (terms, w) in enumerate(own):
-        best, cosines = index.nearest(terms, w, without=i)
-        if len(best):
-            votes.append((index.vote(best, cosines), index.toxic[i], share[int(index.toxic[i])]))
-    if votes:
-        index.calibration = monotone(*np.array(votes).T)
-    return index
-
-
-def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the columns of ``SCORED``; the index has a bounded number of examples and terms."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+                ids, toxic = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                row = [x.astype(t).tobytes() for x, t in ((ids, "<i8"), (toxic, "<i8"), (size, "<i8"), (distinct[local], "<u8"), (count, "<i4"))]
+                yield pa.record_batch([pa.array([x], pa.binary()) for x in row], names=["ids", "toxic", "size", "terms", "counts"])
+
+    # A bounded sample: its term counts go to the driver, which broadcasts the index.
+    packed = sample.select("doc_id", "toxic", "text").mapInArrow(run, "ids binary, toxic binary, size binary, terms binary, counts binary").collect()
+    ids, toxic, size, term, count = (
+        np.concatenate([np.zeros(0, t), *[np.frombuffer(r[k], t) for r in packed]]) for k, t in enumerate(("<i8", "<i8", "<i8", "<u8", "<i4"))
+    )
+    hashes, term = np.unique(term, return_inverse=True)
+    seen = [int((toxic == k).sum()) for k in (0, 1)]
+    share = tuple(counts.get(k, 0) / max(1, seen[k]) for k in (0, 1))
+    at = Examples(ids, toxic, np.concatenate([[0], np.cumsum(size)]).astype(np.int64), term.astype(np.int32), count, share)
+    return Vocabulary(hashes), at.part(np.argsort(ids, kind="stable"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    spark = docs.sparkSession
+    small_batches(spark)
+    sample, counts = _sample(docs, labels)
+    vocabulary, examples = _examples(sample, counts)
+    frequency, n = _frequencies(docs, vocabulary)
+    idf = np.log((1 + n) / (1 + frequency))
+    calibration = (np.zeros(1), np.zeros(1))
+    if examples.toxic.any():
+        votes = _fold_votes(spark, examples, idf)
+        if len(votes):
+            weights = np.array(examples.share)[votes["toxic"].to_numpy(np.int64)]
+            calibration = monotone(votes["vote"].to_numpy(), votes["toxic"].to_numpy(np.float64), weights)
+    return Model(vocabulary, Index(examples, idf), calibration)
+
+
+def _fold_votes(spark, examples: Examples, idf: np.ndarray) -> pd.DataFrame:
+    """``vote, toxic`` of the examples that have a neighbour among those of the other folds."""
+    shared = spark.sparkContext.broadcast((examples, idf))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        examples, idf = shared.value
+        fold = np.arange(len(examples.toxic)) % FOLDS
+        for frame in frames:
+            for turn in frame["id"]:
+                own, part = turn % FOLDS, turn // FOLDS
+                index = Index(examples.part(np.flatnonzero(fold != own)), idf)
+                votes = []
+                for i in np.flatnonzero(fold == own)[part::PARTS]:
+                    at = examples.row(i)
+                    best, cosines = index.nearest(examples.term[at], index.weight(examples.term[at], examples.count[at]))
+                    if len(best):
+                        votes.append((index.vote(best, cosines), int(examples.toxic[i])))
+                yield pd.DataFrame(votes, columns=["vote", "toxic"]).astype({"vote": float, "toxic": "int32"})
+
+    turns = spark.range(0, FOLDS * PARTS, 1, FOLDS * PARTS)
+    votes = turns.mapInPandas(run, "vote double, toxic int").toPandas().sort_values(["vote", "toxic"])
+    shared.unpersist()
+    return votes
+
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and the columns of ``SCORED``; the model has a bounded number of examples and bytes."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     # A text that is kept goes to Python once.
     rows = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("_scored_text"))
     text_at = keep.index("text") if "text" in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        model = shared.value
+        index = model.index
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             for first, offsets, data in text_slices(batch.column(text_at)):
                 words = Words(offsets, data, ALPHANUMERIC)
-                doc, term, count, place = index.vocabulary.vectors(words)
+                doc, term, count, place = model.vocabulary.vectors(words)
                 cut = np.searchsorted(doc, np.arange(len(offsets)))
                 scores, near, why = [], [], []
                 for a, b in zip(cut[:-1], cut[1:]):
-                    weight = index.weight(term[a:b], count[a:b]) if b > a else None
+                    weight = index.weight(term[a:b], count[a:b])
                     best, cosines = index.nearest(term[a:b], weight) if b > a else ((), ())
-                    scores.append(index.calibrated(index.vote(best, cosines)) if len(best) else index.without)
+                    scores.append(model.calibrated(index.vote(best, cosines) if len(best) else 0.0))
                     near.append([{"doc_id": int(index.doc_ids[i]), "similarity": float(c), "toxic": int(index.toxic[i])} for i, c in zip(best[:3], cosines[:3])])
-                    top = place[a:b][np.argsort(-weight, kind="stable")[:3]] if b > a else ()
+                    top = place[a:b][np.argsort(-weight, kind="stable")[:3]]
                     why.append(list(dict.fromkeys(words.text(i, i + 1).decode("utf-8", "replace") for i in top)))
                 part = batch.slice(first, len(offsets) - 1)
                 arrays = [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(near, kind), pa.array(why, pa.list_(pa.string()))]
@@ -323,8 +387,7 @@ def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",)) ->
     return rows.mapInArrow(run, ", ".join([*fields, SCORED]))
 
 
-
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    index = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return score(docs, index).select("doc_id", held_out().alias("held_out"), "score", "predicted", "neighbours", "terms")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "neighbours", "terms")

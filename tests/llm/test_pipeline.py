@@ -1,38 +1,23 @@
 import corpus_pipeline
 import duckdb
-import numpy as np
 from compare import connect
 from quaver.llm import decontaminate, quality, toxicity
 from quaver.llm.common import read, stored
-from quaver.llm.textarrays import ALPHANUMERIC, Words
 
 from tests.llm.test_near_duplicates import plain_components, plain_fingerprint
+from tests.llm.test_toxicity import PlainModel
 
 SF = "/root/testdata/sf0.001"
 
 
-def plain_toxic(index, text):
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    _, term, count, _ = index.vocabulary.vectors(Words(np.array([0, len(data)]), data, ALPHANUMERIC))
-    if not len(term):
-        return index.without
-    dense = np.zeros((len(index.doc_ids), len(index.idf)))
-    cell = np.repeat(np.arange(len(index.idf)), index.starts[:, -1] - index.starts[:, 0])
-    dense[index.postings, cell] = index.weights
-    cosines = np.round(dense[:, term] @ index.weight(term, count), 12)
-    best = np.lexsort((np.arange(len(cosines)), -cosines))[: toxicity.NEIGHBOURS]
-    best = best[cosines[best] > 0]
-    return index.calibrated(index.vote(best, cosines[best])) if len(best) else index.without
-
-
 def test_pipeline_matches_plain_stages(spark):
     con = connect(SF)
     docs = stored(read(spark, SF, "documents"), "test")
     keep = {r[0] for r in con.execute(f"SELECT doc_id FROM ({quality.OP5_SQL}) WHERE kept").fetchall()}
     kept = stored(corpus_pipeline.keep_quality(spark, docs, SF), "test")
     assert {r["doc_id"] for r in kept.collect()} == keep and kept.columns == docs.columns
-    index = toxicity.fit(kept, read(spark, SF, "labels"))
-    texts = {r["doc_id"]: r["text"] for r in kept.collect() if plain_toxic(index, r["text"]) < toxicity.THRESHOLD}
+    model = PlainModel(kept, read(spark, SF, "labels"))
+    texts = {r["doc_id"]: r["text"] for r in kept.collect() if model.score(r["text"]) < toxicity.THRESHOLD}
     mild = stored(corpus_pipeline.drop_toxic(spark, kept, SF), "test")
     assert {r["doc_id"] for r in mild.collect()} == set(texts) and mild.columns == docs.columns
     ids = sorted(texts)
