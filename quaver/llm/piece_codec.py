@@ -1,16 +1,22 @@
 """Streaming Viterbi segmentation into the pieces of a SentencePiece vocabulary, and back.
 
-The segmentation has the best sum of the vocabulary's piece scores. The decoder
+A lattice over the text has a node a position and an edge a piece. A path's score is
+the sum of its pieces' scores; in a merged vocabulary (BPE) an edge may follow
+another only if the merges, best score first and leftmost among equals, would leave
+just these two pieces of their joined surface. With that, one path alone reaches a
+position, and its pieces are those that merging the whole text leaves. The decoder
 keeps scores and backpointers for a window of a few times the longest piece; when
 the paths to all positions that can still be extended pass through one boundary,
-everything before it is committed and forgotten. No
-piece has a space but at its start, so every space is such a boundary: parts
-between spaces repeat a lot and are kept in a bounded cache.
+everything before it is committed and forgotten.
 
-Spaces stand for the vocabulary's space mark, one is put before the text, and
-characters without a piece (the mark itself among them) become their bytes, so
-that decoding gives every text back exactly. Pieces that are runs of spaces are
-not used.
+Spaces stand for the vocabulary's space mark and one is put before the text, as the
+library does for a model whose normaliser changes nothing else; others are refused.
+No piece but runs of spaces has a space after its start, so parts between spaces are
+segmented on their own; they repeat a lot and are kept in a bounded cache. Spaces that
+no part takes in merge among themselves.
+
+Ids equal the library's on every text without the mark itself. That character and all
+without a piece become their bytes, so that decoding gives every text back exactly.
 
 Defined results: null and empty texts have no ids, and decode to the empty text.
 Other columns pass through unless they share a result's name, which then
@@ -29,43 +35,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Parts longer than this are not cached; the cache is emptied at this many parts.
-CACHED_CHARS, CACHED_PARTS = 64, 400_000
+#: Parts longer than this are not cached; the cache is emptied at this many parts, the pairs' at so many.
+CACHED_CHARS, CACHED_PARTS, CACHED_PAIRS = 64, 400_000, 2_000_000
+
+
+def merged(scores: dict[str, float], text: str, joins: list | None = None) -> list[str]:
+    """What merging leaves of a short text: the pair of best score first, the leftmost among equals; ``joins`` gets each pair."""
+    parts = list(text)
+    while True:
+        pairs = [(scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in scores]
+        if not pairs:
+            return parts
+        i = -max(pairs)[1]
+        if joins is not None:
+            joins.append((parts[i], parts[i + 1]))
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
 class Pieces:
     """A vocabulary: ids and scores by surface string, surfaces by id, and a tree of the surfaces.
 
-    Scores below ``floor``, which mark pieces outside the ranking, count as the
-    least score above it.
+    With ``merges`` its pieces follow each other as merging leaves them; without, in
+    any order. Scores below ``floor``, which mark pieces outside the ranking, count as the
+    least score above it where paths are compared.
     """
 
-    def __init__(self, surfaces: dict[str, tuple[int, float]], byte_ids: list[int], floor: float = -1e8):
+    def __init__(self, surfaces: dict[str, tuple[int, float]], byte_ids: list[int], floor: float = -1e8, merges: bool = False):
         low = min((score for _, score in surfaces.values() if score > floor), default=0.0)
-        self.pieces = {s: (i, max(score, low)) for s, (i, score) in surfaces.items()}
+        self.merges, self.scores = merges, {s: score for s, (_, score) in surfaces.items()}
+        #: The two pieces that a piece was last merged from. One that merging does not arrive at is in no segmentation.
+        self.joined: dict[str, tuple[str, str]] = {}
+        reached = dict(surfaces)
+        for s in surfaces if merges else ():
+            joins: list = []
+            if len(s) > 1 and merged(self.scores, s, joins) == [s]:
+                self.joined[s] = joins[-1]
+            elif len(s) > 1 and s.strip(" "):
+                del reached[s]
+        self.pieces = {s: (i, max(score, low)) for s, (i, score) in reached.items()}
         self.byte_ids, self.unknown = byte_ids, low - 10.0
         self.longest = max(map(len, surfaces), default=1)
         self.surface = {i: s.encode() for s, (i, _) in surfaces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.text = {i: s for s, (i, _) in surfaces.items()}
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
+        self.runs: dict[int, list[int]] = {}
+        self.longest_run = max((len(s) for s in surfaces if not s.strip(" ")), default=1)
         self.tree: dict = {}
         for s, found in self.pieces.items():
-            node = self.tree
-            for c in s:
-                node = node.setdefault(c, {})
-            node[""] = found
+            if s.strip(" ") or len(s) == 1:
+                node = self.tree
+                for c in s:
+                    node = node.setdefault(c, {})
+                node[0] = found
 
     @classmethod
     def from_file(cls, path: str) -> Pieces:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        probe = " \u00c5 \uff21\t a  b "
+        if model.normalize(probe) != MARK + probe.replace(" ", MARK):
+            raise ValueError("the model's normaliser changes more than spaces")
         surfaces, byte_ids = {}, [0] * 256
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 byte_ids[int(piece[3:5], 16)] = i
-            elif piece and not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or MARK in piece[1:]):
+            elif piece and not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 surfaces[piece.replace(MARK, " ")] = (i, model.get_score(i))
-        return cls(surfaces, byte_ids)
+        if any(" " in s[1:] and s.strip(" ") for s in surfaces):
+            raise ValueError("the model has pieces with a space inside")
+        # Scores of a merged vocabulary are falling whole numbers.
+        merges = all(float(score).is_integer() for _, score in surfaces.values())
+        return cls(surfaces, byte_ids, merges=merges)
+
+    def followers(self, before: int | None) -> dict[int, bool] | None:
+        """What is known of the pieces after one, for ``follows``; None if any may follow: bytes take part in no merge."""
+        return None if before is None or not self.merges else self.pairs.setdefault(before, {})
+
+    def follows(self, before: int, piece: int) -> bool:
+        """Whether merging leaves the two pieces as they are."""
+        if self.n_pairs >= CACHED_PAIRS:
+            self.pairs, self.n_pairs = {}, 0
+        self.n_pairs += 1
+        known = self.pairs.setdefault(before, {})[piece] = self._stay(self.text[before], self.text[piece])
+        return known
+
+    def _stay(self, a: str, b: str) -> bool:
+        """Undo the merges of both pieces from the last one on, and see whether a merge across their border came before any.
+
+        Of merges of one score the leftmost came first: those within a, one across, those within b.
+        """
+        latest, ties = -float("inf"), False
+        while True:
+            across = self.scores.get(a + b)
+            if across is not None and (across > latest or ties and across == latest):
+                return False
+            in_a, in_b = self.joined.get(a), self.joined.get(b)
+            if in_a is None and in_b is None:
+                return True
+            if in_a is None or in_b is not None and self.scores[b] <= self.scores[a]:
+                latest, ties, b = self.scores[b], True, in_b[0]
+            else:
+                latest, ties, a = self.scores[a], False, in_a[1]
+
+    def spaces(self, n: int) -> list[int]:
+        """Ids of n spaces that no part takes in."""
+        most = self.longest_run
+        if n not in self.runs:
+            # Merges go on from the left: runs of the greatest length, and what merging leaves of the rest.
+            parts = [most] * (n // most) + [len(p) for p in merged(self.scores, " " * (n % most))]
+            ids = [i for k in parts for i in ([self.pieces[" " * k][0]] if " " * k in self.pieces else [self.byte_ids[32]] * k)]
+            if n > 4 * most:
+                return ids
+            self.runs[n] = ids
+        return self.runs[n]
 
 
 def viterbi_stream(vocabulary: Pieces, text: str) -> Iterator[int]:
@@ -75,38 +160,43 @@ def viterbi_stream(vocabulary: Pieces, text: str) -> Iterator[int]:
     after each further such piece, the paths to the positions that can still be
     extended are followed back to the last boundary that they share.
     """
-    tree, unknown, longest = vocabulary.tree, vocabulary.unknown, vocabulary.longest
+    tree, unknown, longest, follows = vocabulary.tree, vocabulary.unknown, vocabulary.longest, vocabulary.follows
     done, n = 0, len(text)
     #: By position after ``done``: best score, position before, id (None: bytes).
-    best, back, ids = [0.0], [0], [None]
+    size = min(n, 6 * longest) + 1
+    best, back, ids = [None] * size, [0] * size, [None] * size
+    best[0] = 0.0
     look = 4 * longest
     for i in range(n):
         at = i - done
-        score, node = best[at], tree
-        alone = True
-        for j in range(i, min(n, i + longest)):
-            node = node.get(text[j])
+        score = best[at]
+        if score is None:
+            continue
+        before = ids[at]
+        allowed = vocabulary.followers(before) if i else None
+        node, to = tree, at
+        for c in text[i : i + longest]:
+            node = node.get(c)
             if node is None:
                 break
-            found = node.get("")
-            if found is not None:
-                to = j + 1 - done
-                value = score + found[1]
-                while to >= len(best):
-                    best.append(None), back.append(0), ids.append(None)
-                if best[to] is None or value > best[to]:
-                    best[to], back[to], ids[to] = value, i, found[0]
-                if j == i:
-                    alone = False
-        if alone:
-            to = at + 1
-            if to == len(best):
-                best.append(None), back.append(0), ids.append(None)
-            value = score + unknown
+            to += 1
+            found = node.get(0)
+            if found is None:
+                continue
+            piece, value = found
+            if allowed is not None:
+                fits = allowed.get(piece)
+                if not (follows(before, piece) if fits is None else fits):
+                    continue
+            value += score
+            if best[to] is None or value > best[to]:
+                best[to], back[to], ids[to] = value, i, piece
+        if 0 not in tree.get(text[i], tree):
+            to, value = at + 1, score + unknown
             if best[to] is None or value > best[to]:
                 best[to], back[to], ids[to] = value, i, None
         if at + 1 >= look:
-            paths = {i + 1} | {p + done for p in range(at + 2, len(best)) if best[p] is not None}
+            paths = {p + done for p in range(at + 1, min(size, at + 1 + longest)) if best[p] is not None}
             while len(paths) > 1:
                 last = max(paths)
                 paths.remove(last)
@@ -114,9 +204,12 @@ def viterbi_stream(vocabulary: Pieces, text: str) -> Iterator[int]:
             shared = paths.pop()
             if shared > done:
                 yield from _path(vocabulary, text, done, shared, back, ids)
-                del best[: shared - done], back[: shared - done], ids[: shared - done]
+                best, back, ids = (x[shared - done :] + [y] * (shared - done) for x, y in ((best, None), (back, 0), (ids, None)))
                 done = shared
             look = max(4 * longest, i + 1 - done + longest)
+            if look + longest >= size:
+                best, back, ids = best + [None] * size, back + [0] * size, ids + [None] * size
+                size *= 2
     yield from _path(vocabulary, text, done, n, back, ids)
 
 
@@ -151,24 +244,41 @@ class Codec:
         self.lengths.append(len(ids))
         self.flat.extend(ids)
 
+    def part(self, part: str) -> np.ndarray:
+        if len(part) > CACHED_CHARS:
+            return np.fromiter(viterbi_stream(self.vocabulary, " " + part), np.int32)
+        if part not in self.index:
+            self._add(part)
+        at = self.index[part]
+        return np.array(self.flat[self.starts[at] : self.starts[at] + self.lengths[at]], np.int32)
+
+    def with_runs(self, parts: list[str]) -> np.ndarray:
+        """Of parts some of which are empty: a space that its part does not take in joins those before it."""
+        out, waiting, alone = [], 0, self.vocabulary.pieces.get(" ", (None,))[0]
+        for part in parts:
+            if not part:
+                waiting += 1
+                continue
+            ids = self.part(part)
+            if waiting:
+                bare = ids[0] == alone
+                out.append(np.array(self.vocabulary.spaces(waiting + bool(bare)), np.int32))
+                ids, waiting = ids[1:] if bare else ids, 0
+            out.append(ids)
+        out.append(np.array(self.vocabulary.spaces(waiting), np.int32))
+        return np.concatenate(out)
+
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         if len(self.starts) > CACHED_PARTS:
             self.clear()
         parts = text.split(" ")
-        long = max(map(len, parts)) > CACHED_CHARS
-        if long:
-            out = []
-            for part in parts:
-                if len(part) > CACHED_CHARS:
-                    out.append(np.fromiter(viterbi_stream(self.vocabulary, " " + part), np.int32))
-                else:
-                    if part not in self.index:
-                        self._add(part)
-                    at = self.index[part]
-                    out.append(np.array(self.flat[self.starts[at] : self.starts[at] + self.lengths[at]], np.int32))
-            return np.concatenate(out)
+        sizes = list(map(len, parts))
+        if min(sizes) == 0:
+            return self.with_runs(parts)
+        if max(sizes) > CACHED_CHARS:
+            return np.concatenate([self.part(p) for p in parts])
         for part in parts:
             if part not in self.index:
                 self._add(part)
