@@ -7,10 +7,12 @@ documents, times its relevance in the sample: the square of log2(2 + toxic examp
 with it for each clean one), at shares as if both classes were equal in number. No
 term is left out for its relevance.
 
-All examples are in an inverted index. Postings are cut into blocks of examples with
-the block's greatest weight on record; a query bounds the cosine of each block by
-these, scores the blocks of highest bound, and then every other block whose bound
-reaches the k-th cosine found, so that the neighbours are exact.
+All examples are in an inverted index, in order of their number of terms. Postings are
+cut into blocks of examples with the block's greatest weight on record. A query adds up
+its rare terms over all examples, which gives a least value of the k-th cosine; the
+block maxima bound what its common terms can add, and only blocks in which an
+example may still reach that value are visited for them, so that the neighbours are exact.
+Postings of common terms are long enough to be kept as whole rows of blocks.
 
 Neighbours vote with weights that fall with distance. For the calibration the sample is
 cut into folds: examples of a fold vote by an index of the others, with relevances of
@@ -42,10 +44,10 @@ from quaver.llm import common
 from quaver.llm.common import small_batches, stored
 from quaver.llm.textarrays import ALPHANUMERIC, Words, text_slices
 
-MAX_EXAMPLES, MAX_BYTES, NEIGHBOURS, BLOCK = 3000, 32 << 20, 15, 64
+MAX_EXAMPLES, MAX_BYTES, NEIGHBOURS, BLOCK = 2000, 32 << 20, 15, 64
 STEMS, FOLDS, PARTS = (4, 6), 4, 3
-#: Blocks that are scored before the bound is known.
-FIRST_BLOCKS = 4
+#: Terms of more examples than one in so many are common ones.
+COMMON = 16
 #: Marks and share of all long words that a copy has in common with its original.
 COPY_MARKS, COPY_SHARE = 3, 0.5
 THRESHOLD = 0.3
@@ -115,12 +117,8 @@ class Index:
         with_term = [np.bincount(examples.term[toxic[row] == k], minlength=len(idf)) for k in (False, True)]
         even = (~toxic).sum() / max(1, toxic.sum())
         self.base = idf * np.log2(2 + with_term[1] * even / np.maximum(1, with_term[0])) ** 2
-        # Examples alike in their heaviest term stand together, which keeps the blocks' bounds low.
-        heaviest = np.zeros(len(toxic), np.int64)
-        weight = (1 + np.log(examples.count)) * self.base[examples.term]
-        by = np.lexsort((weight, row))
-        heaviest[row[by]] = examples.term[by]
-        at = examples.part(np.lexsort((examples.doc_ids, heaviest, toxic)))
+        # Examples of like length have like weights, which keeps the blocks' bounds low.
+        at = examples.part(np.lexsort((examples.doc_ids, np.diff(examples.cut))))
         self.doc_ids, self.toxic, self.blocks = at.doc_ids, at.toxic, -(-len(at.toxic) // BLOCK)
         row = np.repeat(np.arange(len(at.toxic)), np.diff(at.cut))
         weight = (1 + np.log(at.count)) * self.base[at.term]
@@ -128,13 +126,18 @@ class Index:
         weight = np.divide(weight, length[row], out=np.zeros_like(weight), where=length[row] > 0)
         order = np.lexsort((row, at.term))
         term, self.example, self.weights = at.term[order], row[order].astype(np.int32), weight[order].astype(np.float32)
-        # A cell is the run of a term's postings within a block.
-        cell = term.astype(np.int64) * max(1, self.blocks) + self.example // BLOCK
-        self.cell_start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]) if len(cell) else np.zeros(0, bool)).astype(np.int32)
-        self.cell_block = (cell[self.cell_start] % max(1, self.blocks)).astype(np.int32)
-        self.cell_max = np.maximum.reduceat(self.weights, self.cell_start) if len(cell) else np.zeros(0, np.float32)
-        self.first_cell = np.searchsorted(term[self.cell_start], np.arange(len(idf) + 1)).astype(np.int32)
-        self.cell_start = np.append(self.cell_start, len(cell)).astype(np.int32)
+        start = np.searchsorted(term, np.arange(len(idf) + 1))
+        common = np.flatnonzero(np.diff(start) * COMMON > len(at.toxic))
+        #: By term: its row among the common ones or -1, or where its postings stand.
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.blocks, BLOCK), np.float32)
+        own = np.flatnonzero(self.row[term] >= 0)
+        self.rows[self.row[term[own]], self.example[own] // BLOCK, self.example[own] % BLOCK] = self.weights[own]
+        self.block_max = self.rows.max(axis=2, initial=0)
+        rare = np.flatnonzero(self.row[term] < 0)
+        self.example, self.weights = self.example[rare], self.weights[rare]
+        self.start = np.searchsorted(term[rare], np.arange(len(idf) + 1)).astype(np.int32)
 
     def weight(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         w = (1 + np.log(count)) * self.base[term]
@@ -143,27 +146,19 @@ class Index:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine (over 0), ties by place, and the cosines."""
-        size = self.first_cell[term + 1] - self.first_cell[term]
-        cells = ranges(self.first_cell[term], size)
-        weight = np.repeat(weight, size)
-        block = self.cell_block[cells]
-        bound = np.bincount(block, weight * self.cell_max[cells], self.blocks)
-        scores = np.zeros(len(self.toxic))
-
-        def visit(blocks: np.ndarray) -> None:
-            own = np.flatnonzero(blocks[block])
-            at = cells[own]
-            n = self.cell_start[at + 1] - self.cell_start[at]
-            postings = ranges(self.cell_start[at], n)
-            scores[:] += np.bincount(self.example[postings], np.repeat(weight[own], n) * self.weights[postings], len(scores))
-
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        visit(first)
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        rest = ~first & (bound > 0) & (bound >= least - 1e-6)
-        if rest.any():
-            visit(rest)
+
+        row = self.row[term]
+        start = self.start[term]
+        size = self.start[term + 1] - start
+        postings = ranges(start, size)
+        scores = np.zeros((self.blocks, BLOCK))
+        scores.ravel()[:] = np.bincount(self.example[postings], np.repeat(weight, size) * self.weights[postings], scores.size)
+        least = np.partition(scores, -k, axis=None)[-k] if scores.size > k else 0.0
+        row, weight = row[row >= 0], weight[row >= 0].astype(np.float32)
+        visit = np.flatnonzero(scores.max(axis=1, initial=0) + weight @ self.block_max[row] >= least - 1e-6)
+        whole = self.rows[row] if len(visit) == self.blocks else self.rows[row[:, None], visit]
+        scores[visit] += np.tensordot(weight, whole, 1)
+        scores = scores.ravel()
         found = np.flatnonzero(scores > 0)
         if len(found) > 4 * k:
             found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
