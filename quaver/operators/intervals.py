@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +24,14 @@ def points_in(points: DataFrame, intervals: DataFrame, at: str, width: int) -> D
 
 
 def band_max(points: DataFrame, at: str, events: DataFrame, reach: int) -> DataFrame:
-    """Add the greatest ``stat`` of events within ``reach`` of a point, null without one."""
+    """Add the greatest ``stat`` of events within ``reach`` of a point, minus infinity without one."""
     bands = points.select("*", (F.col(at) - reach).alias("start"), (F.col(at) + reach).alias("end"))
     held = _spread(bands, max(1, 2 * reach))
     rows = events.select("stat", "time", F.expr(f"time div {max(1, 2 * reach)}").alias("_b"))
     hit = held.join(rows, "_b").where("time between start and end")
     best = hit.groupBy(*points.columns).agg(F.max("stat").alias("best"))
-    return points.join(best, points.columns, "left")
+    out = points.join(best, points.columns, "left")
+    return out.withColumn("best", F.coalesce("best", F.lit(-math.inf)))
 
 
 def coalesce(intervals: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaver.functions.astro import volume_to_distance
@@ -26,17 +26,23 @@ def clusters(triggers: DataFrame, gap: int) -> DataFrame:
 
 
 def nearest_injection(triggers: DataFrame, injections: DataFrame) -> DataFrame:
-    """Add ``inj_id`` and ``dt`` of the nearest injection; midway the later one wins, ends clamp."""
-    left = triggers.select("time", F.lit(1).alias("_kind"), F.col("event_id").alias("_id"), F.lit(None).cast("struct<tc:bigint,inj_id:bigint>").alias("_inj"))
-    right = injections.select(F.col("tc").alias("time"), F.lit(0).alias("_kind"), F.col("inj_id").alias("_id"), F.struct("tc", "inj_id").alias("_inj"))
+    """Add ``inj_id`` and ``dt`` of the nearest injection; midway the later one wins, ends clamp.
+
+    Every trigger gives one row, also of a null or repeated id: its columns travel with it.
+    Triggers and injections without a time, and any trigger where there is no injection, have nulls.
+    """
+    timed = injections.where("tc is not null")
+    nothing = F.lit(None).cast("struct<tc:bigint,inj_id:bigint>")
+    left = triggers.select("time", F.lit(1).alias("_kind"), F.col("event_id").alias("_id"), nothing.alias("_inj"), F.struct(*triggers.columns).alias("_row"))
+    right = timed.select(F.col("tc").alias("time"), F.lit(0).alias("_kind"), F.col("inj_id").alias("_id"), F.struct("tc", "inj_id").alias("_inj"))
     order = [F.col("time"), F.col("_kind"), F.col("_id")]
-    rows = bucketed(left.union(right), "time")
+    rows = bucketed(left.where("time is not null").unionByName(right, allowMissingColumns=True), "time")
     rows = following(previous(rows, order, F.col("_inj"), "_l"), order, F.col("_inj"), "_r").where("_kind = 1")
     earlier = F.col("_l").isNotNull() & (F.col("_r").isNull() | (F.col("time") - F.col("_l.tc") < F.col("_r.tc") - F.col("time")))
     pick = F.when(earlier, F.col("_l")).otherwise(F.col("_r"))
-    rows = rows.select(F.col("_id").alias("event_id"), pick.alias("p"), "time")
-    rows = rows.select("event_id", "p.inj_id", F.abs(F.col("time") - F.col("p.tc")).alias("dt"))
-    return triggers.join(rows, "event_id")
+    rows = rows.select("_row.*", pick.alias("_p"))
+    rows = rows.select(*triggers.columns, F.col("_p.inj_id").alias("inj_id"), F.abs(F.col("time") - F.col("_p.tc")).alias("dt"))
+    return rows.unionByName(triggers.where("time is null"), allowMissingColumns=True)
 
 
 def true_positive(var: int) -> Column:

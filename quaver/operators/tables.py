@@ -92,3 +92,31 @@ def chunks(df: DataFrame, id_: str, n: int) -> DataFrame:
     at, edge = F.col("rn") - 1, large * (small + 1)
     chunk = F.when(at < edge, F.expr(f"(rn - 1) div {small + 1}")).otherwise(F.lit(large) + F.expr(f"(rn - 1 - {edge}) div {max(small, 1)}"))
     return rows.select(id_, (chunk + 1).cast("int").alias("chunk"))
+
+
+def histogram_of_edges(df: DataFrame, column: str, edges: int) -> DataFrame:
+    """``bin, low, high, n`` between whole-number edges from the least to the greatest value, the last bin closed; empty bins and values past the last edge are left out."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return df.select(F.lit(0).alias("bin"), *[F.lit(0).cast("long").alias(c) for c in ("low", "high", "n")]).limit(0)
+    at = [int((low + i * ((high - low) / (edges - 1))) // 1) for i in range(edges)]
+    value, place = F.col(column), F.lit(None).cast("int")
+    for i in reversed(range(edges - 1)):
+        inside = (value >= at[i]) & ((value <= at[i + 1]) if i == edges - 2 else (value < at[i + 1]))
+        place = F.when(inside, i).otherwise(place)
+    counts = df.groupBy(place.alias("bin")).agg(F.count("*").alias("n")).where("bin is not null")
+    known = F.array(*[F.lit(x).cast("long") for x in at])
+    return counts.select("bin", F.get(known, F.col("bin")).alias("low"), F.get(known, F.col("bin") + 1).alias("high"), "n")
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group, with ``rn``; Spark cuts each task's groups to n rows before the shuffle."""
+    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= n)
+
+
+def best_so_far(epochs: DataFrame, epoch: str, loss: str) -> DataFrame:
+    """Add ``best``, the least loss up to each epoch, and ``improved``; one row an epoch, so one task orders them."""
+    upto = Window.orderBy(epoch).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
+    improved = F.col(loss) < F.coalesce(F.min(loss).over(before), F.lit(float("inf")))
+    return epochs.select(epoch, loss, F.min(loss).over(upto).alias("best"), improved.alias("improved"))

@@ -60,7 +60,7 @@ def efficiency_by_snr(spark, d):
 
 
 def unique_pairs(spark, d):
-    """Pairs (day, kind) that only one of two teams has, or both."""
+    """Numbers of pairs (hour, kind) that only one of two teams has, or both."""
     rows = R.events(spark, d).select(F.expr("time div 3600000000").alias("hour"), "event_type", (F.col("user_id") % 2).alias("team"))
     teams = rows.groupBy("hour", "event_type").agg(F.min("team").alias("a"), F.max("team").alias("b"))
     return teams.select(F.when(F.col("a") < F.col("b"), "both").when(F.col("a") == 0, "first").otherwise("second").alias("side")).groupBy("side").agg(F.count("*").alias("n"))

@@ -87,6 +87,6 @@ ORACLES = {
     "cumulative_offsets": _sql(
         'SELECT seg_id, start, "end", (sum("end" - start) OVER (ORDER BY start, seg_id ROWS UNBOUNDED PRECEDING) - ("end" - start))::BIGINT AS "offset" FROM sh', _SHORT
     ),
-    "band_join_max": _sql(f"SELECT inj_id, tc, max(t.stat) AS best FROM inj LEFT JOIN trig t ON t.time BETWEEN tc - {300 * R.SECOND} AND tc + {300 * R.SECOND} GROUP BY inj_id, tc"),
+    "band_join_max": _sql(f"SELECT inj_id, tc, coalesce(max(t.stat), '-infinity'::DOUBLE) AS best FROM inj LEFT JOIN trig t ON t.time BETWEEN tc - {300 * R.SECOND} AND tc + {300 * R.SECOND} GROUP BY inj_id, tc"),
     "interval_neighbours": _sql('SELECT seg_id, lag("end") OVER (ORDER BY start, seg_id) AS end_before, lead(start) OVER (ORDER BY start, seg_id) AS start_after FROM sh', _SHORT),
 }
