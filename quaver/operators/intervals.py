@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.operators.ordered import bucketed, following, previous, running_sums
+from quaver.operators.ordered import bucketed, neighbours, running_sums
 
 
 def _spread(intervals: DataFrame, width: int) -> DataFrame:
@@ -36,8 +36,8 @@ def band_max(points: DataFrame, at: str, events: DataFrame, reach: int) -> DataF
 
 def coalesce(intervals: DataFrame) -> DataFrame:
     """Touching and overlapping intervals as one."""
-    rows = bucketed(intervals.where("start <= end"), "start")
     order = [F.col("start"), F.col("end")]
+    rows = bucketed(intervals.where("start <= end"), order)
     # The greatest end so far: within the bucket, and of all buckets before.
     within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     tops = rows.groupBy("_bucket").agg(F.max("end").alias("_top"))
@@ -73,7 +73,8 @@ def subtract(intervals: DataFrame, vetoes: DataFrame, least: int, width: int) ->
 def offsets(intervals: DataFrame) -> DataFrame:
     """Add ``offset``, the summed length of the intervals before."""
     size = F.col("end") - F.col("start")
-    rows = running_sums(bucketed(intervals, "start"), [F.col("start"), F.col("seg_id")], {"_upto": size})
+    order = [F.col("start"), F.col("seg_id")]
+    rows = running_sums(bucketed(intervals, order), order, {"_upto": size})
     return rows.select(*intervals.columns, (F.col("_upto") - size).alias("offset"))
 
 
@@ -88,5 +89,5 @@ def first_containing(inner: DataFrame, outer: DataFrame, width: int) -> DataFram
 def gaps(intervals: DataFrame) -> DataFrame:
     """Each interval with the end before and the start after it, in order of start."""
     order = [F.col("start"), F.col("seg_id")]
-    rows = previous(bucketed(intervals, "start"), order, F.col("end"), "end_before")
-    return following(rows, order, F.col("start"), "start_after").drop("_bucket")
+    rows = neighbours(bucketed(intervals, order), order, {"end_before": F.col("end")}, {"start_after": F.col("start")})
+    return rows.drop("_bucket")

@@ -1,8 +1,10 @@
 """Ordered computations over whole tables, without a window in a single task.
 
-A table is cut into buckets at split points of the ordering value. Windows run
-within buckets in parallel; what passes from bucket to bucket is one row a bucket,
-a number bounded by the split points, and is broadcast.
+A table is range-partitioned once by its whole order, ids that break ties included,
+and stored with the number of each row's range. Windows run within the ranges in
+parallel; what passes from range to range is one row a range, no more rows than
+the session's shuffle partitions, and is broadcast. Ranges follow the data's
+distribution, and a value that many rows share is cut by the columns after it.
 """
 
 from __future__ import annotations
@@ -10,26 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets, and so the rows of what is broadcast.
-BUCKETS = 200
+from quaver.session import stored
 
 
-def split_points(df: DataFrame, column: str, n: int = BUCKETS) -> list:
-    """At most n values that cut the column into near-equal parts."""
-    points = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 5000)).first()[0]
-    return sorted(set(points or []))
-
-
-def bucket_of(column: str, points: list) -> Column:
-    if not points:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p <= F.col(column)))
-
-
-def bucketed(df: DataFrame, column: str, descending: bool = False, n: int = BUCKETS) -> DataFrame:
-    """Add ``_bucket``, which rises with the column (falls where descending)."""
-    bucket = bucket_of(column, split_points(df, column, n))
-    return df.withColumn("_bucket", -bucket if descending else bucket)
+def bucketed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df``, stored, with ``_bucket``, which rises along ``order``."""
+    return stored(df.repartitionByRange(*order).withColumn("_bucket", F.spark_partition_id()), "ordered")
 
 
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -47,26 +35,22 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return running_sums(df, order, {name: F.lit(1).cast("long")})
 
 
-def previous(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Add the last value that is not null before the row; null at the start."""
-    return _carried(df, order, value, name, forward=True)
-
-
-def following(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
-    """Add the first value that is not null after the row; null at the end."""
-    return _carried(df, order, value, name, forward=False)
-
-
-def _carried(df: DataFrame, order: list[Column], value: Column, name: str, forward: bool) -> DataFrame:
-    frame = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-    pick = F.last if forward else F.first
+def neighbours(df: DataFrame, order: list[Column], previous: dict[str, Column], following: dict[str, Column] | None = None) -> DataFrame:
+    """Add to a bucketed table the last value that is not null before each row, and the first one after it.
+
+    ``order`` rises. At the ends, where there is none, the values are null.
+    """
+    following = following or {}
+    values = previous | following
+    picks = {k: F.last for k in previous} | {k: F.first for k in following}
+    frames = {k: (Window.unboundedPreceding, -1) for k in previous} | {k: (1, Window.unboundedFollowing) for k in following}
+    place = F.struct(*order)
+    ends = df.groupBy("_bucket").agg(
+        *[(F.max_by if k in previous else F.min_by)(v, F.when(v.isNotNull(), place)).alias(f"_e_{k}") for k, v in values.items()]
+    )
+    over = Window.orderBy("_bucket")
+    edges = ends.select("_bucket", *[picks[k](f"_e_{k}", ignorenulls=True).over(over.rowsBetween(*frames[k])).alias(f"_e_{k}") for k in values])
     within = Window.partitionBy("_bucket").orderBy(*order)
-    out = df.withColumn("_value", value)
-    position = F.when(F.col("_value").isNotNull(), F.row_number().over(within))
-    ends = out.select("_bucket", "_value", position.alias("_p")).where("_value is not null")
-    ends = ends.groupBy("_bucket").agg((F.max_by if forward else F.min_by)("_value", "_p").alias("_end"))
-    buckets = df.select("_bucket").distinct().join(ends, "_bucket", "left")
-    edges = buckets.select("_bucket", pick("_end", ignorenulls=True).over(Window.orderBy("_bucket").rowsBetween(*frame)).alias("_edge"))
-    own = pick("_value", ignorenulls=True).over(within.rowsBetween(*frame))
-    out = out.select(*df.columns, own.alias("_own")).join(F.broadcast(edges), "_bucket")
-    return out.select(*df.columns, F.coalesce("_own", "_edge").alias(name))
+    out = df.select("*", *[picks[k](v, ignorenulls=True).over(within.rowsBetween(*frames[k])).alias(f"_w_{k}") for k, v in values.items()])
+    out = out.join(F.broadcast(edges), "_bucket")
+    return out.select(*df.columns, *[F.coalesce(f"_w_{k}", f"_e_{k}").alias(k) for k in values])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaver.functions.astro import volume_to_distance
-from quaver.operators.ordered import bucketed, following, previous, row_numbers, running_sums
+from quaver.operators.ordered import bucketed, neighbours, row_numbers, running_sums
 
 #: Ranks of descending noise stats that give one false alarm a month, a week, a day, 100 and 1000 a month.
 FAR_RANKS = (1, 4, 30, 100, 1000)
@@ -18,7 +18,7 @@ def clusters(triggers: DataFrame, gap: int) -> DataFrame:
     A trigger more than ``gap`` after the one before begins a cluster.
     """
     order = [F.col("time"), F.col("event_id")]
-    rows = previous(bucketed(triggers, "time"), order, F.col("time"), "_before")
+    rows = neighbours(bucketed(triggers, order), order, {"_before": F.col("time")})
     starts = F.when(F.col("_before").isNull() | (F.col("time") - F.col("_before") > gap), 1).otherwise(0).cast("long")
     rows = running_sums(rows, order, {"cluster_id": starts})
     best = F.min_by(F.struct("event_id", "time", "stat"), F.struct(-F.col("stat"), F.col("time"), F.col("event_id")))
@@ -36,8 +36,8 @@ def nearest_injection(triggers: DataFrame, injections: DataFrame) -> DataFrame:
     left = triggers.select("time", F.lit(1).alias("_kind"), F.col("event_id").alias("_id"), nothing.alias("_inj"), F.struct(*triggers.columns).alias("_row"))
     right = timed.select(F.col("tc").alias("time"), F.lit(0).alias("_kind"), F.col("inj_id").alias("_id"), F.struct("tc", "inj_id").alias("_inj"))
     order = [F.col("time"), F.col("_kind"), F.col("_id")]
-    rows = bucketed(left.where("time is not null").unionByName(right, allowMissingColumns=True), "time")
-    rows = following(previous(rows, order, F.col("_inj"), "_l"), order, F.col("_inj"), "_r").where("_kind = 1")
+    rows = bucketed(left.where("time is not null").unionByName(right, allowMissingColumns=True), order)
+    rows = neighbours(rows, order, {"_l": F.col("_inj")}, {"_r": F.col("_inj")}).where("_kind = 1")
     earlier = F.col("_l").isNotNull() & (F.col("_r").isNull() | (F.col("time") - F.col("_l.tc") < F.col("_r.tc") - F.col("time")))
     pick = F.when(earlier, F.col("_l")).otherwise(F.col("_r"))
     rows = rows.select("_row.*", pick.alias("_p"))
@@ -55,7 +55,8 @@ def best_true_positives(matched: DataFrame, var: int) -> DataFrame:
 
 def false_alarm_rates(noise: DataFrame, duration: float) -> DataFrame:
     """Add ``rank`` (1 for the greatest, ties by id) and ``far``, 0 for the greatest."""
-    rows = row_numbers(bucketed(noise, "stat", descending=True), [F.desc("stat"), F.col("event_id")])
+    order = [F.desc("stat"), F.col("event_id")]
+    rows = row_numbers(bucketed(noise, order), order)
     return rows.select(*noise.columns, "rank", ((F.col("rank") - 1) / F.lit(duration)).alias("far"))
 
 
@@ -74,8 +75,8 @@ def found_curve(noise: DataFrame, found: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("decimal(24,6)")
     a = noise.select("event_id", "stat", F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_n"), zero.alias("_m"), zero.alias("_m2"))
     b = found.select(F.lit(None).cast("long").alias("event_id"), "stat", F.lit(1), F.lit(1).cast("long"), weight(2.5), weight(5.0))
-    rows = bucketed(a.union(b), "stat", descending=True)
-    rows = running_sums(rows, [F.desc("stat"), F.col("_kind")], {"n": F.col("_n"), "m": F.col("_m"), "m2": F.col("_m2")})
+    order = [F.desc("stat"), F.col("_kind"), F.col("event_id")]
+    rows = running_sums(bucketed(a.union(b), order), order, {"n": F.col("_n"), "m": F.col("_m"), "m2": F.col("_m2")})
     return rows.where("_kind = 0").select("event_id", "stat", "n", F.col("m").cast("double").alias("m"), F.col("m2").cast("double").alias("m2"))
 
 

@@ -37,7 +37,7 @@ def roc(scores: DataFrame) -> DataFrame:
     """``score, tpr, fpr`` for each distinct score of ``score, target``, descending."""
     by = scores.groupBy("score").agg(F.sum("target").cast("long").alias("p"), F.sum(1 - F.col("target")).cast("long").alias("q"))
     p, q = by.agg(F.sum("p"), F.sum("q")).first()
-    rows = running_sums(bucketed(by, "score", descending=True), [F.desc("score")], {"tp": F.col("p"), "fp": F.col("q")})
+    rows = running_sums(bucketed(by, [F.desc("score")]), [F.desc("score")], {"tp": F.col("p"), "fp": F.col("q")})
     return rows.select("score", "p", "q", "tp", "fp", (F.col("tp") / F.lit(p or None)).alias("tpr"), (F.col("fp") / F.lit(q or None)).alias("fpr"))
 
 
@@ -51,14 +51,16 @@ def roc_auc(scores: DataFrame) -> DataFrame:
 def rolling_mean(df: DataFrame, order: str, value: str, size: int, every: int) -> DataFrame:
     """Means of each row and the ``size - 1`` next, for every ``every``-th row.
 
-    A row goes to each mean that it belongs to: at most ``size / every`` and one more.
+    Rows are cut into runs of twenty sizes by their numbers; the first ``size - 1`` rows of a run go to the run before as well.
     """
-    rows = row_numbers(bucketed(df, order), [F.col(order)], "rn").select("rn", F.col(value).cast("decimal(28,6)").alias("v"))
-    first = F.ceil(F.greatest(F.lit(0), F.col("rn") - size) / F.lit(every)).cast("long")
-    last = F.floor((F.col("rn") - 1) / F.lit(every)).cast("long")
-    spread = rows.select(F.explode(F.sequence(first, last)).alias("k"), "v")
-    out = spread.groupBy("k").agg((F.sum("v").cast("double") / F.count("*")).alias("mean"))
-    return out.select((F.col("k") * every + 1).alias("rn"), "mean")
+    rows = row_numbers(bucketed(df, [F.col(order)]), [F.col(order)], "rn").select("rn", F.col(value).cast("decimal(28,6)").alias("v"))
+    run = 20 * size
+    own = F.expr(f"(rn - 1) div {run}")
+    overlap = (F.pmod(F.col("rn") - 1, F.lit(run)) < size - 1) & (own > 0)
+    spread = rows.select("rn", "v", own.alias("_own"), F.explode(F.when(overlap, F.array(own - 1, own)).otherwise(F.array(own))).alias("_run"))
+    ahead = Window.partitionBy("_run").orderBy("rn").rowsBetween(0, size - 1)
+    out = spread.select("rn", "_own", "_run", (F.sum("v").over(ahead).cast("double") / F.count("*").over(ahead)).alias("mean"))
+    return out.where((F.col("_run") == F.col("_own")) & (F.pmod(F.col("rn") - 1, F.lit(every)) == 0)).select("rn", "mean")
 
 
 def inverse_weights(df: DataFrame, column: str, width: float) -> DataFrame:
@@ -71,22 +73,20 @@ def inverse_weights(df: DataFrame, column: str, width: float) -> DataFrame:
 def stratified_split(df: DataFrame, id_: str, stratum: str, share: float, seed: int = 42) -> DataFrame:
     """Mark the first ``share`` of each stratum, in order of a hash, as training rows.
 
-    A stratum is never one task: ranks run over buckets of the hash and the few
-    strata's offsets are added.
+    A stratum is never one task: rows are numbered along (stratum, hash, id) over ranges of
+    that order, and each stratum's first number and count are joined back.
     """
-    h = portable_hash(F.col(id_), seed)
-    rows = df.select(id_, stratum, h.alias("_h"), F.shiftright(h, 23).alias("_cell"))
-    cells = rows.groupBy(stratum, "_cell").agg(F.count("*").alias("_n"))
-    by = Window.partitionBy(stratum)
-    cells = cells.select(stratum, "_cell", (F.sum("_n").over(by.orderBy("_cell")) - F.col("_n")).alias("_before"), F.sum("_n").over(by).alias("_all"))
-    inside = Window.partitionBy(stratum, "_cell").orderBy("_h", id_)
-    rows = rows.withColumn("_rank", F.row_number().over(inside)).join(cells, [stratum, "_cell"])
-    return rows.select(id_, stratum, (F.col("_rank") + F.col("_before") <= F.floor(F.col("_all") * F.lit(share))).alias("training"))
+    rows = df.select(id_, stratum, portable_hash(F.col(id_), seed).alias("_h"))
+    order = [F.col(stratum), F.col("_h"), F.col(id_)]
+    rows = row_numbers(bucketed(rows, order), order, "_n")
+    strata = rows.groupBy(F.col(stratum).alias("_s")).agg(F.min("_n").alias("_first"), F.count("*").alias("_all"))
+    rows = rows.join(strata, F.col(stratum).eqNullSafe(F.col("_s")))
+    return rows.select(id_, stratum, (F.col("_n") - F.col("_first") < F.floor(F.col("_all") * F.lit(share))).alias("training"))
 
 
 def chunks(df: DataFrame, id_: str, n: int) -> DataFrame:
     """Near-equal consecutive chunks, the larger ones first."""
-    rows = row_numbers(bucketed(df, id_), [F.col(id_)], "rn")
+    rows = row_numbers(bucketed(df, [F.col(id_)]), [F.col(id_)], "rn")
     total = df.count()
     small, large = divmod(total, n)
     at, edge = F.col("rn") - 1, large * (small + 1)

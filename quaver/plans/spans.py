@@ -32,8 +32,8 @@ def _padded(spark, d):
 
 def _intersect(spark, d):
     rows = R.segments(spark, d, SHORT)
-    left = rows.where("seg_id div 1000000 = 1").select(F.col("seg_id").alias("left_id"), "start", "end")
-    right = rows.where("seg_id div 1000000 <> 1").select(F.col("seg_id").alias("right_id"), "start", "end")
+    left = rows.where("seg_id div 1000000 % 2 = 1").select(F.col("seg_id").alias("left_id"), "start", "end")
+    right = rows.where("seg_id div 1000000 % 2 = 0").select(F.col("seg_id").alias("right_id"), "start", "end")
     return I.intersect(left, right, HOUR)
 
 
@@ -82,7 +82,7 @@ ORACLES = {
     ),
     "interval_intersect": _sql(
         """SELECT a.seg_id AS left_id, b.seg_id AS right_id, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM sh a JOIN sh b
-        ON a.seg_id // 1000000 = 1 AND b.seg_id // 1000000 <> 1 AND greatest(a.start, b.start) < least(a."end", b."end")""", _SHORT
+        ON a.seg_id // 1000000 % 2 = 1 AND b.seg_id // 1000000 % 2 = 0 AND greatest(a.start, b.start) < least(a."end", b."end")""", _SHORT
     ),
     "cumulative_offsets": _sql(
         'SELECT seg_id, start, "end", (sum("end" - start) OVER (ORDER BY start, seg_id ROWS UNBOUNDED PRECEDING) - ("end" - start))::BIGINT AS "offset" FROM sh', _SHORT
