@@ -2,22 +2,27 @@
 
 Symbols are lower-cased words and an end of text. The root's distribution is the
 smoothed word frequency, with one unknown word that gets the discounted mass. A
-context of one or two words becomes a state if it occurs ``MIN_COUNT`` times and passes a
-divergence test against its parent: the mean gain in log-likelihood over the
-parent's distribution on its own occurrences, each left out in turn, must reach
-``min_gain`` nats. A state's distribution is its counts smoothed towards its
-parent's. Each token is scored in the longest suffix of its history that is a
-state.
-
-The tree grows with the corpus, so it is never gathered. Texts are cut into
-blocks, each with a dictionary of its words. A round sends a block's distinct
-keys (words, then contexts with their next symbol, then contexts) with partial
-sums to the buckets of the key space; a bucket adds up each key over all blocks
-and answers every block for the keys that it sent. Blocks are kept in a table
-bucketed by block, so only keys and answers are shuffled. A frequent key costs
-one entry a block.
-
-Words are compared by 64-bit hashes, contexts with their next symbol by 50 bits.
+context of any number of words becomes a state if it occurs ``MIN_COUNT`` times and
+passes a divergence test against the longest state among its suffixes: the mean gain
+in log-likelihood on its own occurrences, each left out in turn, must reach
+``MIN_GAIN`` nats. A state's distribution is its counts smoothed towards that of the
+suffix. Each token is scored in the longest suffix of its history that is a state.
+
+The tree grows by a level a round until a level has no context to examine; no depth
+is fixed. A context is examined if it is frequent, if all but its first and all but
+its last word were examined, and if one of the suffixes that are two to ``LOOK`` + 1
+words shorter is a state (the root is one). So a test may fail at ``LOOK`` lengths in
+a row before growth ends there, and a passage that is copied at length ends it, too.
+
+The tree grows with the corpus, so it is never gathered. Texts are cut into blocks;
+a round sends each block's distinct keys with partial sums to buckets of the key
+space and gets them back added up (``exchange``): words first, then contexts with
+their next symbol, and with each level the gains of the level before. Gains are whole
+multiples of 1 / ``GAIN_SCALE`` nats, so that no sum hangs on how rows are dealt. A
+frequent key costs one entry a block. A block finds its states anew in each round
+from all answers so far: nothing but answers is kept.
+
+Words and contexts are compared by 64-bit hashes.
 
 Defined results: a null or empty text is its end alone. The training part is
 picked by the id's text, a null id counting as an empty one (held out). Repeated
@@ -27,19 +32,18 @@ probability 1. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import new_path, partitions, stored
+from quaver.llm import exchange
+from quaver.llm.common import stored
 from quaver.llm.textarrays import NOT_WHITE, Words, mix, text_slices
 
 BLOCK_BYTES = 6 << 20
@@ -47,34 +51,18 @@ BLOCK_BYTES = 6 << 20
 MIN_COUNT = 12
 #: Strength of the parent in a state, nats of the test, discount of the root.
 PRIOR, MIN_GAIN, DISCOUNT = 4.0, 0.02, 0.5
+#: Lengths at which the test may fail in a row before growth ends.
+LOOK = 2
+GAIN_SCALE = 4096
 END = np.uint64(0x45D9F3B3335B369)
-KEY_BITS = 50
-MESSAGE = "bucket int, block string, kind string, keys binary, numbers binary"
-ANSWER = "block string, kind string, bucket int, numbers binary, total long, known long"
-SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_states long"
-
-
-def _zip(values: np.ndarray) -> bytes:
-    """Byte planes, compressed."""
-    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T if len(values) else values.view(np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def _unzip(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).ravel()
+BLOCK = "block string, doc_ids array<long>, lengths array<long>, words binary, tokens binary, size long"
+SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_states long, depth int"
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def least_count(total: int) -> int:
-    """Occurrences that a context needs among ``total`` training tokens: no more in a larger corpus."""
-    return MIN_COUNT
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     task, seq = TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -85,230 +73,154 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
             tokens = np.full(len(words.hash) + docs, END)
             tokens[np.arange(len(words.hash)) + words.doc] = words.hash
             unique, local = np.unique(tokens, return_inverse=True)
-            row = [f"{task}-{seq}", ids[first : first + docs], np.diff(words.first) + 1, _zip(unique), _zip(local.astype(np.uint32))]
+            row = [f"{task}-{seq}", ids[first : first + docs], np.diff(words.first) + 1, exchange.packed(unique), exchange.packed(local.astype(np.uint32)), len(tokens)]
             seq += 1
-            types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names=["block", "doc_ids", "lengths", "words", "tokens"])
+            types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names=["block", "doc_ids", "lengths", "words", "tokens", "size"])
 
 
 class Block:
-    """One block's tokens and, as they come in, the answers to its keys."""
+    """One block's tokens, and the states that its positions have reached."""
 
-    def __init__(self, row, answers: pd.DataFrame | None = None):
+    def __init__(self, row):
         self.name = row.block
         self.doc_ids = [None if x is None or x != x else int(x) for x in row.doc_ids]
         self.lengths = np.asarray(row.lengths, np.int64)
-        self.words, self.local = _unzip(row.words, np.uint64), _unzip(row.tokens, np.uint32).astype(np.int64)
+        self.words, self.local = exchange.unpacked(row.words, np.uint64), exchange.unpacked(row.tokens, np.uint32).astype(np.int64)
         self.held = np.array([held_out(d) for d in self.doc_ids], bool)
         self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.train = ~self.held[self.doc]
-        self.answers = answers
-
-    def answer(self, kind: str, dtype) -> np.ndarray:
-        part = self.answers[self.answers["kind"] == kind].sort_values("bucket")
-        return np.concatenate([_unzip(x, dtype) for x in part["numbers"]]) if len(part) else np.zeros(0, dtype)
 
     def words_message(self):
-        return self.words, np.bincount(self.local[self.train], minlength=len(self.words)).astype(np.uint32)
-
-    def count_words(self, total: int) -> None:
-        self.count = self.answer("word", np.uint32).astype(np.int64)
-        self.least = least_count(total)
-
-    def contexts(self, depth: int):
-        """Positions with ``depth`` words of their text before them, all frequent, and the context's key."""
-        at = np.arange(depth, len(self.local))
-        fits = self.doc[at - depth] == self.doc[at]
-        for back in range(1, depth + 1):
-            fits &= self.count[self.local[at - back]] >= self.least
-        at = at[fits]
-        context = np.full(len(at), np.uint64(depth))
-        for back in range(1, depth + 1):
-            context = mix(context * np.uint64(0x9E3779B97F4A7C15) + self.words[self.local[at - back]])
-        return at, context
-
-    def successors(self):
-        """Distinct keys of (context, next symbol) of both depths, sorted, with the place of each position."""
-        parts, places = [], []
-        for depth in (1, 2):
-            at, context = self.contexts(depth)
-            known = self.count[self.local[at]] > 0
-            at, context = at[known], context[known]
-            parts.append(mix(context + self.words[self.local[at]] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - KEY_BITS))
-            places.append(at)
-        keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        return keys, places, inverse
-
-    def successors_message(self):
-        keys, places, inverse = self.successors()
-        train = self.train[np.concatenate(places)]
-        return keys, np.bincount(inverse[train], minlength=len(keys)).astype(np.uint32)
-
-    def distributions(self, total: int, known: int):
-        """Per position: the root's probability, and counts of successor and context at each depth."""
+        return self.words, np.bincount(self.local[self.train], minlength=len(self.words)).astype(np.int64)
+
+    def begin(self, counts: np.ndarray, total: int, known: int) -> None:
+        """Root distribution, and contexts of one word."""
         n = len(self.local)
-        count = self.count[self.local]
-        self.root = np.where(count > 0, count - DISCOUNT, DISCOUNT * known) / max(total, 1) if known else np.ones(n)
-        keys, places, inverse = self.successors()
-        answers = self.answer("next", np.uint32).astype(np.float64)
-        self.seen = np.zeros((3, n))
-        start = 0
-        for depth, at in zip((1, 2), places):
-            self.seen[depth, at] = answers[inverse[start : start + len(at)]]
-            start += len(at)
-        self.context, self.key = np.zeros((3, n)), [None, None, None]
-        for depth in (1, 2):
-            at, context = self.contexts(depth)
-            # A context is itself a successor one depth lower, or a word.
-            self.context[depth, at] = self.count[self.local[at - 1]] if depth == 1 else self.seen[1, at - 1]
-            frequent = self.context[depth, at] >= self.least
-            self.key[depth] = (at[frequent], context[frequent])
-
-    def smoothed(self, depth: int, at: np.ndarray, parent: np.ndarray, less: int = 0) -> np.ndarray:
-        seen = np.maximum(self.seen[depth, at] - less, 0)
-        return (seen + PRIOR * parent) / (self.context[depth, at] - less + PRIOR)
-
-    def tests_message(self):
-        """Partial sums of the gains: of depth 1 over the root, of depth 2 over depth 1 and over the root."""
-        keys, gains, sizes = [], [], []
-        for depth in (1, 2):
-            at, context = self.key[depth]
-            train = self.train[at]
-            at, own = at[train], context[train]
-            root = self.root[at]
-            over_root = np.log(self.smoothed(depth, at, root, 1) / root)
-            over_parent = over_root
-            if depth == 2:
-                parent = self.smoothed(1, at, root, 1)
-                over_parent = np.log(self.smoothed(2, at, parent, 1) / parent)
-            unique = np.unique(context)
-            place = np.searchsorted(unique, own)
-            keys.append(unique)
-            gains.append(np.stack([np.bincount(place, w, len(unique)) for w in (over_parent, over_root)], 1))
-            sizes.append(np.bincount(place, minlength=len(unique)))
-        keys, gains, sizes = np.concatenate(keys), np.concatenate(gains), np.concatenate(sizes)
-        order = np.argsort(keys)
-        numbers = np.concatenate([gains, sizes[:, None]], 1)[order].astype(np.float32)
-        return keys[order], numbers
-
-    def score(self, total: int, known: int) -> pd.DataFrame:
-        keys = np.sort(np.concatenate([np.unique(self.key[d][1]) for d in (1, 2)]))
-        passed = self.answer("test", np.uint8)
-        p, states = self.root.copy(), np.zeros(len(self.local), np.int64)
-        at, context = self.key[1]
-        good = passed[np.searchsorted(keys, context)] & 2 > 0 if len(at) else np.zeros(0, bool)
-        at = at[good]
-        p[at] = self.smoothed(1, at, self.root[at])
-        states[at] = 1
-        at, context = self.key[2]
-        verdict = passed[np.searchsorted(keys, context)] if len(at) else np.zeros(0, np.uint8)
-        good = np.where(states[at] == 1, verdict & 1, verdict & 2) > 0
-        at = at[good]
-        p[at] = self.smoothed(2, at, p[at])
-        states[at] = 2
-        count = self.count[self.local]
-        base = np.log10((count + 0.1) / (total + 0.1 * (known + 1)))
+        self.count = counts[self.local]
+        root = np.where(self.count > 0, self.count - DISCOUNT, DISCOUNT * known) / max(total, 1) if known else np.ones(n)
+        # Probability in the longest state, and the same with the position itself left out.
+        self.p, self.q = root, root.copy()
+        self.state = np.zeros(n, np.int32)
+        self.level = 0
+        self.at = self.context = self.size = self.seen = np.zeros(0, np.int64)
+
+    def longer(self):
+        """Positions whose context of one word more is examined, with its key and count."""
+        if self.level == 0:
+            at = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+            size, context = self.count[at - 1], np.full(len(at), np.uint64(1))
+        else:
+            # The count of a context is that of its last word after the words before it.
+            place = np.searchsorted(self.at, self.at - 1)
+            good = (self.at[np.minimum(place, len(self.at) - 1)] == self.at - 1) if len(self.at) else np.zeros(0, bool)
+            good &= self.state[self.at] >= self.level - LOOK
+            at, size, context = self.at[good], self.seen[place[good]], self.context[good]
+        frequent = size >= MIN_COUNT
+        at, size, context = at[frequent], size[frequent], context[frequent]
+        word = self.words[self.local[at - 1 - self.level]]
+        return at, mix(context * np.uint64(0x9E3779B97F4A7C15) + word), size
+
+    def left_out(self) -> np.ndarray:
+        return (np.maximum(self.seen - 1, 0) + PRIOR * self.q[self.at]) / (self.size - 1 + PRIOR)
+
+    def message(self):
+        """Keys, sorted, and numbers of the round: gains of this level's contexts, successors of the next level's."""
+        self.next = self.longer()
+        at, context, _ = self.next
+        contexts, self.own = np.unique(self.context, return_inverse=True)
+        if len(self.at):
+            train = self.train[self.at]
+            gain = np.log(self.left_out()[train] / self.q[self.at][train]) - MIN_GAIN
+            gains = np.bincount(self.own[train], np.rint(gain * GAIN_SCALE), len(contexts))
+        else:
+            gains = np.zeros(0)
+        self.open = self.count[at] > 0
+        successor = mix(context + self.words[self.local[at]] * np.uint64(0xC2B2AE3D27D4EB4F))[self.open]
+        successors, self.after = np.unique(successor, return_inverse=True)
+        seen = np.bincount(self.after[self.train[at[self.open]]], minlength=len(successors))
+        keys, place = np.unique(np.concatenate([contexts.astype(np.uint64), successors]), return_inverse=True)
+        self.context_place, self.successor_place = place[: len(contexts)], place[len(contexts) :]
+        return keys, np.bincount(place, np.concatenate([gains, seen]), len(keys)).astype(np.int64)
+
+    def take(self, sums: np.ndarray) -> None:
+        """The sums of ``message``'s keys: states of this level, counts of the next."""
+        if len(self.at):
+            good = (sums[self.context_place] >= 0)[self.own]
+            at, left_out = self.at[good], self.left_out()[good]
+            self.p[at] = (self.seen[good] + PRIOR * self.p[at]) / (self.size[good] + PRIOR)
+            self.q[at] = left_out
+            self.state[at] = self.level
+        self.at, self.context, self.size = self.next
+        self.seen = np.zeros(len(self.at), np.int64)
+        self.seen[self.open] = sums[self.successor_place][self.after]
+        self.level += 1
+
+    def scores(self, total: int, known: int) -> pd.DataFrame:
+        base = np.log10((self.count + 0.1) / (total + 0.1 * (known + 1)))
         n = len(self.lengths)
+        depth = np.zeros(n, np.int32)
+        np.maximum.at(depth, self.doc, self.state)
         return pd.DataFrame(
             {
                 "doc_id": pd.array(self.doc_ids, "Int64"),
                 "held_out": self.held,
                 "n_tokens": self.lengths,
-                "n_known": np.bincount(self.doc, count > 0, n).astype(np.int64),
+                "n_known": np.bincount(self.doc, self.count > 0, n).astype(np.int64),
                 "base_score": np.bincount(self.doc, base, n),
-                "score": np.bincount(self.doc, np.log10(p), n),
-                "n_states": np.bincount(self.doc, states > 0, n).astype(np.int64),
+                "score": np.bincount(self.doc, np.log10(self.p), n),
+                "n_states": np.bincount(self.doc, self.state > 0, n).astype(np.int64),
+                "depth": depth,
             }
         )
 
 
-def _messages(name: str, kind: str, keys: np.ndarray, numbers: np.ndarray, buckets: int, bits: int) -> pd.DataFrame:
-    """Sorted keys cut into the buckets' ranges."""
-    bucket = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    rows = [
-        (k, name, kind, _zip(np.diff(keys[a:b], prepend=np.uint64(0))), _zip(numbers[a:b].ravel()))
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
-        if b > a
-    ]
-    return pd.DataFrame(rows, columns=["bucket", "block", "kind", "keys", "numbers"])
-
-
-def _tally(frame: pd.DataFrame) -> pd.DataFrame:
-    """Add up a bucket's keys over all blocks and answer each block."""
-    kind = frame["kind"].iloc[0]
-    dtype, wide = (np.float32, 3) if kind == "test" else (np.uint32, 1)
-    keys = [np.cumsum(_unzip(k, np.uint64), dtype=np.uint64) for k in frame["keys"]]
-    sizes = [len(k) for k in keys]
-    unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    numbers = [_unzip(n, dtype).astype(np.float64) for n in frame["numbers"]]
-    numbers = np.concatenate(numbers).reshape(-1, wide)
-    sums = [np.bincount(inverse, numbers[:, c], len(unique)) for c in range(wide)]
-    if kind == "test":
-        least = MIN_GAIN * np.maximum(sums[2], 1)
-        values = ((sums[0] >= least) + 2 * (sums[1] >= least)).astype(np.uint8)
-    else:
-        values = sums[0].astype(np.uint32)
-    ends = np.cumsum(sizes)
-    out = [
-        (block, kind, int(bucket), _zip(values[inverse[e - s : e]]), 0, 0)
-        for block, bucket, s, e in zip(frame["block"], frame["bucket"], sizes, ends)
-    ]
-    out.append((None, kind, int(frame["bucket"].iloc[0]), b"", int(sums[0].sum()), int((sums[0] > 0).sum())))
-    return pd.DataFrame(out, columns=["block", "kind", "bucket", "numbers", "total", "known"])
-
-
-def _tallied(messages: DataFrame) -> DataFrame:
-    return stored(messages.groupBy("bucket").applyInPandas(_tally, ANSWER), "lm-answers")
+def _sums(place: np.ndarray, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    return sums[:, 0].astype(np.int64)
 
 
 def score_texts(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Train on the rows that are not held out and score all; ``docs`` has ``doc_id``."""
-    spark: SparkSession = docs.sparkSession
-    buckets = partitions(spark)
-    name = f"lm_blocks_{uuid.uuid4().hex}"
+    """Train on the rows that are not held out and score all; ``docs`` has ``doc_id``.
+
+    Besides the scores: ``n_states``, tokens scored below the root, and ``depth``, the
+    words of the longest state used.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = rows.mapInArrow(lambda batches: _blocks(batches, block_bytes), "block string, doc_ids array<long>, lengths array<long>, words binary, tokens binary")
-    writer = blocks.write.bucketBy(buckets, "block").option("compression", "zstd").option("path", new_path(spark, "lm-blocks"))
-    writer.format("parquet").saveAsTable(name)
-    blocks = spark.table(name)
-
-    def send_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples():
-                yield _messages(row.block, "word", *Block(row).words_message(), buckets, 64)
-
-    answers = _tallied(blocks.mapInPandas(send_words, MESSAGE))
-    stats = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-    total, known = int(stats[0]), int(stats[1])
-
-    def step(function, schema: str, answers: DataFrame) -> DataFrame:
-        replies = answers.where("block is not null").select("block", "kind", "bucket", "numbers")
-
-        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left):
-                return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-            block = Block(next(left.itertuples()), right)
-            block.count_words(total)
-            return function(block)
-
-        return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(run, schema)
-
-    def send_next(block: Block) -> pd.DataFrame:
-        return _messages(block.name, "next", *block.successors_message(), buckets, KEY_BITS)
-
-    def send_tests(block: Block) -> pd.DataFrame:
-        block.distributions(total, known)
-        return _messages(block.name, "test", *block.tests_message(), buckets, 64)
-
-    def finish(block: Block) -> pd.DataFrame:
-        block.distributions(total, known)
-        return block.score(total, known)
-
-    answers = answers.union(_tallied(step(send_next, MESSAGE, answers)))
-    answers = answers.union(_tallied(step(send_tests, MESSAGE, answers)))
-    scores = stored(step(finish, SCORE, answers), "lm-scores")
-    spark.sql(f"DROP TABLE {name}")
+    columns = ("doc_ids", "lengths", "words", "tokens")
+    with exchange.block_table(rows.mapInArrow(lambda batches: _blocks(batches, block_bytes), BLOCK), "lm_blocks") as blocks:
+        tokens = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        buckets = exchange.bucket_count(tokens)
+        first = exchange.sent_by(blocks, columns, lambda row: exchange.messages(row.block, *Block(row).words_message(), buckets))
+        answers = exchange.tallied(first, np.int64, 1, _sums, "lm-words")
+        total, known = exchange.totals(answers)
+        answers = answers.withColumn("round", F.lit(0))
+
+        def grown(row, replies: pd.DataFrame, rounds: int) -> Block:
+            block = Block(row)
+            numbers = dict(list(replies.groupby("round")))
+            block.begin(exchange.answer(numbers[0], np.int64), total, known)
+            for r in range(1, rounds + 1):
+                block.message()
+                block.take(exchange.answer(numbers[r], np.int64) if r in numbers else np.zeros(0, np.int64))
+            return block
+
+        rounds = 0
+        while True:
+
+            def send(row, replies: pd.DataFrame, rounds: int = rounds) -> pd.DataFrame:
+                return exchange.messages(row.block, *grown(row, replies, rounds).message(), buckets)
+
+            sent = exchange.answered(blocks, columns, answers, send, exchange.MESSAGE)
+            more = exchange.tallied(sent, np.int64, 1, _sums, "lm-level")
+            if more.isEmpty():
+                break
+            rounds += 1
+            answers = answers.unionByName(more.withColumn("round", F.lit(rounds)))
+
+        def finish(row, replies: pd.DataFrame) -> pd.DataFrame:
+            return grown(row, replies, rounds).scores(total, known)
+
+        scores = stored(exchange.answered(blocks, columns, answers, finish, SCORE), "lm-scores")
     return scores.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

@@ -15,44 +15,56 @@ def plain_scores(rows):
     for d, t in rows:
         held = zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
         texts.append((d, held, [w.decode() for w in (t or "").encode().lower().split()] + [None]))
-    c, nxt, size = Counter(), {1: Counter(), 2: Counter()}, {1: Counter(), 2: Counter()}
+    c = Counter()
     for _, held, w in texts:
         if not held:
             c.update(w)
-            for k in (1, 2):
-                for i in range(k, len(w)):
-                    nxt[k][tuple(w[i - k : i]), w[i]] += 1
-                    size[k][tuple(w[i - k : i])] += 1
     total, known = sum(c.values()), len(c)
-    p0 = lambda s: ((c[s] - lm.DISCOUNT) if c[s] else lm.DISCOUNT * known) / total if known else 1.0
-    smooth = lambda k, h, s, parent, less=0: (max(nxt[k][h, s] - less, 0) + lm.PRIOR * parent) / (size[k][h] - less + lm.PRIOR)
-
-    def frequent(h):
-        return all(c[x] >= lm.least_count(total) for x in h) and size[len(h)][h] >= lm.least_count(total)
-
-    gain = defaultdict(lambda: [0.0, 0.0])
-    for k in (1, 2):
-        for (h, s), n in nxt[k].items():
-            root = p0(s)
-            over_root = math.log(smooth(k, h, s, root, 1) / root)
-            parent = smooth(1, h[1:], s, root, 1) if k == 2 else root
-            over_parent = math.log(smooth(2, h, s, parent, 1) / parent) if k == 2 else over_root
-            gain[h][0] += n * over_parent
-            gain[h][1] += n * over_root
-    passes = lambda h, which: frequent(h) and gain[h][which] >= lm.MIN_GAIN * size[len(h)][h]
-    out = {}
-    for row, (d, held, w) in enumerate(texts):
-        score = base = states = 0
+    root = lambda s: ((c[s] - lm.DISCOUNT) if c[s] else lm.DISCOUNT * known) / total if known else 1.0
+    states, nxt, size = {}, {}, {(): total}
+
+    def smoothed(h, s, less):
+        p = root(s)
+        for k in range(1, len(h) + 1):
+            g = h[len(h) - k :]
+            if g in states or k == len(h):
+                p = (max(nxt[g][s] - less, 0) + lm.PRIOR * p) / (size[g] - less + lm.PRIOR)
+        return p
+
+    def longest(h):
+        return next((h[k:] for k in range(len(h)) if h[k:] in states), ())
+
+    d, examined = 1, {(): None}
+    while examined:
+        found = defaultdict(Counter)
+        for _, held, w in texts:
+            if not held:
+                for i in range(d, len(w)):
+                    h = tuple(w[i - d : i])
+                    if h[1:] in examined and h[:-1] in examined:
+                        found[h][w[i]] += 1
+        examined, passed = {}, []
+        for h, successors in found.items():
+            n = sum(successors.values())
+            # A state of depth d - 1 is not known when contexts of d words are examined.
+            known_state = len(longest(h[2:])) if d > 2 else 0
+            if n < lm.MIN_COUNT or known_state < d - 1 - lm.LOOK:
+                continue
+            examined[h], nxt[h], size[h] = None, successors, n
+            gain = sum(m * round((math.log(smoothed(h, s, 1) / smoothed(longest(h), s, 1)) - lm.MIN_GAIN) * lm.GAIN_SCALE) for s, m in successors.items())
+            if gain >= 0:
+                passed.append(h)
+        states.update(dict.fromkeys(passed))
+        d += 1
+    out, deepest = {}, max(map(len, states), default=0)
+    for row, (doc, held, w) in enumerate(texts):
+        score = base = used = 0
         for i, s in enumerate(w):
-            p, state = p0(s), 0
-            if i >= 1 and passes((w[i - 1],), 1):
-                p, state = smooth(1, (w[i - 1],), s, p), 1
-            if i >= 2 and passes((w[i - 2], w[i - 1]), 0 if state else 1):
-                p, state = smooth(2, (w[i - 2], w[i - 1]), s, p), 2
-            score += math.log10(p)
-            states += state > 0
+            h = longest(tuple(w[max(0, i - deepest) : i]))
+            score += math.log10(smoothed(h, s, 0))
+            used += len(h) > 0
             base += math.log10((c[s] + 0.1) / (total + 0.1 * (known + 1)))
-        out[row] = (d, held, len(w), sum(c[s] > 0 for s in w), base, score, states)
+        out[row] = (doc, held, len(w), sum(c[s] > 0 for s in w), base, score, used)
     return out, total
 
 
@@ -85,10 +97,22 @@ def test_nothing_to_train_on(spark):
     assert out["held_out"] and out["train_tokens"] == 0 and out["score"] == 0 and out["base_score"] == 0
 
 
+def test_context_of_four_words(spark):
+    """Only the fourth word back tells what comes: shorter contexts fail or leave it open."""
+    texts = [(i, ("north east west south sun" if i % 2 else "below east west south rain")) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = lm.score_texts(docs).collect()
+    assert {r["depth"] for r in out} == {4}
+    assert min(r["score"] for r in out) > -1.2
+    spread = lm.score_texts(docs.repartition(7), block_bytes=100).collect()
+    key = lambda r: (r["doc_id"], r["n_states"], r["depth"], round(r["score"], 9))
+    assert sorted(map(key, out)) == sorted(map(key, spread))
+
+
 def test_contexts_of_a_small_corpus_stay_in_a_large_one(spark):
     rare = [(i, "rare pair") for i in range(20)]
     large = spark.range(100, 116).select(F.col("id").alias("doc_id"), F.expr("repeat('filler ', 1600000)").alias("text"))
     out = lm.score_texts(spark.createDataFrame(rare, "doc_id long, text string").union(large)).where("doc_id < 100").collect()
     trained = sum(not r["held_out"] for r in out)
     assert lm.MIN_COUNT <= trained <= 20 and out[0]["train_tokens"] > 20_000_000
-    assert {r["n_states"] for r in out} == {2}
+    assert {r["depth"] for r in out} >= {1}
