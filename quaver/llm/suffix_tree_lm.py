@@ -176,7 +176,7 @@ class Block:
 
 
 def _sums(place: np.ndarray, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    return sums[:, 0].astype(np.int64)
+    return sums[place, 0].astype(np.int64)
 
 
 def score_texts(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
