@@ -19,8 +19,9 @@ a round sends each block's distinct keys with partial sums to buckets of the key
 space and gets them back added up (``exchange``): words first, then contexts with
 their next symbol, and with each level the gains of the level before. Gains are whole
 multiples of 1 / ``GAIN_SCALE`` nats, so that no sum hangs on how rows are dealt. A
-frequent key costs one entry a block. A block finds its states anew in each round
-from all answers so far: nothing but answers is kept.
+frequent key costs one entry a block. A block finds its states anew from all answers
+in the first rounds; from level ``CARRY`` on it keeps what the positions that can
+still grow have reached, a value for each distinct key, and its texts' sums over the rest.
 
 Words and contexts are compared by 64-bit hashes.
 
@@ -32,8 +33,10 @@ probability 1. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
@@ -54,6 +57,8 @@ PRIOR, MIN_GAIN, DISCOUNT = 4.0, 0.02, 0.5
 #: Lengths at which the test may fail in a row before growth ends.
 LOOK = 2
 GAIN_SCALE = 4096
+#: Level from which states are carried from round to round.
+CARRY = 3
 END = np.uint64(0x45D9F3B3335B369)
 BLOCK = "block string, doc_ids array<long>, lengths array<long>, words binary, tokens binary, size long"
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_states long, depth int"
@@ -103,6 +108,15 @@ class Block:
         self.p, self.q = root, root.copy()
         self.state = np.zeros(n, np.int32)
         self.level = 0
+        docs = len(self.lengths)
+        base = np.log10((self.count + 0.1) / (total + 0.1 * (known + 1)))
+        self.sums = {
+            "n_known": np.bincount(self.doc, self.count > 0, docs).astype(np.int64),
+            "base_score": np.bincount(self.doc, base, docs),
+            "score": np.zeros(docs),
+            "n_states": np.zeros(docs, np.int64),
+            "depth": np.zeros(docs, np.int32),
+        }
         self.at = self.context = self.size = self.seen = np.zeros(0, np.int64)
 
     def longer(self):
@@ -121,6 +135,42 @@ class Block:
         word = self.words[self.local[at - 1 - self.level]]
         return at, mix(context * np.uint64(0x9E3779B97F4A7C15) + word), size
 
+    def successor(self, at: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return mix(context + self.words[self.local[at]] * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def summed(self, positions: np.ndarray) -> dict[str, np.ndarray]:
+        """Sums by text over what ended before and over ``positions``."""
+        docs, doc, state = len(self.lengths), self.doc[positions], self.state[positions]
+        depth = self.sums["depth"].copy()
+        np.maximum.at(depth, doc, state)
+        return self.sums | {
+            "score": self.sums["score"] + np.bincount(doc, np.log10(self.p[positions]), docs),
+            "n_states": self.sums["n_states"] + np.bincount(doc, state > 0, docs).astype(np.int64),
+            "depth": depth,
+        }
+
+    def saved(self) -> bytes:
+        """Everything that ``restore`` needs: contexts with their next symbol decide all but the places."""
+        _, first = np.unique(self.successor(self.at, self.context), return_index=True)
+        at, ended = self.at[first], np.ones(len(self.local), bool)
+        ended[self.at] = False
+        values = [self.p[at], self.q[at], self.seen[first], self.size[first], self.state[at].astype(np.int64), (self.count[at] > 0).astype(np.int64)]
+        places = np.diff(self.at, prepend=0).astype(np.uint32)
+        return pickle.dumps((self.level, exchange.packed(places), [exchange.packed(v) for v in values], self.summed(np.flatnonzero(ended))))
+
+    def restore(self, data: bytes) -> None:
+        self.level, places, values, self.sums = pickle.loads(data)
+        n = len(self.local)
+        self.p, self.q, self.state, self.count = np.ones(n), np.ones(n), np.zeros(n, np.int32), np.zeros(n, np.int64)
+        at = self.at = np.cumsum(exchange.unpacked(places, np.uint32), dtype=np.int64)
+        self.context = np.full(len(at), np.uint64(1))
+        for back in range(1, self.level + 1):
+            self.context = mix(self.context * np.uint64(0x9E3779B97F4A7C15) + self.words[self.local[at - back]])
+        _, key = np.unique(self.successor(at, self.context), return_inverse=True)
+        kinds = (np.float64, np.float64, np.int64, np.int64, np.int64, np.int64)
+        p, q, self.seen, self.size, state, known = [exchange.unpacked(v, k)[key] for v, k in zip(values, kinds)]
+        self.p[at], self.q[at], self.state[at], self.count[at] = p, q, state, known
+
     def left_out(self) -> np.ndarray:
         return (np.maximum(self.seen - 1, 0) + PRIOR * self.q[self.at]) / (self.size - 1 + PRIOR)
 
@@ -136,8 +186,7 @@ class Block:
         else:
             gains = np.zeros(0)
         self.open = self.count[at] > 0
-        successor = mix(context + self.words[self.local[at]] * np.uint64(0xC2B2AE3D27D4EB4F))[self.open]
-        successors, self.after = np.unique(successor, return_inverse=True)
+        successors, self.after = np.unique(self.successor(at, context)[self.open], return_inverse=True)
         seen = np.bincount(self.after[self.train[at[self.open]]], minlength=len(successors))
         keys, place = np.unique(np.concatenate([contexts.astype(np.uint64), successors]), return_inverse=True)
         self.context_place, self.successor_place = place[: len(contexts)], place[len(contexts) :]
@@ -156,23 +205,9 @@ class Block:
         self.seen[self.open] = sums[self.successor_place][self.after]
         self.level += 1
 
-    def scores(self, total: int, known: int) -> pd.DataFrame:
-        base = np.log10((self.count + 0.1) / (total + 0.1 * (known + 1)))
-        n = len(self.lengths)
-        depth = np.zeros(n, np.int32)
-        np.maximum.at(depth, self.doc, self.state)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(self.doc_ids, "Int64"),
-                "held_out": self.held,
-                "n_tokens": self.lengths,
-                "n_known": np.bincount(self.doc, self.count > 0, n).astype(np.int64),
-                "base_score": np.bincount(self.doc, base, n),
-                "score": np.bincount(self.doc, np.log10(self.p), n),
-                "n_states": np.bincount(self.doc, self.state > 0, n).astype(np.int64),
-                "depth": depth,
-            }
-        )
+    def scores(self) -> pd.DataFrame:
+        sums = self.summed(np.arange(len(self.local)))
+        return pd.DataFrame({"doc_id": pd.array(self.doc_ids, "Int64"), "held_out": self.held, "n_tokens": self.lengths} | sums)
 
 
 def _sums(place: np.ndarray, numbers: np.ndarray, sums: np.ndarray) -> np.ndarray:
@@ -187,7 +222,8 @@ def score_texts(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     columns = ("doc_ids", "lengths", "words", "tokens")
-    with exchange.block_table(rows.mapInArrow(lambda batches: _blocks(batches, block_bytes), BLOCK), "lm_blocks") as blocks:
+    with ExitStack() as tables:
+        blocks = tables.enter_context(exchange.block_table(rows.mapInArrow(lambda batches: _blocks(batches, block_bytes), BLOCK), "lm_blocks"))
         tokens = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         buckets = exchange.bucket_count(tokens)
         first = exchange.sent_by(blocks, columns, lambda row: exchange.messages(row.block, *Block(row).words_message(), buckets))
@@ -197,30 +233,37 @@ def score_texts(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
 
         def grown(row, replies: pd.DataFrame, rounds: int) -> Block:
             block = Block(row)
-            numbers = dict(list(replies.groupby("round")))
-            block.begin(exchange.answer(numbers[0], np.int64), total, known)
-            for r in range(1, rounds + 1):
+            numbers = {r: exchange.answer(part, np.int64) for r, part in replies.groupby("round")}
+            if hasattr(row, "state"):
+                block.restore(row.state)
+            else:
+                block.begin(numbers[0], total, known)
+            while block.level < rounds:
                 block.message()
-                block.take(exchange.answer(numbers[r], np.int64) if r in numbers else np.zeros(0, np.int64))
+                block.take(numbers.get(block.level + 1, np.zeros(0, np.int64)))
             return block
 
-        rounds = 0
+        rounds, side = 0, blocks
         while True:
 
             def send(row, replies: pd.DataFrame, rounds: int = rounds) -> pd.DataFrame:
-                return exchange.messages(row.block, *grown(row, replies, rounds).message(), buckets)
-
-            sent = exchange.answered(blocks, columns, answers, send, exchange.MESSAGE)
-            more = exchange.tallied(sent, np.int64, 1, _sums, "lm-level")
+                block = grown(row, replies, rounds)
+                kept = [(-1, block.name, block.saved(), b"")] if rounds >= CARRY else []
+                rows = exchange.messages(block.name, *block.message(), buckets)
+                return pd.concat([rows, pd.DataFrame(kept, columns=rows.columns)]) if kept else rows
+
+            sent = exchange.answered(side, columns, answers, send, exchange.MESSAGE)
+            if rounds >= CARRY:
+                sent = tables.enter_context(exchange.block_table(sent, "lm_states"))
+                side = blocks.join(sent.where("bucket = -1").select("block", F.col("keys").alias("state")), "block")
+                columns = ("doc_ids", "lengths", "words", "tokens", "state")
+            more = exchange.tallied(sent.where("bucket >= 0"), np.int64, 1, _sums, "lm-level").withColumn("round", F.lit(rounds + 1))
+            answers = more if rounds >= CARRY else answers.unionByName(more)
             if more.isEmpty():
                 break
             rounds += 1
-            answers = answers.unionByName(more.withColumn("round", F.lit(rounds)))
-
-        def finish(row, replies: pd.DataFrame) -> pd.DataFrame:
-            return grown(row, replies, rounds).scores(total, known)
 
-        scores = stored(exchange.answered(blocks, columns, answers, finish, SCORE), "lm-scores")
+        scores = stored(exchange.answered(side, columns, answers, lambda row, replies: grown(row, replies, rounds).scores(), SCORE), "lm-scores")
     return scores.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
