@@ -36,7 +36,6 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterator
-from contextlib import ExitStack
 
 import numpy as np
 import pandas as pd
@@ -222,8 +221,7 @@ def score_texts(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     columns = ("doc_ids", "lengths", "words", "tokens")
-    with ExitStack() as tables:
-        blocks = tables.enter_context(exchange.block_table(rows.mapInArrow(lambda batches: _blocks(batches, block_bytes), BLOCK), "lm_blocks"))
+    with exchange.block_table(rows.mapInArrow(lambda batches: _blocks(batches, block_bytes), BLOCK), "lm_blocks") as blocks:
         tokens = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         buckets = exchange.bucket_count(tokens)
         first = exchange.sent_by(blocks, columns, lambda row: exchange.messages(row.block, *Block(row).words_message(), buckets))
@@ -233,9 +231,10 @@ def score_texts(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
 
         def grown(row, replies: pd.DataFrame, rounds: int) -> Block:
             block = Block(row)
-            numbers = {r: exchange.answer(part, np.int64) for r, part in replies.groupby("round")}
-            if hasattr(row, "state"):
-                block.restore(row.state)
+            numbers = {r: exchange.answer(part, np.int64) for r, part in replies[replies["bucket"] >= 0].groupby("round")}
+            state = replies["numbers"][replies["bucket"] == -1]
+            if len(state):
+                block.restore(state.iloc[0])
             else:
                 block.begin(numbers[0], total, known)
             while block.level < rounds:
@@ -243,27 +242,28 @@ def score_texts(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
                 block.take(numbers.get(block.level + 1, np.zeros(0, np.int64)))
             return block
 
-        rounds, side = 0, blocks
+        rounds = 0
         while True:
 
             def send(row, replies: pd.DataFrame, rounds: int = rounds) -> pd.DataFrame:
                 block = grown(row, replies, rounds)
-                kept = [(-1, block.name, block.saved(), b"")] if rounds >= CARRY else []
+                kept = [(-1, block.name, b"", block.saved())] if rounds >= CARRY else []
                 rows = exchange.messages(block.name, *block.message(), buckets)
                 return pd.concat([rows, pd.DataFrame(kept, columns=rows.columns)]) if kept else rows
 
-            sent = exchange.answered(side, columns, answers, send, exchange.MESSAGE)
-            if rounds >= CARRY:
-                sent = tables.enter_context(exchange.block_table(sent, "lm_states"))
-                side = blocks.join(sent.where("bucket = -1").select("block", F.col("keys").alias("state")), "block")
-                columns = ("doc_ids", "lengths", "words", "tokens", "state")
+            sent = exchange.answered(blocks, columns, answers, send, exchange.MESSAGE)
+            sent = stored(sent, "lm-states") if rounds >= CARRY else sent
             more = exchange.tallied(sent.where("bucket >= 0"), np.int64, 1, _sums, "lm-level").withColumn("round", F.lit(rounds + 1))
-            answers = more if rounds >= CARRY else answers.unionByName(more)
+            if rounds >= CARRY:
+                # A state travels to its block as one more reply.
+                answers = more.unionByName(sent.where("bucket = -1").select("bucket", "block", "numbers", F.lit(0).alias("round")), allowMissingColumns=True)
+            else:
+                answers = answers.unionByName(more)
             if more.isEmpty():
                 break
             rounds += 1
 
-        scores = stored(exchange.answered(side, columns, answers, lambda row, replies: grown(row, replies, rounds).scores(), SCORE), "lm-scores")
+        scores = stored(exchange.answered(blocks, columns, answers, lambda row, replies: grown(row, replies, rounds).scores(), SCORE), "lm-scores")
     return scores.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
