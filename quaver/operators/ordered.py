@@ -50,7 +50,9 @@ def neighbours(df: DataFrame, order: list[Column], previous: dict[str, Column],
     )
     over = Window.orderBy("_bucket")
     edges = ends.select("_bucket", *[picks[k](f"_e_{k}", ignorenulls=True).over(over.rowsBetween(*frames[k])).alias(f"_e_{k}") for k in values])
-    within = Window.partitionBy("_bucket").orderBy(*order)
-    out = df.select("*", *[picks[k](v, ignorenulls=True).over(within.rowsBetween(*frames[k])).alias(f"_w_{k}") for k, v in values.items()])
+    # What follows is what came before in the reverse order: a frame that runs to the end is worked out anew for every row.
+    upto = (Window.unboundedPreceding, -1)
+    rising, falling = [Window.partitionBy("_bucket").orderBy(*o).rowsBetween(*upto) for o in (order, [c.desc() for c in order])]
+    out = df.select("*", *[F.last(v, ignorenulls=True).over(rising if k in previous else falling).alias(f"_w_{k}") for k, v in values.items()])
     out = out.join(F.broadcast(edges), "_bucket")
     return out.select(*df.columns, *[F.coalesce(f"_w_{k}", f"_e_{k}").alias(k) for k in values])
