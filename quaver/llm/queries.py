@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaver.llm import decontaminate, main_text, minimax_shards, piece_codec, quality, simhash, suffix_tree_lm, token_store, toxicity, url_filter
+from quaver.llm import decontaminate, filter_audit, main_text, minimax_shards, piece_codec, quality, simhash, suffix_tree_lm, token_store, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_tree_lm": suffix_tree_lm.op1_suffix_tree_lm,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_main_text": main_text.op8_main_text,
     "op9_simhash": simhash.op9_simhash,
     "op10_token_store": token_store.op10_token_store,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLES = {
     "op3_url_filter": url_filter.OP3_SQL,
     "op5_quality": quality.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
