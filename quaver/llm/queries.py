@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaver.llm import decontaminate, filter_audit, lexical_search, main_text, minimax_shards, piece_codec, quality, simhash, suffix_tree_lm, token_store, toxicity, url_filter
+from quaver.llm import decontaminate, filter_audit, lexical_search, main_text, minimax_shards, piece_codec, quality, simhash, suffix_tree_lm, token_store, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_tree_lm": suffix_tree_lm.op1_suffix_tree_lm,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_store": token_store.op10_token_store,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_exact_topk": topk_search.op13_exact_topk,
 }
 ORACLES = {
     "op3_url_filter": url_filter.OP3_SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
     "op12_lexical_search": lexical_search.OP12_SQL,
+    "op13_exact_topk": topk_search.OP13_SQL,
 }
