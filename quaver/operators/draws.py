@@ -1,4 +1,4 @@
-"""Random draws as columns of a hash, so that a row's draw never hangs on how rows are dealt."""
+"""Distributions, seeds and losses as columns; the draws under them are ``counters``."""
 
 from __future__ import annotations
 
@@ -7,12 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaver.operators.tables import portable_hash
-
-
-def uniform(id_: Column, seed: int, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.lit(low) + F.lit(high - low) * (portable_hash(id_, seed) / F.lit(float(1 << 31)))
-
 
 def uniform_radius(u: Column, low: float, high: float) -> Column:
     """A distance uniform in volume, from a draw of 0 to 1."""

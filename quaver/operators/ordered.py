@@ -35,6 +35,19 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     return running_sums(df, order, {name: F.lit(1).cast("long")})
 
 
+def numbered_within(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Number the rows of each group from 1 in an order that has no ties that matter; a group is never one task.
+
+    Rows are numbered along group and order over ranges, and each group's first number is joined back.
+    """
+    along = [F.col(c) for c in (*by, *order)]
+    rows = row_numbers(bucketed(df, along), along, "_rn")
+    firsts = rows.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(F.min("_rn").alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+    rows = rows.join(firsts, same)
+    return rows.select(*df.columns, (F.col("_rn") - F.col("_first") + 1).alias(name))
+
+
 def neighbours(df: DataFrame, order: list[Column], previous: dict[str, Column], following: dict[str, Column] | None = None) -> DataFrame:
     """Add to a bucketed table the last value that is not null before each row, and the first one after it.
 

@@ -5,24 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaver.operators.counters import draw
 from quaver.operators.ordered import bucketed, row_numbers, running_sums
 
 
-def portable_hash(id_: Column, seed: int = 0) -> Column:
-    """A hash of 32 bits that any engine can compute with integers: 0 to 2^32 - 1."""
-    x = F.pmod(id_ + F.lit(seed * 7919), F.lit(1 << 31))
-    x = (x * F.lit(2654435761 % (1 << 31))) % F.lit(1 << 31)
-    return ((x.bitwiseXOR(F.shiftright(x, 15))) * F.lit(1103515245) + 12345) % F.lit(1 << 31)
-
-
-PORTABLE = "(xor({x}, {x} >> 15) * 1103515245 + 12345) % 2147483648"
-
-
-def portable_sql(id_: str, seed: int = 0) -> str:
-    x = f"((({id_} + {seed * 7919}) % 2147483648 * {2654435761 % (1 << 31)}) % 2147483648)"
-    return "(" + PORTABLE.format(x=x) + ")"
-
-
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Equal-width bins from the least to the greatest value, the last one closed."""
     low, high = df.agg(F.min(column), F.max(column)).first()
@@ -71,12 +57,12 @@ def inverse_weights(df: DataFrame, column: str, width: float) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, id_: str, stratum: str, share: float, seed: int = 42) -> DataFrame:
-    """Mark the first ``share`` of each stratum, in order of a hash, as training rows.
+    """Mark the first ``share`` of each stratum, in order of a draw, as training rows.
 
     A stratum is never one task: rows are numbered along (stratum, hash, id) over ranges of
     that order, and each stratum's first number and count are joined back.
     """
-    rows = df.select(id_, stratum, portable_hash(F.col(id_), seed).alias("_h"))
+    rows = df.select(id_, stratum, draw(F.col(id_), seed).alias("_h"))
     order = [F.col(stratum), F.col("_h"), F.col(id_)]
     rows = row_numbers(bucketed(rows, order), order, "_n")
     strata = rows.groupBy(F.col(stratum).alias("_s")).agg(F.min("_n").alias("_first"), F.count("*").alias("_all"))

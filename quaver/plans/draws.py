@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaver.functions import astro as A
+from quaver.operators import counters as K
 from quaver.operators import draws as W
-from quaver.operators.tables import portable_sql
 from quaver.plans import search as P
 from quaver.sources import roles as R
 
@@ -15,7 +15,7 @@ START, END, EPOCHS, FIRST, LAST = 3, 9, 15, 0.2, 0.8
 
 def priors(spark, d):
     """Masses, sky, polarisation and chirp distance of each injection."""
-    u = [W.uniform(F.col("inj_id"), k) for k in range(1, 7)]
+    u = [K.uniform(F.col("inj_id"), k) for k in range(1, 7)]
     m1, m2 = W.ordered_masses(u[0], u[1], 7.0, 50.0)
     ra, dec = W.sky_position(u[2], u[3])
     columns = {"mass1": m1, "mass2": m2, "ra": ra, "dec": dec, "polarisation": u[4] * 6.283185307179586, "chirp_distance": W.uniform_radius(u[5], 130.0, 350.0), "mchirp": A.chirp_mass(m1, m2)}
@@ -44,7 +44,7 @@ def score_losses(spark, d):
 
 QUERIES = {"priors_uniform": priors, "annealed_probability": annealed_probability, "score_losses": score_losses}
 
-_U = [f"({portable_sql('inj_id', k)} / 2147483648.0::DOUBLE)" for k in range(1, 7)]
+_U = [K.uniform_sql("inj_id", k) for k in range(1, 7)]
 _M1, _M2 = f"(7.0::DOUBLE + 43.0 * greatest({_U[0]}, {_U[1]}))", f"(7.0::DOUBLE + 43.0 * least({_U[0]}, {_U[1]}))"
 ORACLES = {
     "priors_uniform": P._sql(

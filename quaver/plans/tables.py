@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from quaver.functions import astro as A
+from quaver.operators import counters as K
 from quaver.operators import tables as T
 from quaver.session import table
 from quaver.sources import roles as R
@@ -44,8 +45,8 @@ def detection_fraction(spark, d):
 
 def mode_choice(spark, d):
     """One of four modes by cumulative probabilities 0.1, 0.3, 0.6, 1."""
-    u = T.portable_hash(F.col("event_id"), 1)
-    edges = [int(p * (1 << 31)) for p in (0.1, 0.3, 0.6)]
+    u = K.draw(F.col("event_id"), 1)
+    edges = [int(p * K.RANGE) for p in (0.1, 0.3, 0.6)]
     mode = sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
     return R.events(spark, d).groupBy(mode.alias("mode")).agg(F.count("*").alias("n"))
 
@@ -83,8 +84,8 @@ QUERIES = {
     "parameter_roundtrips": _params,
 }
 
-_H1, _H42 = T.portable_sql("event_id", 1), T.portable_sql("row_id", 42)
-_EDGES = [int(p * (1 << 31)) for p in (0.1, 0.3, 0.6)]
+_H1, _H42 = K.draw_sql("event_id", 1), K.draw_sql("row_id", 42)
+_EDGES = [int(p * K.RANGE) for p in (0.1, 0.3, 0.6)]
 _SCALE = 5 * (8 * math.pi * 20.0) ** (-8 / 3)
 _SUN = A.SUN * A.G / A.C**3
 _REF = A.REFERENCE_MASS / 2**0.2

@@ -2,7 +2,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
-from quaver.operators import draws, intervals, search, tables
+from quaver.operators import counters, draws, intervals, search, tables
 from quaver.sinks import files as sinks
 from quaver.sources import files as sources
 
@@ -53,7 +53,7 @@ def test_band_without_events_is_minus_infinity(spark):
 
 
 def test_draws_and_edges(spark):
-    rows = spark.range(20_000).select(F.col("id"), draws.uniform(F.col("id"), 3).alias("u"), draws.uniform(F.col("id"), 4).alias("v"))
+    rows = spark.range(20_000).select(F.col("id"), counters.uniform(F.col("id"), 3).alias("u"), counters.uniform(F.col("id"), 4).alias("v"))
     m1, m2 = draws.ordered_masses(F.col("u"), F.col("v"), 7.0, 50.0)
     r = rows.agg(F.avg("u").alias("u"), F.min(m1 - m2).alias("gap"), F.avg((draws.uniform_radius(F.col("u"), 1.0, 2.0) < 1.5).cast("int")).alias("near"), F.avg(draws.sky_position(F.col("u"), F.col("v"))[1]).alias("dec")).first()
     assert abs(r["u"] - 0.5) < 0.02 and r["gap"] >= 0 and abs(r["near"] - (1.5**3 - 1) / 7) < 0.02 and abs(r["dec"]) < 0.03
