@@ -1,73 +1,94 @@
-"""Interval algebra on ``start, end`` tables of long values, by buckets instead of nested loops."""
+"""Interval algebra on ``start, end`` tables of long values, by sweeps over sorted bounds.
+
+A sweep puts the bounds of both sides in one order and carries what is open from range to range
+of it (``ordered``): no pair of an interval and a point or another interval is ever tried, and a
+long interval is two rows, whatever it spans.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.operators.ordered import bucketed, neighbours, running_sums
 
 
-def _spread(intervals: DataFrame, width: int) -> DataFrame:
-    """One row for each bucket of ``width`` that an interval touches."""
-    first, last = F.expr(f"start div {width}"), F.expr(f"end div {width}")
-    return intervals.where("start <= end").withColumn("_b", F.explode(F.sequence(first, last)))
-
-
-def points_in(points: DataFrame, intervals: DataFrame, at: str, width: int) -> DataFrame:
-    """Points in any interval, ends included, each once."""
-    rows = points.withColumn("_b", F.expr(f"{at} div {width}"))
-    held = _spread(intervals.select("start", "end"), width)
-    return rows.join(held, (rows["_b"] == held["_b"]) & (F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end")), "left_semi").drop("_b")
+def points_in(points: DataFrame, intervals: DataFrame, at: str) -> DataFrame:
+    """Points in any interval, ends included, each once; rows that repeat stay, points without a place are in none."""
+    whole = coalesce(intervals.select("start", "end"))
+    starts = whole.select(F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.col("end").alias("_end"))
+    rows = points.where(F.col(at).isNotNull()).select(F.col(at).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_row"))
+    order = [F.col("_at"), F.col("_kind")]
+    rows = neighbours(bucketed(starts.unionByName(rows, allowMissingColumns=True), order), order, {"_held": F.col("_end")})
+    return rows.where("_kind = 1 and _at <= _held").select("_row.*")
 
 
 def band_max(points: DataFrame, at: str, events: DataFrame, reach: int) -> DataFrame:
-    """Add the greatest ``stat`` of events within ``reach`` of a point, minus infinity without one."""
-    bands = points.select("*", (F.col(at) - reach).alias("start"), (F.col(at) + reach).alias("end"))
-    held = _spread(bands, max(1, 2 * reach))
-    rows = events.select("stat", "time", F.expr(f"time div {max(1, 2 * reach)}").alias("_b"))
-    hit = held.join(rows, "_b").where("time between start and end")
-    best = hit.groupBy(*points.columns).agg(F.max("stat").alias("best"))
-    out = points.join(best, points.columns, "left")
-    return out.withColumn("best", F.coalesce("best", F.lit(-math.inf)))
+    """Add the greatest ``stat`` of events within ``reach`` of a point, minus infinity without one.
+
+    Every point gives one row, whatever of it is null or repeated. Bands and events meet in buckets as wide
+    as a band, each place and each time once.
+    """
+    width = max(1, 2 * reach)
+    places = points.where(F.col(at).isNotNull()).select(F.col(at).alias("_at")).distinct()
+    buckets = F.sequence(F.expr(f"floor((_at - {reach}) / {width})"), F.expr(f"floor((_at + {reach}) / {width})"))
+    held = places.withColumn("_b", F.explode(buckets))
+    loudest = events.where("time is not null").groupBy("time").agg(F.max("stat").alias("stat")).withColumn("_b", F.expr(f"floor(time / {width})"))
+    best = held.join(loudest, "_b").where(F.abs(F.col("time") - F.col("_at")) <= reach).groupBy("_at").agg(F.max("stat").alias("best"))
+    out = points.join(best, F.col(at) == F.col("_at"), "left")
+    return out.select(*[points[c] for c in points.columns], F.coalesce("best", F.lit(-math.inf)).alias("best"))
 
 
 def coalesce(intervals: DataFrame) -> DataFrame:
     """Touching and overlapping intervals as one."""
     order = [F.col("start"), F.col("end")]
     rows = bucketed(intervals.where("start <= end"), order)
-    # The greatest end so far: within the bucket, and of all buckets before.
+    starts = F.when(F.col("start") <= F.col("_top"), 0).otherwise(1).cast("long")
+    rows = running_sums(_with_top(rows, order), order, {"island": starts})
+    return rows.groupBy("island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("start", "end")
+
+
+def _with_top(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Add to a bucketed table ``_top``, the greatest end of all rows before."""
     within = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    tops = rows.groupBy("_bucket").agg(F.max("end").alias("_top"))
-    tops = tops.select("_bucket", F.max("_top").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_top"))
+    tops = rows.groupBy("_bucket").agg(F.max("end").alias("_t"))
+    tops = tops.select("_bucket", F.max("_t").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_t"))
     rows = rows.withColumn("_own", F.max("end").over(within)).join(F.broadcast(tops), "_bucket")
-    starts = F.when(F.col("start") <= F.greatest("_own", "_top"), 0).otherwise(1).cast("long")
-    rows = running_sums(rows, order, {"island": starts})
-    return rows.groupBy("island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("start", "end")
+    return rows.withColumn("_top", F.greatest("_own", "_t")).drop("_own", "_t")
 
 
-def intersect(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """Common parts of positive length of every pair (``left_id``, ``right_id``)."""
-    a, b = _spread(left, width), _spread(right.withColumnsRenamed({"start": "start2", "end": "end2"}).select("right_id", F.col("start2").alias("start"), F.col("end2").alias("end")), width)
-    a = a.select("_b", "left_id", F.col("start").alias("s1"), F.col("end").alias("e1"))
-    rows = a.join(b, "_b").select("_b", "left_id", "right_id", F.greatest("s1", "start").alias("start"), F.least("e1", "end").alias("end"))
-    # A pair meets in several buckets; it counts in the one of its common start.
-    return rows.where(f"start < end and _b = start div {width}").drop("_b")
+def _swept(left: DataFrame, right: DataFrame, carried: dict[str, Column]) -> DataFrame:
+    """Pieces between consecutive bounds of two lists of disjoint intervals: ``a, b``, what is open of each, and the last ids that began."""
 
+    def bounds(df: DataFrame, side: str) -> DataFrame:
+        row = df.select("start", "end", *[c for c in carried if c in df.columns])
+        both = F.array(F.struct(F.col("start").alias("a"), F.lit(1).alias("_step")), F.struct(F.col("end").alias("a"), F.lit(-1).alias("_step")))
+        return row.select(*row.columns, F.inline(both), F.lit(side).alias("_side"))
 
-def subtract(intervals: DataFrame, vetoes: DataFrame, least: int, width: int) -> DataFrame:
-    """What coalesced vetoes leave of disjoint intervals, in pieces longer than ``least``."""
-    held = _spread(intervals.select("start", "end"), width)
-    cuts = _spread(coalesce(vetoes).select(F.col("start"), F.col("end")), width).withColumnsRenamed({"start": "v0", "end": "v1"})
-    hit = held.join(cuts, "_b").where("v0 < end and v1 > start").select("start", "end", "v0", "v1").distinct()
-    order = Window.partitionBy("start", "end").orderBy("v0")
-    after = hit.select(F.col("v1").alias("a"), F.coalesce(F.lead("v0").over(order), F.col("end")).alias("b"))
-    before = hit.groupBy("start", "end").agg(F.min("v0").alias("b")).select(F.col("start").alias("a"), "b")
-    whole = intervals.select("start", "end").join(hit.select("start", "end").distinct(), ["start", "end"], "left_anti")
-    pieces = after.union(before).union(whole)
-    return pieces.where(F.col("b") - F.col("a") > least).select(F.col("a").alias("start"), F.col("b").alias("end"))
+    rows = bounds(left, "l").unionByName(bounds(right, "r"), allowMissingColumns=True)
+    # Ends before starts: at one place the last row knows all that is open there.
+    order = [F.col("a"), F.col("_step"), F.col("_side"), F.col("start"), F.col("end")]
+    rows = bucketed(rows, order)
+    rows = running_sums(rows, order, {"in_left": F.when(F.col("_side") == "l", F.col("_step")).otherwise(0), "in_right": F.when(F.col("_side") == "r", F.col("_step")).otherwise(0)})
+    starts = {k: F.when(F.col("_step") == 1, v) for k, v in carried.items()}
+    rows = neighbours(rows, order, {f"_p_{k}": v for k, v in starts.items()}, {"b": F.col("a")})
+    return rows.select("a", "b", "in_left", "in_right", *[F.coalesce(starts[k], F.col(f"_p_{k}")).alias(k) for k in carried])
+
+
+def intersect(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:
+    """Common parts, of ``least`` length at least, of two lists (``left_id``, ``right_id``) of disjoint intervals; no more parts than bounds."""
+    rows = _swept(left.where("start < end"), right.where("start < end"), {"left_id": F.col("left_id"), "right_id": F.col("right_id")})
+    rows = rows.where(f"in_left > 0 and in_right > 0 and b - a >= {max(1, least)}")
+    return rows.select("left_id", "right_id", F.col("a").alias("start"), F.col("b").alias("end"))
+
+
+def subtract(intervals: DataFrame, vetoes: DataFrame, least: int) -> DataFrame:
+    """What vetoes leave of disjoint intervals, in pieces longer than ``least``."""
+    rows = _swept(intervals.select("start", "end").where("start < end"), coalesce(vetoes.select("start", "end")), {})
+    rows = rows.where(f"in_left > 0 and in_right = 0 and b - a > {least}")
+    return rows.select(F.col("a").alias("start"), F.col("b").alias("end"))
 
 
 def offsets(intervals: DataFrame) -> DataFrame:
@@ -78,12 +99,23 @@ def offsets(intervals: DataFrame) -> DataFrame:
     return rows.select(*intervals.columns, (F.col("_upto") - size).alias("offset"))
 
 
-def first_containing(inner: DataFrame, outer: DataFrame, width: int) -> DataFrame:
-    """For each inner interval the first outer one around it; ``raw_id`` is null without one."""
-    a = inner.select("seg_id", "start", "end", F.expr(f"start div {width}").alias("_b"))
-    b = _spread(outer, width).select("_b", F.col("seg_id").alias("raw_id"), F.col("start").alias("s"), F.col("end").alias("e"))
-    hit = a.join(b, "_b").where("s <= start and e >= end").groupBy("seg_id").agg(F.min_by("raw_id", F.struct("s", "raw_id")).alias("raw_id"))
-    return inner.select("seg_id", "start", "end").join(hit, "seg_id", "left")
+def first_containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """For each inner interval the first outer one around it, by start and id; ``raw_id`` is null without one.
+
+    In order of start only an outer interval that ends later than all before it can be the first around
+    anything: these ends rise like a staircase, and the first step that an inner end does not pass is the answer,
+    if it begins early enough.
+    """
+    order = [F.col("start"), F.col("seg_id")]
+    steps = _with_top(bucketed(outer.where("start <= end").select("seg_id", "start", "end"), order), order).where("_top is null or end > _top")
+    steps = steps.select(F.col("end").alias("_at"), F.lit(1).alias("_kind"), F.struct("seg_id", "start").alias("_step"))
+    asked = inner.select("seg_id", "start", "end")
+    known = asked.where("start is not null and end is not null")
+    rows = known.select(F.col("end").alias("_at"), F.lit(0).alias("_kind"), F.struct("seg_id", "start", "end").alias("_row"))
+    along = [F.col("_at"), F.col("_kind"), F.col("_row.seg_id")]
+    rows = neighbours(bucketed(steps.unionByName(rows, allowMissingColumns=True), along), along, {}, {"_next": F.col("_step")}).where("_kind = 0")
+    out = rows.select("_row.*", F.when(F.col("_next.start") <= F.col("_row.start"), F.col("_next.seg_id")).alias("raw_id"))
+    return out.unionByName(asked.where("start is null or end is null"), allowMissingColumns=True)
 
 
 def gaps(intervals: DataFrame) -> DataFrame:
@@ -91,3 +123,10 @@ def gaps(intervals: DataFrame) -> DataFrame:
     order = [F.col("start"), F.col("seg_id")]
     rows = neighbours(bucketed(intervals, order), order, {"end_before": F.col("end")}, {"start_after": F.col("start")})
     return rows.drop("_bucket")
+
+
+def overlapping(intervals: DataFrame) -> DataFrame:
+    """Intervals that begin before an earlier one has ended; an empty result says that the list is disjoint."""
+    order = [F.col("start"), F.col("end"), F.col("seg_id")]
+    rows = _with_top(bucketed(intervals.where("start <= end"), order), order)
+    return rows.where("start < _top").select(*intervals.columns)

@@ -39,11 +39,12 @@ def bad_band(spark, d) -> DataFrame:
 
 
 def efficiency_by_level(spark, d) -> DataFrame:
-    """Share of each SNR's injections found at each of five levels; five rows are broadcast."""
-    levels = S.far_levels(R.background(spark, d)).select("rank", F.col("stat").alias("level"))
-    rows = R.injections(spark, d).select("inj_id", "snr").join(_found(spark, d), "inj_id", "left").crossJoin(F.broadcast(levels))
-    n = F.count(F.when(F.col("stat") > F.col("level"), 1))
-    return rows.groupBy("snr", "rank").agg(n.alias("n_found"), F.round(n / F.count("*"), 6).alias("efficiency"))
+    """Share of each SNR's injections found at each of five levels, counted a level at a time in one pass."""
+    levels = sorted((r["rank"], r["stat"]) for r in S.far_levels(R.background(spark, d)).collect())
+    rows = R.injections(spark, d).select("inj_id", "snr").join(_found(spark, d), "inj_id", "left")
+    found = [F.struct(F.lit(rank).cast("long").alias("rank"), F.count(F.when(F.col("stat") > F.lit(level), 1)).alias("n_found")) for rank, level in levels]
+    counts = rows.groupBy("snr").agg(F.count("*").alias("_n"), F.array(*found).cast("array<struct<rank:bigint,n_found:bigint>>").alias("_f"))
+    return counts.select("snr", "_n", F.inline("_f")).select("snr", "rank", "n_found", F.round(F.col("n_found") / F.col("_n"), 6).alias("efficiency"))
 
 
 def _team(spark, d, team: int) -> DataFrame:

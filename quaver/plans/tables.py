@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quaver.functions import astro as A
 from quaver.operators import counters as K
 from quaver.operators import tables as T
+from quaver.operators.quantiles import quantiles
 from quaver.session import table
 from quaver.sources import roles as R
 
@@ -51,6 +52,11 @@ def mode_choice(spark, d):
     return R.events(spark, d).groupBy(mode.alias("mode")).agg(F.count("*").alias("n"))
 
 
+def percentiles(spark, d):
+    rows = quantiles(_lines(spark, d), [], "l_extendedprice", [p / 100 for p in (5, 50, 95)])
+    return rows.agg(*[F.round(F.max(F.when(F.col("q") == p / 100, F.col("v"))), 4).alias(f"p{p}") for p in (5, 50, 95)])
+
+
 def _masses(spark, d):
     return R.injections(spark, d)
 
@@ -76,7 +82,7 @@ QUERIES = {
     "class_balance": lambda s, d: _scores(s, d).agg(F.round(F.avg("target"), 6).alias("share"), F.count("*").alias("n")),
     "inverse_weights": lambda s, d: T.inverse_weights(_lines(s, d), "l_quantity", 8.0).withColumn("weight", F.round("weight", 6)),
     "rolling_mean_500": lambda s, d: T.rolling_mean(R.events(s, d), "time", "stat", 500, 10).withColumn("mean", F.round("mean", 5)),
-    "percentiles": lambda s, d: _lines(s, d).agg(*[F.round(F.percentile("l_extendedprice", p / 100), 4).alias(f"p{p}") for p in (5, 50, 95)]),
+    "percentiles": percentiles,
     "timing_mean_std": lambda s, d: _lines(s, d).groupBy("l_returnflag").agg(F.round(F.avg("l_quantity"), 6).alias("mean"), F.round(F.stddev_pop("l_quantity"), 6).alias("std")),
     "stratified_split": lambda s, d: T.stratified_split(_lines(s, d), "row_id", "l_returnflag", 0.8),
     "ntile_chunks": lambda s, d: T.chunks(_lines(s, d), "row_id", 7),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions import arrays as V
 from quaver.functions import signal as K
+from quaver.operators.quantiles import quantiles
 from quaver.session import table
 
 
@@ -26,14 +27,14 @@ def _by_label(spark, d, how):
     return V.per_position(_psd(spark, d), "a").groupBy("label", "pos").agg(F.round(how("v"), 9).alias("v"))
 
 
-def _median(c):
-    return F.percentile(c, 0.5)
+def _median(spark, d):
+    """The median over a label's PSDs at each frequency."""
+    return quantiles(V.per_position(_psd(spark, d), "a"), ["label", "pos"], "v", [0.5]).select("label", "pos", "v")
 
 
 def blackout_psd(spark, d):
     """Bins far above their label's median; one array of medians a label."""
-    median = V.per_position(_psd(spark, d), "a").groupBy("label", "pos").agg(_median("v").alias("v"))
-    arrays = median.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("m"))
+    arrays = _median(spark, d).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("m"))
     rows = _psd(spark, d).join(arrays, "label")
     muted = F.size(F.filter(V.blackout(F.col("a"), F.col("m"), 8.0), lambda x: x == 999_999_999_999.0))
     return rows.select("vec_id", muted.alias("n_muted"))
@@ -59,7 +60,7 @@ QUERIES = {
     "cyclic_shift": lambda s, d: _rows(_samples(s, d).select("vec_id", V.cyclic_shift(F.col("a"), 11).alias("a"))),
     "zero_pad": lambda s, d: _rows(_samples(s, d).select("vec_id", V.zero_pad(F.col("a"), 3, 80).alias("a"))),
     "sinusoid": lambda s, d: _rows(_samples(s, d).select("vec_id", V.sinusoid(1 + F.col("vec_id") % 20, F.lit(0.25), 64, 128.0).alias("a"))),
-    "median_psd": lambda s, d: _by_label(s, d, _median),
+    "median_psd": lambda s, d: _median(s, d).withColumn("v", F.round("v", 9)),
     "max_psd": lambda s, d: _by_label(s, d, F.max),
     "blackout_psd": blackout_psd,
     "band_integral": lambda s, d: _psd(s, d).select("vec_id", F.round(V.band_integral(F.col("a"), 8, 31, 0.25), 6).alias("v")),

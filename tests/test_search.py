@@ -53,8 +53,8 @@ def test_intervals(spark):
 
     assert got(intervals.coalesce(frame([(0, 5), (5, 7), (1, 2), (9, 9), (20, 30)]))) == [(0, 7), (9, 9), (20, 30)]
     left = frame([(0, 100), (200, 300)])
-    assert got(intervals.subtract(left, frame([(-5, 10), (50, 60), (55, 70), (90, 120)]), 0, 50)) == [(10, 50), (70, 90), (200, 300)]
-    assert got(intervals.subtract(left, frame([(-5, 500)]), 0, 50)) == []
+    assert got(intervals.subtract(left, frame([(-5, 10), (50, 60), (55, 70), (90, 120)]), 0)) == [(10, 50), (70, 90), (200, 300)]
+    assert got(intervals.subtract(left, frame([(-5, 500)]), 0)) == []
 
 
 def test_chunks_and_histogram(spark):
