@@ -16,8 +16,9 @@ def write_evaluation(rows: DataFrame, path: str, force: bool = False) -> None:
 
 
 def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Sample blocks with ``det`` and ``seg``, a folder for each detector and segment."""
-    blocks.repartition("det", "seg").write.mode("errorifexists").partitionBy("det", "seg").parquet(path)
+    """Sample blocks with ``det`` and ``seg``, a folder for each detector and segment; ranges of ``block`` split a long one over tasks."""
+    order = [c for c in ("det", "seg", "block") if c in blocks.columns]
+    blocks.repartitionByRange(*order).write.mode("errorifexists").partitionBy("det", "seg").parquet(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

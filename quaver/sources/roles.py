@@ -49,6 +49,28 @@ def segments(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     return rows.agg(F.min("time").alias("start"), F.max("time").alias("end"))
 
 
+#: Strain of two detectors: samples a block, and how far apart samples and segments are.
+DETECTORS, BLOCK, TICK, APART = ("H1", "L1"), 64, 500_000, 1_000_000_000_000
+
+
+def strain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks ``det, seg, block, samples`` of two detectors, written once: values in the order of their events."""
+    from quaver.operators.series import blocks_of
+    from quaver.session import stored
+
+    det = F.when(F.col("event_id") % 2 == 0, DETECTORS[0]).otherwise(DETECTORS[1])
+    rows = events(spark, sf_dir).where("user_id is not null").select(det.alias("det"), (F.col("user_id") % 16).alias("seg"), "event_id", "stat")
+    return stored(blocks_of(rows, "event_id", "stat", BLOCK), "strain")
+
+
+def extents(blocks: DataFrame) -> DataFrame:
+    """``det, seg, start, n`` in samples; the second detector begins later, differently in each segment."""
+    from quaver.operators.series import lengths
+
+    later = F.when(F.col("det") == DETECTORS[1], F.col("seg") * 7 % 11).otherwise(0).cast("long")
+    return lengths(blocks).select("det", "seg", later.alias("start"), "n")
+
+
 #: The same roles for an SQL engine.
 SQL = """
 ev AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS time, value AS stat FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
@@ -59,3 +81,10 @@ inj0 AS (SELECT event_id AS inj_id, time AS tc, (7 + greatest(event_id % 44, (ev
     5 + event_id % 11 AS snr FROM ev WHERE event_type = 'purchase'),
 inj AS (SELECT *, pow(mass1 * mass2, 0.6) / pow(mass1 + mass2, 0.2) AS mc FROM inj0)
 """
+STRAIN = """
+smp AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'H1' ELSE 'L1' END AS det, user_id % 16 AS seg,
+    row_number() OVER (PARTITION BY event_id % 2, user_id % 16 ORDER BY event_id, stat) - 1 AS pos, stat AS v FROM ev WHERE user_id IS NOT NULL),
+ln AS (SELECT det, seg, count(*) AS n FROM smp GROUP BY ALL),
+cm AS (SELECT seg, min(n) AS n FROM ln GROUP BY seg HAVING count(*) = 2),
+ext AS (SELECT det, seg, CASE WHEN det = 'L1' THEN seg * 7 % 11 ELSE 0 END AS start, n FROM ln)
+"""
