@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaver.operators import counters
+from quaver.operators.ordered import bucketed, neighbours, running_sums
+
 
 def uniform_radius(u: Column, low: float, high: float) -> Column:
     """A distance uniform in volume, from a draw of 0 to 1."""
@@ -35,6 +38,24 @@ def annealed(epochs: DataFrame, epoch: str, start: int, end: int, first: float,
     return F.when(at < start, F.lit(first)).when(at >= end, F.lit(last)).otherwise(F.lit(first) + (at - start) * F.lit(step))
 
 
+def by_duration(df: DataFrame, id_: str, segments: DataFrame, seed: int) -> DataFrame:
+    """``id, seg_id, at_second``: for each row a segment, with a chance in proportion to its length, and a place in it.
+
+    Segments are laid end to end in the order of their ids; a draw of the whole length falls into one. Draws and segments meet
+    in one order of places. Segments without length are never chosen, and without any there are no rows.
+    """
+    laid = segments.where("end > start").select("seg_id", "start", "end")
+    order = [F.col("seg_id"), F.col("start")]
+    laid = running_sums(bucketed(laid, order), order, {"_upto": F.col("end") - F.col("start")})
+    total = laid.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
+    starts = laid.select((F.col("_upto") - F.col("end") + F.col("start")).alias("_at"), F.lit(0).alias("_kind"), F.struct("seg_id", "start", "end").alias("_seg"))
+    asked = df.select(counters.whole(F.col(id_), seed, total).alias("_at"), F.lit(1).alias("_kind"), F.col(id_))
+    along = [F.col("_at"), F.col("_kind"), F.col(id_)]
+    rows = neighbours(bucketed(starts.unionByName(asked, allowMissingColumns=True), along), along, {"_s": F.col("_seg")}).where("_kind = 1 and _s is not null")
+    offset = counters.whole(F.col(id_), seed, F.col("_s.end") - F.col("_s.start"), stream=1)
+    return rows.select(id_, "_s.seg_id", (F.col("_s.start") + offset).alias("at_second"))
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
