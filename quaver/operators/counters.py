@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +45,21 @@ def draw(counter: Column, seed: int, stream: int = 0) -> Column:
     return F.aggregate(keys, halves, turn, lambda s: s["x"] * F.lit(1 << 21) + F.shiftright(s["y"], 11))
 
 
+def draws(counter: np.ndarray, seed: int, stream: int = 0) -> np.ndarray:
+    """The same whole numbers of an array of counters, within a task."""
+    c = counter.astype(np.int64).view(np.uint64)
+    x, y = c & np.uint64(MASK), c >> np.uint64(32)
+    for key in round_keys(seed, stream):
+        product = x * np.uint64(MULTIPLIER)
+        x, y = product >> np.uint64(32) ^ np.uint64(key) ^ y, product & np.uint64(MASK)
+    return (x << np.uint64(21)) + (y >> np.uint64(11))
+
+
+def normals(counter: np.ndarray, seed: int, stream: int = 0) -> np.ndarray:
+    u, v = (draws(counter, seed, 2 * stream + i) / float(RANGE) for i in (0, 1))
+    return np.sqrt(-2 * np.log(1 - u)) * np.cos(v * 2 * math.pi)
+
+
 def draw_sql(counter: str, seed: int, stream: int = 0) -> str:
     """The same whole number in SQL."""
     start = f"[{counter} & {MASK}, ({counter} >> 32) & {MASK}]"

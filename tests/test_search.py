@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from compare import connect, differences
 from quaver import registry
-from quaver.functions import signal
 from quaver.operators import intervals, search, tables
 
 SF = "/root/testdata/sf0.001"
@@ -62,13 +61,3 @@ def test_chunks_and_histogram(spark):
     sizes = sorted((r.chunk, r["count"]) for r in tables.chunks(rows, "k", 5).groupBy("chunk").count().collect())
     assert [n for _, n in sizes] == [3, 3, 3, 2, 2]
     assert dict(map(tuple, tables.histogram(rows, "k", 4).collect())) == {0: 3, 1: 3, 2: 3, 3: 4}
-
-
-def test_kernels():
-    x = np.sin(2 * np.pi * 5 * np.arange(64) / 64) + 0.1
-    assert np.allclose(signal.recolour(x, [2.0, 3.0], [2.0, 3.0]), x)
-    assert np.allclose(signal.band_pass(x, 4, 6, 64), x - 0.1)
-    assert np.allclose(signal.rotate_phase(signal.rotate_phase(x - 0.1, 0.7), -0.7), x - 0.1)
-    assert np.allclose(signal.resample(x, 32), x[::2])
-    assert np.isclose(signal.sigma2(x, np.ones(33)), 4 * (np.abs(np.fft.rfft(x)) ** 2).sum() / 64)
-    assert len(signal.multirate(x, [(0, 32, 2), (32, 64, 1)])) == 48
