@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaver.functions import arrays as V
-from quaver.functions import signal as K
 from quaver.operators.quantiles import quantiles
 from quaver.session import table
 
@@ -16,7 +15,8 @@ def _samples(spark, d):
 
 
 def _rows(df, digits: int = 6):
-    return V.per_position(df, "a").select("vec_id", "pos", F.round("v", digits).alias("v"))
+    # Zero has one sign.
+    return V.per_position(df, "a").select("vec_id", "pos", (F.round("v", digits) + F.lit(0.0)).alias("v"))
 
 
 def _psd(spark, d):
@@ -47,13 +47,6 @@ def network_snr(spark, d):
     return rows.groupBy("pair").agg(F.round(F.sqrt(F.sum("s")), 6).alias("snr"))
 
 
-def _kernel(kernel, *args):
-    def query(spark, d):
-        return _samples(spark, d).select("vec_id", K.column_of(kernel, *args)("a").alias("a"))
-
-    return query
-
-
 QUERIES = {
     "array_normalise": lambda s, d: _rows(_samples(s, d).select("vec_id", V.normalise(F.col("a")).alias("a"))),
     "array_crop": lambda s, d: _rows(_samples(s, d).select("vec_id", V.crop(F.col("a"), 5, 9).alias("a"))),
@@ -66,12 +59,6 @@ QUERIES = {
     "band_integral": lambda s, d: _psd(s, d).select("vec_id", F.round(V.band_integral(F.col("a"), 8, 31, 0.25), 6).alias("v")),
     "worst_psd_topn": lambda s, d: _psd(s, d).select("vec_id", F.array_max("a").alias("peak")).orderBy(F.desc("peak"), "vec_id").limit(16),
     "network_snr": network_snr,
-    "whiten": _kernel(K.whiten, [1.0, 2.0, 4.0]),
-    "welch": _kernel(K.welch, 16),
-    "recolour": _kernel(K.recolour, [1.0, 2.0], [2.0, 1.0]),
-    "phase_rotate": _kernel(K.rotate_phase, 0.5),
-    "band_pass": _kernel(K.band_pass, 4.0, 24.0, 64.0),
-    "multirate": _kernel(K.multirate, [(0, 32, 2), (32, 64, 1)]),
 }
 
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS a FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT vec_id, label, list_transform(a, lambda x: x * x) AS a FROM e)"
@@ -79,7 +66,7 @@ _PX = f"WITH {_E}, x AS (SELECT vec_id, label, unnest(range(len(a))) AS pos, unn
 
 
 def _positions(array: str) -> str:
-    return f"WITH {_E}, o AS (SELECT vec_id, {array} AS b FROM e) SELECT vec_id, unnest(range(len(b)))::INT AS pos, round(unnest(b), 6) AS v FROM o"
+    return f"WITH {_E}, o AS (SELECT vec_id, {array} AS b FROM e) SELECT vec_id, unnest(range(len(b)))::INT AS pos, round(unnest(b), 6) + 0.0 AS v FROM o"
 
 
 ORACLES = {

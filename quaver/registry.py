@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaver.plans import compare, draws, search, series, spans, tables, vectors
+from quaver.plans import compare, draws, search, series, spans, spectra, tables, vectors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | series.QUERIES | compare.QUERIES | draws.QUERIES | spans.QUERIES | tables.QUERIES | vectors.QUERIES
-ORACLES: dict[str, str] = search.ORACLES | series.ORACLES | compare.ORACLES | draws.ORACLES | spans.ORACLES | tables.ORACLES | vectors.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | series.QUERIES | compare.QUERIES | draws.QUERIES | spans.QUERIES | tables.QUERIES | vectors.QUERIES | spectra.QUERIES
+ORACLES: dict[str, str] = search.ORACLES | series.ORACLES | compare.ORACLES | draws.ORACLES | spans.ORACLES | tables.ORACLES | vectors.ORACLES | spectra.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
