@@ -20,6 +20,7 @@ a segment of its own. An empty table gives no segment and an empty result.
 from __future__ import annotations
 
 import array
+import json
 import re
 import struct
 import zlib
@@ -59,7 +60,7 @@ def pack(ends: np.ndarray, ids: np.ndarray, wide: bool = False) -> bytes:
 
 
 class Segment:
-    """A packed segment: ``span(i)`` by select, ``ends()`` in one go, ``ids``."""
+    """A packed segment: ``ids``, and where documents stand in them by ``select`` on the encoded ends."""
 
     def __init__(self, data: bytes):
         magic, self.n, self.total, width, self.low_bits, _, high, low = HEAD.unpack_from(data)
@@ -72,29 +73,33 @@ class Segment:
         self.samples = np.frombuffer(data, "<u4", samples, at + high + low)
         self.ids = np.frombuffer(data, f"<u{width}", self.total, at + high + low + 4 * samples)
 
-    def _end(self, i: int) -> int:
-        """select: the i-th set high bit, from the sample before it, then its low bits."""
-        place, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, shift = place // 8, place % 8
-        while True:
-            stop = byte + 64
-            bits = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little")[shift:])
-            if left < len(bits):
-                place = byte * 8 + shift + int(bits[left])
-                break
-            left, byte, shift = left - len(bits), stop, 0
-        first = i * self.low_bits
-        window = self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes()
-        low = int.from_bytes(window, "little") >> first % 8 & (1 << self.low_bits) - 1
-        return place - i << self.low_bits | low
+    def select(self, wanted: np.ndarray) -> np.ndarray:
+        """The ends of documents by rank, ascending: of each sampled stretch that holds one, its set high bits are found and
+        the wanted ones taken, and their low bits are read from where they are packed. Nothing else is decoded."""
+        wanted = np.asarray(wanted, np.int64)
+        out = np.empty(len(wanted), np.int64)
+        stretches, starts = np.unique(wanted // SAMPLE, return_index=True)
+        for g, first, last in zip(stretches, starts, [*starts[1:], len(wanted)]):
+            begin = int(self.samples[g])
+            end = int(self.samples[g + 1]) if g + 1 < len(self.samples) else len(self.high) * 8
+            byte = begin // 8
+            bits = np.flatnonzero(np.unpackbits(self.high[byte : (end + 7) // 8], bitorder="little")[begin - byte * 8 :])
+            out[first:last] = begin + bits[wanted[first:last] - g * SAMPLE]
+        return (out - wanted << self.low_bits) + self._lows(wanted)
+
+    def _lows(self, wanted: np.ndarray) -> np.ndarray:
+        places = wanted[:, None] * self.low_bits + np.arange(self.low_bits)
+        bits = self.low[places >> 3] >> (places & 7).astype(np.uint8) & 1
+        return (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+
+    def spans(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the documents ``first`` to ``last - 1`` begin and end."""
+        ends = self.select(np.arange(max(first - 1, 0), last))
+        return (ends[:-1], ends[1:]) if first else (np.r_[0, ends[:-1]].astype(np.int64), ends)
 
     def span(self, i: int) -> tuple[int, int]:
-        return (self._end(i - 1) if i else 0, self._end(i))
-
-    def ends(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return (high << self.low_bits) + (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        starts, ends = self.spans(i, i + 1)
+        return int(starts[0]), int(ends[0])
 
 
 #: What the byte-level tokenizer cuts texts into before it merges, a fixed value.
@@ -115,7 +120,8 @@ class CachedEncoder:
 
     Texts of plain characters are cut into pre-tokens here, and only those not seen
     before go through the merges. Texts with other characters, or with a special
-    token, are encoded whole. After ``limit`` additions a new cache begins, which
+    token, are encoded whole; so are all texts where the tokenizer's file asks for
+    anything but the cut that is known here. After ``limit`` additions a new cache begins, which
     takes what it needs from the one before.
     """
 
@@ -125,6 +131,14 @@ class CachedEncoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model, self.pretokens, self.letters = self.tokenizer.model, regex.compile(PRETOKENS), _byte_letters()
+        #: Whether the file cuts as PRETOKENS does, and changes no text before.
+        parts = json.loads(self.tokenizer.to_str())
+        cut, model = parts["pre_tokenizer"] or {}, parts["model"]
+        self.known = (
+            cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+            and not parts["normalizer"] and not parts.get("truncation") and model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        )
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or r"(?!)")
         self.kind, self.dtype = ("I", np.uint32) if self.tokenizer.get_vocab_size() > 1 << 16 else ("H", np.uint16)
@@ -154,7 +168,7 @@ class CachedEncoder:
         if len(self.now[0]) > self.limit:
             self.turn()
         index = self.now[0]
-        plain = [PLAIN.fullmatch(t) is not None and self.special.search(t) is None for t in texts]
+        plain = [self.known and PLAIN.fullmatch(t) is not None and self.special.search(t) is None for t in texts]
         whole = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False))
         codes = []
         for text, p in zip(texts, plain):
@@ -247,8 +261,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for frame in batches:
             for start, doc_ids, data in zip(frame["start"], frame["doc_ids"], frame["segment"]):
                 segment = Segment(data)
-                ends = segment.ends()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                starts, ends = segment.spans(0, segment.n)
                 ids = segment.ids.astype("<u4")
                 yield pd.DataFrame(
                     {

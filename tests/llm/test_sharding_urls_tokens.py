@@ -77,13 +77,16 @@ def test_urls_match_sql(spark):
 
 def test_segment_round_trip():
     rng = np.random.default_rng(1)
-    for n in (1, 7, 300, 2000):
-        lengths = rng.integers(0, 50, n)
+    for n, longest in ((1, 50), (7, 50), (256, 1), (257, 9000), (300, 50), (2000, 3)):
+        lengths = np.maximum(rng.integers(0, longest, n), rng.random(n) < 0.5)
         ends = np.cumsum(lengths)
         ids = rng.integers(0, 50257, ends[-1])
         segment = token_store.Segment(token_store.pack(ends, ids))
-        assert (segment.ends() == ends).all() and (segment.ids == ids).all()
+        starts, found = segment.spans(0, n)
+        assert (found == ends).all() and (starts == [0, *ends[:-1]]).all() and (segment.ids == ids).all()
         assert [segment.span(i) for i in range(n)] == list(zip([0, *ends[:-1]], ends))
+        some = np.unique(rng.integers(0, n, 9))
+        assert (segment.select(some) == ends[some]).all()
 
 
 def test_store_equals_plain_encoding(spark, tmp_path):
@@ -93,7 +96,8 @@ def test_store_equals_plain_encoding(spark, tmp_path):
     hard = [None, "", "  two  spaces ", "a\n b\t c", "<|endoftext|> x", "it's  don't you　ok", " lead", "x" * 3000, "naïve   line"]
     rows = [(i, t) for i, t in enumerate(hard)] + [(None, "null id"), (2, "again")]
     texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    docs = spark.createDataFrame(rows, "doc_id long, text string").union(texts.selectExpr("doc_id + 100", "text"))
+    docs = spark.createDataFrame(rows + [(2, "again")], "doc_id long, text string").union(texts.selectExpr("doc_id + 100", "text"))
+    docs = docs.withColumn("start", token_store.F.lit("clash"))
     where = f"file://{tmp_path}/store"
     token_store.write_store(docs, where, path)
     out = token_store.read_store(spark, where).toPandas().sort_values("start")
@@ -107,3 +111,24 @@ def test_store_equals_plain_encoding(spark, tmp_path):
     assert (out["start"].to_numpy() == np.cumsum([0, *out["n_tokens"]])[:-1]).all()
     token_store.write_store(docs.limit(0), where + "0", path)
     assert token_store.read_store(spark, where + "0").count() == 0
+
+
+def test_a_tokenizer_that_cuts_otherwise_is_left_to_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["It's  two words, ISN'T it? 12345 x_y", "\tNo\n lines", "", "don't!! " * 40, "Ünï 日本 <b>"]
+    encoder, plain = token_store.CachedEncoder(path), Tokenizer.from_file(path)
+    for _ in range(2):
+        assert [list(x) for x in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_file_with_a_normaliser_is_left_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    changed = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    changed.normalizer = normalizers.Lowercase()
+    changed.save(str(tmp_path / "t.json"))
+    encoder = token_store.CachedEncoder(str(tmp_path / "t.json"))
+    assert not encoder.known and token_store.CachedEncoder(public_tokenizers.path("byte_bpe_50k.json")).known
+    assert list(encoder.encode(["Some UPPER Words"])[0]) == changed.encode("Some UPPER Words").ids
