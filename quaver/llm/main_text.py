@@ -2,7 +2,9 @@
 
 Each page is walked once and cut into blocks of three kinds: those of its article
 or main element, those that elements or their names mark as menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments, and the rest.
+footers, sidebars, notices, adverts, forms or reader comments, and the rest. A class or
+id marks an element only if all its words do (``comment-list``, but not ``social-history``),
+and not if hardly any text is left without the elements that names mark.
 
 The token streams of a host's pages, blocks of all kinds in page order, go through
 a suffix array. Tasks gather pages into blocks of about ``BLOCK_BYTES`` of source. As
@@ -14,7 +16,9 @@ doubling, and the classes of equal suffixes are merged with those of all other b
 by a 64-bit key of host and tokens. So a run is known by all pages of its host,
 however the pages were dealt and however large the host is, and no host sits in one task.
 
-A run of ``MIN_RUN`` tokens that ``MIN_PAGES`` distinct pages of a host share is
+A longer substring that pages share is covered by its own runs of ``MIN_RUN`` tokens, each
+shared by those pages and perhaps by more, so what runs cover is what all maximal repeats
+of that length or more cover. A run that ``MIN_PAGES`` distinct pages of a host share is
 judged by where it stands; pages with equal tokens and kinds count once. What articles share,
 such as quoted passages and near copies, is text, also where single adverts say the
 same. So of an article only the blocks go that are filled from end to end by runs
@@ -34,6 +38,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -62,16 +67,30 @@ BLOCKS = frozenset(
 #: Elements that a new element of the same kind ends.
 IMPLIED = frozenset("p li dt dd tr td th option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|comments?|disqus|repl(?:y|ies)|"
-    r"sidebar|nav|navbar|navigation|menu|breadcrumbs?|footer|share|sharing|social|newsletter|subscribe|related|popup|modal|widget|skip)(?:$|[\s_-])"
+#: A class or id is a marker if one of its words is of the first list and all of them are of either.
+MARKERS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner banners cookie cookies consent gdpr "
+    "notice notices notification notifications comment comments disqus reply replies sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer "
+    "share sharing social newsletter subscribe subscription signup related popup modal widget widgets skip".split()
 )
-#: Inside an article only whole class names count, so that no slug of a heading is taken for one.
-CLASSES = frozenset(
-    "ad ads advert advertisement sponsored promo banner cookie cookies consent notice notification comment comments replies sidebar nav navbar "
-    "navigation menu breadcrumb breadcrumbs footer share sharing social newsletter subscribe related popup modal widget".split()
+FRAMES = frozenset(
+    "area articles bar block body bottom box button buttons col column container content count dialog element entries entry feed form frame global group head header "
+    "holder icon icons inner item items layer left link links list main message messages nr outer overlay page panel popup posts primary right row secondary section "
+    "site slot stories sub text thread toggle top unit wrap wrapper zone".split()
 )
-ARTICLE, JUNK, REST = 0, 1, 2
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Marked elements without which less than this share of a text is left are its text.
+LEAST_LEFT = 0.1
+
+
+@lru_cache(maxsize=4096)
+def is_marker(name: str) -> bool:
+    words = [w.lower() for w in WORDS.findall(name)]
+    return not MARKERS.isdisjoint(words) and all(w in MARKERS or w in FRAMES for w in words)
+
+
+ARTICLE, JUNK, REST, NAMED = 0, 1, 2, 3
 
 
 class _Walker(HTMLParser):
@@ -80,14 +99,19 @@ class _Walker(HTMLParser):
         #: Open elements (tag, kind it sets or None, silent), and how many there are of each tag and kind.
         self.open: list[tuple[str, int | None, bool]] = []
         self.tags: dict[str, int] = {}
-        self.kinds = [0, 0, 0]
+        self.kinds = [0, 0, 0, 0]
         self.silent, self.text = 0, []
-        self.blocks: list[tuple[int, str]] = []
+        #: Kind, text, and the number of the outermost element whose name marks it, or 0.
+        self.blocks: list[tuple[int, str, int]] = []
+        #: Numbers of open elements that names mark.
+        self.named: list[int] = []
+        self.n_named = 0
 
     def flush(self) -> None:
         if self.text:
             if text := " ".join("".join(self.text).split()):
-                self.blocks.append((JUNK if self.kinds[JUNK] else ARTICLE if self.kinds[ARTICLE] else REST, text))
+                kind = JUNK if self.kinds[JUNK] else ARTICLE if self.kinds[ARTICLE] else REST
+                self.blocks.append((kind, text, self.named[0] if self.named else 0))
             self.text = []
 
     def push(self, tag: str, kind: int | None) -> None:
@@ -97,6 +121,9 @@ class _Walker(HTMLParser):
         self.silent += silent
         if kind is not None:
             self.kinds[kind] += 1
+        if kind == NAMED:
+            self.n_named += 1
+            self.named.append(self.n_named)
 
     def pop_to(self, depth: int) -> None:
         for tag, kind, silent in self.open[depth:]:
@@ -104,22 +131,27 @@ class _Walker(HTMLParser):
             self.silent -= silent
             if kind is not None:
                 self.kinds[kind] -= 1
+            if kind == NAMED:
+                self.named.pop()
         del self.open[depth:]
 
-    def is_marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def mark(self, tag: str, attrs: list[tuple[str, str | None]]) -> int | None:
+        """What an element's tag and attributes say: ``JUNK`` for sure, ``NAMED`` by a class or id, or nothing."""
         inside = self.kinds[ARTICLE] > 0
         if tag in MARKED or tag == "header" and not inside:
-            return True
+            return JUNK
         if not attrs:
-            return False
-        named = {k: (v or "").lower() for k, v in attrs}
-        if named.get("role") in ROLES or "hidden" in named or named.get("aria-hidden") == "true":
-            return True
-        if "style" in named and re.search(r"display\s*:\s*none", named["style"]):
-            return True
-        if inside:
-            return not CLASSES.isdisjoint(named.get("class", "").split())
-        return tag not in ("html", "body", "article", "main") and any(NAMES.search(named[a]) for a in ("class", "id") if a in named)
+            return None
+        named = {k: v or "" for k, v in attrs}
+        if named.get("role", "").lower() in ROLES or "hidden" in named or named.get("aria-hidden", "").lower() == "true":
+            return JUNK
+        if "style" in named and re.search(r"(?i)display\s*:\s*none", named["style"]):
+            return JUNK
+        if tag in ("html", "body", "article", "main"):
+            return None
+        # A heading's id is the slug of its words.
+        names = named.get("class", "").split() + ([named["id"]] if "id" in named and tag not in HEADINGS else [])
+        return NAMED if any(map(is_marker, names)) else None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
@@ -136,10 +168,11 @@ class _Walker(HTMLParser):
                 if self.open[depth][0] in BLOCKS and self.open[depth][0] not in IMPLIED:
                     break
         article = tag in ("article", "main") or any(k == "role" and v == "main" for k, v in attrs)
-        kind = JUNK if self.is_marked(tag, attrs) else ARTICLE if article else None
-        if kind == ARTICLE and not self.kinds[ARTICLE] and self.kinds[JUNK]:
+        kind = self.mark(tag, attrs)
+        kind = ARTICLE if kind is None and article else kind
+        if kind == ARTICLE and not self.kinds[ARTICLE] and (self.kinds[JUNK] or self.named):
             # An article inside an element that was left open does not belong to it.
-            self.pop_to(next(depth for depth, (_, k, _) in enumerate(self.open) if k == JUNK))
+            self.pop_to(next(depth for depth, (_, k, _) in enumerate(self.open) if k in (JUNK, NAMED)))
         self.push(tag, kind)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -171,7 +204,13 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
     walker.feed(html)
     walker.close()
     walker.flush()
-    return walker.blocks
+    blocks = walker.blocks
+    own = ARTICLE if any(kind == ARTICLE for kind, _, _ in blocks) else REST
+    sizes = [len(text) if kind == own else 0 for kind, text, _ in blocks]
+    named = sum(n for n, (_, _, mark) in zip(sizes, blocks) if mark)
+    # A name only votes: what holds nearly all of the text is the text, whatever it is called.
+    believed = sum(sizes) - named >= LEAST_LEFT * sum(sizes)
+    return [(JUNK if mark and (believed or kind != own) else kind, text) for kind, text, mark in blocks]
 
 
 def suffix_classes(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:

@@ -133,3 +133,14 @@ def test_names_inside_articles_and_deep_pages():
     assert [t for k, t in main_text.blocks_of(slugs) if k == main_text.ARTICLE] == ["x", "y"]
     deep = "<div><span>" * 50_000 + "end" + "<p>" * 50_000 + "x" * 1_000_000
     assert [t[:3] for _, t in main_text.blocks_of(deep)] == ["end", "xxx"]
+
+
+def test_names_vote_by_all_their_words():
+    inside = '<article><p>text of it</p><div id="comments">c1</div><ul class="comment-list"><li>c2</ul><div class="ad-slot">c3</div><div class="x cookie-notice">c4</div><div id="adSlot2">c5</div></article>'
+    assert [t for k, t in main_text.blocks_of(inside) if k == main_text.ARTICLE] == ["text of it"]
+    for name in ('class="social-history"', 'class="modal-verbs"', 'id="share-price-report"', 'id="related-work"', 'class="menu-of-the-day"', 'class="widget"', 'id="Comments"'):
+        page = f"<body><nav>n</nav><div {name}><h1>head</h1><p>whole text</p></div></body>"
+        assert [t for k, t in main_text.blocks_of(page) if k == main_text.REST] == ["head", "whole text"]
+    page = '<div><p>some words of the page</p></div><div class="commentThread"><p>reader says much more than the page itself does, as readers do</p></div>'
+    assert [t for k, t in main_text.blocks_of(page) if k == main_text.REST] == ["some words of the page"]
+    assert [t for k, t in main_text.blocks_of('<article><h2 id="comments">On comments</h2><div class="widget"><p>all</p></div></article>') if k == main_text.ARTICLE] == ["On comments"]
