@@ -23,8 +23,9 @@ import array
 import json
 import re
 import struct
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -103,11 +104,18 @@ class Segment:
 
 
 #: What the byte-level tokenizer cuts texts into before it merges, a fixed value.
-PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRETOKENS = r"'(?:[sdmt]|ll|ve|re)| ?[{L}]+| ?[{N}]+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 #: Texts of these characters alone are cut here; all libraries agree on their classes.
 PLAIN = re.compile(r"[\t\n\r !-~\u00a1-\u024f]*")
 
 
+def _plain_pretokens() -> re.Pattern:
+    """``PRETOKENS`` with the letters and numbers among the plain characters spelt out."""
+    plain = [c for c in map(chr, range(0x250)) if PLAIN.fullmatch(c)]
+    of = {kind: "".join(re.escape(c) for c in plain if unicodedata.category(c).startswith(kind)) for kind in "LN"}
+    return re.compile(PRETOKENS.replace("{L}", of["L"]).replace("{N}", of["N"]))
+
+
 def _byte_letters() -> dict[int, str]:
     """Letters that stand for bytes: visible Latin-1 characters for themselves, the others from U+0100 on."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -115,6 +123,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class _Numbers(dict):
+    """Numbers of pre-tokens; one that is not there yet is learnt."""
+
+    def __init__(self, learn: Callable[[str], int]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, token: str) -> int:
+        return self.learn(token)
+
+
 class CachedEncoder:
     """A byte-level BPE tokenizer behind a cache of its pre-tokens.
 
@@ -126,11 +145,10 @@ class CachedEncoder:
     """
 
     def __init__(self, path: str, limit: int = 500_000):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.model, self.pretokens, self.letters = self.tokenizer.model, regex.compile(PRETOKENS), _byte_letters()
+        self.model, self.pretokens, self.letters = self.tokenizer.model, _plain_pretokens(), _byte_letters()
         #: Whether the file cuts as PRETOKENS does, and changes no text before.
         parts = json.loads(self.tokenizer.to_str())
         cut, model = parts["pre_tokenizer"] or {}, parts["model"]
@@ -148,21 +166,21 @@ class CachedEncoder:
     def turn(self) -> None:
         self.old = getattr(self, "now", None)
         #: Pre-token to number; by number, where its ids start and how many there are.
-        self.now = ({}, array.array(self.kind), array.array("q"), array.array("I"))
+        self.now = (_Numbers(self._learn), array.array(self.kind), array.array("q"), array.array("I"))
 
-    def _learn(self, tokens: list[str]) -> None:
+    def _learn(self, token: str) -> int:
         index, flat, starts, lengths = self.now
         old, old_flat, old_starts, old_lengths = self.old
-        for token in tokens:
-            start = len(flat)
-            if (at := old.get(token)) is not None:
-                flat.extend(old_flat[old_starts[at] : old_starts[at] + old_lengths[at]])
-            else:
-                letters = token.encode().decode("latin-1").translate(self.letters)
-                flat.extend([t.id for t in self.model.tokenize(letters)])
-            index[token] = len(starts)
-            starts.append(start)
-            lengths.append(len(flat) - start)
+        start = len(flat)
+        if (at := old.get(token)) is not None:
+            flat.extend(old_flat[old_starts[at] : old_starts[at] + old_lengths[at]])
+        else:
+            letters = token.encode().decode("latin-1").translate(self.letters)
+            flat.extend([t.id for t in self.model.tokenize(letters)])
+        index[token] = number = len(starts)
+        starts.append(start)
+        lengths.append(len(flat) - start)
+        return number
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.now[0]) > self.limit:
@@ -173,7 +191,6 @@ class CachedEncoder:
         codes = []
         for text, p in zip(texts, plain):
             tokens = self.pretokens.findall(text) if p else []
-            self._learn([t for t in set(tokens) if t not in index])
             codes.append(np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens)))
         flat, starts, lengths = (np.frombuffer(a, d) if len(a) else np.zeros(0, d) for a, d in zip(self.now[1:], (self.dtype, np.int64, np.uint32)))
         out = []
