@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import new_path, partitions, stored
+from quaver.llm.common import new_path, partitions, remove, stored
 
 #: Bytes of unpacked keys and numbers that a bucket holds, about.
 BUCKET_BYTES = 24 << 20
@@ -94,15 +94,16 @@ def answer(replies: pd.DataFrame, kind) -> np.ndarray:
 
 @contextmanager
 def block_table(blocks: DataFrame, tag: str) -> Iterator[DataFrame]:
-    """``blocks`` as a table bucketed by block, so that only keys and answers are shuffled; dropped in the end."""
+    """``blocks`` as a table bucketed by block, so that only keys and answers are shuffled; dropped and deleted in the end."""
     spark = blocks.sparkSession
-    name = f"{tag}_{uuid.uuid4().hex}"
+    name, path = f"{tag}_{uuid.uuid4().hex}", new_path(spark, tag)
     try:
-        writer = blocks.write.bucketBy(partitions(spark), "block").option("compression", "zstd").option("path", new_path(spark, tag))
+        writer = blocks.write.bucketBy(partitions(spark), "block").option("compression", "zstd").option("path", path)
         writer.format("parquet").saveAsTable(name)
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
 
 
 def sent_by(blocks: DataFrame, columns: tuple[str, ...], function: Callable[..., pd.DataFrame]) -> DataFrame:

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm import exchange
-from quaver.llm.common import stored
+from quaver.llm.common import forget, stored
 from quaver.llm.textarrays import NOT_WHITE, Words, mix, text_slices
 
 BLOCK_BYTES = 6 << 20
@@ -227,6 +227,8 @@ def score_texts(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
         first = exchange.sent_by(blocks, columns, lambda row: exchange.messages(row.block, *Block(row).words_message(), buckets))
         answers = exchange.tallied(first, np.int64, 1, _sums, "lm-words")
         total, known = exchange.totals(answers)
+        # Stored rounds that are still read.
+        live = [answers]
         answers = answers.withColumn("round", F.lit(0))
 
         def grown(row, replies: pd.DataFrame, rounds: int) -> Block:
@@ -253,17 +255,23 @@ def score_texts(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BY
 
             sent = exchange.answered(blocks, columns, answers, send, exchange.MESSAGE)
             sent = stored(sent, "lm-states") if rounds >= CARRY else sent
-            more = exchange.tallied(sent.where("bucket >= 0"), np.int64, 1, _sums, "lm-level").withColumn("round", F.lit(rounds + 1))
+            level = exchange.tallied(sent.where("bucket >= 0"), np.int64, 1, _sums, "lm-level")
+            more = level.withColumn("round", F.lit(rounds + 1))
             if rounds >= CARRY:
                 # A state travels to its block as one more reply.
                 answers = more.unionByName(sent.where("bucket = -1").select("bucket", "block", "numbers", F.lit(0).alias("round")), allowMissingColumns=True)
+                forget(*live)
+                live = [sent, level]
             else:
                 answers = answers.unionByName(more)
+                live.append(level)
+                forget()
             if more.isEmpty():
                 break
             rounds += 1
 
         scores = stored(exchange.answered(blocks, columns, answers, lambda row, replies: grown(row, replies, rounds).scores(), SCORE), "lm-scores")
+        forget(*live)
     return scores.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
