@@ -17,10 +17,17 @@ from quaver.functions import astro as A
 
 def cubic_root(c: Column, m: Column) -> Column:
     """The positive root of ``c x^3 - x - m`` for positive c and m; there is one."""
-    p, q = 1 / (3 * c), m / (2 * c)
-    beyond = q * q - p * p * p
-    u = F.cbrt(q + F.sqrt(F.greatest(beyond, F.lit(0.0))))
-    return F.when(beyond >= 0, u + p / u).otherwise(2 * F.sqrt(p) * F.cos(F.acos(F.least(F.lit(1.0), q / F.pow(p, F.lit(1.5)))) / 3))
+
+    def root(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        beyond = q * q - p * p * p
+        u = F.cbrt(q + F.sqrt(F.greatest(beyond, F.lit(0.0))))
+        return F.when(beyond >= 0, u + p / u).otherwise(2 * F.sqrt(p) * F.cos(F.acos(F.least(F.lit(1.0), q / F.pow(p, F.lit(1.5)))) / 3))
+
+    # What c and m are made of is worked out once.
+    given = F.struct(c.alias("c"), m.alias("m"))
+    halves = F.transform(F.array(given), lambda s: F.struct((1 / (3 * s["c"])).alias("p"), (s["m"] / (2 * s["c"])).alias("q")))
+    return F.get(F.transform(halves, root), F.lit(0))
 
 
 def other_mass(mc: Column, mass: Column) -> Column:

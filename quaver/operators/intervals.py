@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.operators.ordered import bucketed, neighbours, running_sums
+from quaver.operators.ordered import bucketed, neighbours, row_numbers, running_sums
 
 
 def points_in(points: DataFrame, intervals: DataFrame, at: str) -> DataFrame:
@@ -130,3 +130,22 @@ def overlapping(intervals: DataFrame) -> DataFrame:
     order = [F.col("start"), F.col("end"), F.col("seg_id")]
     rows = _with_top(bucketed(intervals.where("start <= end"), order), order)
     return rows.where("start < _top").select(*intervals.columns)
+
+
+def numbered(intervals: DataFrame) -> DataFrame:
+    """Add ``number``, from 0 in order of start."""
+    order = [F.col("start"), F.col("seg_id")]
+    rows = row_numbers(bucketed(intervals, order), order, "_n")
+    return rows.select(*intervals.columns, (F.col("_n") - 1).alias("number"))
+
+
+def holding(intervals: DataFrame, points: DataFrame, at: str) -> DataFrame:
+    """Intervals, each once, that hold a point, ends included; empty if a veto has done its work.
+
+    The first point that does not come before an interval's start decides.
+    """
+    rows = intervals.where("start <= end").select(F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.struct(*intervals.columns).alias("_row"))
+    places = points.where(F.col(at).isNotNull()).select(F.col(at).cast("long").alias("_at"), F.lit(1).alias("_kind"))
+    order = [F.col("_at"), F.col("_kind"), F.col("_row.seg_id")]
+    swept = neighbours(bucketed(rows.unionByName(places, allowMissingColumns=True), order), order, {}, {"_next": F.when(F.col("_kind") == 1, F.col("_at"))})
+    return swept.where("_kind = 0 and _next <= _row.end").select("_row.*")

@@ -11,6 +11,19 @@ def read_events(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema("time double, stat double, var double").parquet(*paths)
 
 
+def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def read_blocks(spark: SparkSession, path: str, detectors: list[str], segments: tuple[int, int], blocks: tuple[int, int]) -> DataFrame:
+    """Blocks of a stored series: of some detectors, and from the first to the last segment and block of each range.
+
+    Detectors and segments are folders, so others are not opened; blocks are ordered in the files, so row groups without one are skipped.
+    """
+    rows = spark.read.schema("block bigint, samples array<double>, det string, seg bigint").parquet(path)
+    return rows.where(F.col("det").isin(detectors) & F.col("seg").between(*segments) & F.col("block").between(*blocks))
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """``seg_id, start, end`` of a CSV whose header leaves the first name blank."""
     return spark.read.schema("seg_id int, start bigint, end bigint").option("header", True).option("enforceSchema", True).csv(path)
