@@ -11,7 +11,9 @@ Equal fingerprints meet once, as one node. A posting with many fingerprints is
 not expanded into its pairs: a search that spreads from one fingerprint to the
 ones not yet reached finds its components and gives one edge a fingerprint. The
 edges of all postings are joined into components by alternating large-star and
-small-star steps, whose tables are written to the shared folder.
+small-star steps, whose tables are written to the shared folder. Large postings are
+split by a further byte, and rows of a key that very many share (a hub of a
+component, one fingerprint of many texts) are joined where they are.
 
 Defined results: a text without words has fingerprint zero and links like any
 other. Null ids count as no id: a component's id is the smallest id in it, null
@@ -26,13 +28,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm.common import partitions, stored
 
 BITS, SEED, SHINGLE = 4, 42, 4
 MATCHES = 8 - BITS
+#: Fingerprints that a posting holds at most without being split, and the share of rows that makes a key heavy.
+SPLIT, HEAVY = 4096, 1024
 
 
 def _triples() -> list[tuple[int, int, int]]:
@@ -153,32 +157,62 @@ def _posting_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield edges(held_key, held_fp)
 
 
-def link_edges(distinct: DataFrame) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints (column ``fp``)."""
+def link_edges(distinct: DataFrame, split: int = SPLIT) -> DataFrame:
+    """Edges ``a, b`` between distinct fingerprints (column ``fp``).
 
-    def byte(i: int):
+    A posting of more than ``split`` fingerprints is split: links in it agree in the posting's
+    three bytes and in one of the other five at least, so they meet under that byte.
+    """
+
+    def byte(i: int) -> Column:
         return F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))
 
     keys = [
         F.lit(k << 24).cast("long") + byte(x) * 65536 + byte(y) * 256 + byte(z) for k, (x, y, z) in enumerate(TRIPLES)
     ]
     posts = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    large = stored(posts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > split).select("key"), "postings")
+    if not large.isEmpty():
+        # No more keys than a split-th of all entries; Spark broadcasts them if they are few.
+        posts = posts.join(large.withColumn("_large", F.lit(True)), "key", "left")
+        others = F.array(*[F.array(*[F.lit(i) for i in range(8) if i not in t]) for t in TRIPLES])
+        rest = F.get(others, F.shiftright("key", 24).cast("int"))
+        finer = F.transform(rest, lambda i: F.xxhash64("key", i, _byte_at(i)))
+        posts = posts.select(F.explode(F.when(F.col("_large"), finer).otherwise(F.array("key"))).alias("key"), "fp")
     dealt = posts.repartition(partitions(distinct.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(_posting_edges, "a long, b long").distinct()
 
 
+def _byte_at(i: Column) -> Column:
+    """The i-th byte of ``fp``, by a column."""
+    bytes_ = F.array(*[F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255)) for k in range(8)])
+    return F.get(bytes_, i)
+
+
+def with_heavy(left: DataFrame, right: DataFrame, key: str, n: int) -> DataFrame:
+    """``left`` joined with ``right``, which has each key once with ``_n``, its rows in ``left``, of some n.
+
+    Keys of a ``HEAVY``-th of n rows or more, a small multiple of ``HEAVY`` at most, are broadcast, and their rows stay where
+    they are; only rows of other keys are shuffled.
+    """
+    heavy = F.broadcast(right.where(F.col("_n") >= max(2, n // HEAVY)).drop("_n"))
+    light = left.join(heavy.select(key), key, "left_anti").join(right.drop("_n"), key)
+    return left.join(heavy, key).unionByName(light)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of an edge; the root is the smallest node."""
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, n: int) -> DataFrame:
         both = pairs.union(pairs.select("b", "a")) if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
+        least = stored(least, "cc-least")
+        joined = with_heavy(both, least, "a", n)
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return stored(out.where("a <> b").distinct(), "cc")
 
     def mark(pairs: DataFrame):
         return pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -187,18 +221,22 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := mark(pairs)) != before and now[0]:
         before = now
-        pairs = stored(star(star(pairs, True), False), "cc")
+        pairs = star(star(pairs, True, now[0]), False, now[0])
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b")).distinct()
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:
     """Add ``component_id`` and ``root``, the component's least fingerprint, to stored rows with ``doc_id`` and ``fp``."""
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "fingerprints")
     roots = components(link_edges(distinct))
-    by_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    by_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("_n").alias("_copies"))
     by_root = stored(by_root, "roots")
-    least = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(by_root.select("fp", "root").join(least, "root"), "fp").select(*rows.columns, "component_id", "root")
+    # Two numbers.
+    n, n_rows = by_root.agg(F.count("*"), F.coalesce(F.sum("_copies"), F.lit(0))).first()
+    least = stored(by_root.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")), "roots")
+    known = with_heavy(by_root.drop("least"), least, "root", n).withColumnRenamed("_copies", "_n")
+    known = stored(known.select("fp", "root", "component_id", "_n"), "roots")
+    return with_heavy(rows, known, "fp", n_rows).select(*rows.columns, "component_id", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -61,7 +61,21 @@ def test_links_of_close_fingerprints(spark):
     fps = sorted(fps)
     rows = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
     out = dict(simhash.near_duplicates(stored(rows, "t")).select("doc_id", "component_id").collect())
-    assert [out[i] for i in range(len(fps))] == plain_components(fps, list(range(len(fps))))
+    want = plain_components(fps, list(range(len(fps))))
+    assert [out[i] for i in range(len(fps))] == want
+    # Postings split down to a few fingerprints find what whole ones do.
+    distinct = stored(rows.select("fp"), "t")
+    whole, split = [{r["node"]: r["root"] for r in simhash.components(simhash.link_edges(distinct, n)).collect()} for n in (4096, 3)]
+    assert whole == split and len(whole) == sum(want.count(c) > 1 for c in want)
+
+
+def test_keys_that_a_third_of_rows_share(spark):
+    left = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(3000)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("_n"), F.max("v").alias("m"))
+    got = sorted(map(tuple, simhash.with_heavy(left, right, "k", 3000).collect()))
+    assert got == sorted((0 if i % 3 == 0 else i, i, 2997 if i % 3 == 0 else i) for i in range(3000))
+    hub = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(500, 501), (501, 502)], "a long, b long")
+    assert {r["node"]: r["root"] for r in simhash.components(hub).collect()} == {i: 0 for i in range(400)} | {i: 500 for i in (500, 501, 502)}
 
 
 def test_decontamination_matches_sql(spark):
