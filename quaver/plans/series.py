@@ -113,7 +113,7 @@ def noise_partition(spark, d):
         cut = W.cut(blocks, sizes.select("det", "seg", F.col("_n").alias("n"), begin.alias("begin")), R.BLOCK)
         path = f"{shared_folder(spark)}/noise-{mode}-{uuid.uuid4().hex}"
         sinks.write_blocks(cut, path)
-        rows = spark.read.parquet(path).groupBy("det", "seg").agg(F.sum(F.size("samples")).alias("n"), F.round(F.sum(F.aggregate("samples", F.lit(0.0), lambda t, x: t + x)), 4).alias("total"))
+        rows = sources.read_blocks(spark, path).groupBy("det", "seg").agg(F.sum(F.size("samples")).alias("n"), F.round(F.sum(F.aggregate("samples", F.lit(0.0), lambda t, x: t + x)), 4).alias("total"))
         rows = rows.select(F.lit(mode).alias("mode"), "det", F.col("seg").cast("long").alias("seg"), "n", "total")
         out = rows if out is None else out.unionByName(rows)
     return out

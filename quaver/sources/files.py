@@ -15,13 +15,18 @@ def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_blocks(spark: SparkSession, path: str, detectors: list[str], segments: tuple[int, int], blocks: tuple[int, int]) -> DataFrame:
-    """Blocks of a stored series: of some detectors, and from the first to the last segment and block of each range.
+def read_blocks(spark: SparkSession, path: str, detectors: list[str] | None = None, segments: tuple[int, int] | None = None, blocks: tuple[int, int] | None = None) -> DataFrame:
+    """Blocks of a stored series: all, or of some detectors, and from the first to the last segment and block of a range.
 
     Detectors and segments are folders, so others are not opened; blocks are ordered in the files, so row groups without one are skipped.
     """
     rows = spark.read.schema("block bigint, samples array<double>, det string, seg bigint").parquet(path)
-    return rows.where(F.col("det").isin(detectors) & F.col("seg").between(*segments) & F.col("block").between(*blocks))
+    if detectors is not None:
+        rows = rows.where(F.col("det").isin(detectors))
+    for column, span in (("seg", segments), ("block", blocks)):
+        if span is not None:
+            rows = rows.where(F.col(column).between(*span))
+    return rows
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
