@@ -44,10 +44,19 @@ def blackout(a: Column, median: Column, ratio: float, value: float = 999_999_999
     return F.zip_with(a, median, lambda x, m: F.when(x > m * ratio, value).otherwise(x))
 
 
+def trapezoid(a: Column, step: float = 1.0) -> Column:
+    """The area under values at equal steps; null of none."""
+    return (_sum(a) - (F.get(a, F.lit(0)) + F.get(a, F.size(a) - 1)) / 2) * step
+
+
 def band_integral(a: Column, first: int, last: int, step: float) -> Column:
     """Trapezoids over the bins first to last."""
-    part = F.slice(a, first + 1, last - first + 1)
-    return (_sum(part) - (F.element_at(part, 1) + F.element_at(part, -1)) / 2) * step
+    return trapezoid(F.slice(a, first + 1, last - first + 1), step)
+
+
+def bins_in(a: Column, bands: tuple[tuple[int, int], ...]) -> Column:
+    """The bins inside of bands, which are open at both ends, one band after another."""
+    return F.concat(*[F.slice(a, low + 2, high - low - 1) for low, high in bands])
 
 
 def per_position(df: DataFrame, array: str) -> DataFrame:

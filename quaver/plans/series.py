@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from quaver.operators import counters as K
 from quaver.operators import intervals as I
 from quaver.operators import search as S
 from quaver.operators import series as W
-from quaver.session import shared_folder
+from quaver.session import new_path
 from quaver.sinks import files as sinks
 from quaver.sources import files as sources
 from quaver.sources import roles as R
@@ -55,7 +53,7 @@ def search_end_to_end(spark, d):
     raw = W.scored(_windows(spark, d).select("index", "time", *R.DETECTORS), loudness, list(R.DETECTORS))
     triggers = raw.where(F.col("raw") > THRESHOLD).select(F.col("index").alias("event_id"), "time", F.col("raw").alias("stat"))
     events = S.clusters(triggers, GAP).select(F.col("time").cast("double").alias("time"), "stat", F.lit(VAR).alias("var"))
-    path = f"{shared_folder(spark)}/event-file-{uuid.uuid4().hex}"
+    path = new_path(spark, "event-file")
     sinks.write_events(events, path)
     return sources.read_events(spark, [path])
 
@@ -111,7 +109,7 @@ def noise_partition(spark, d):
         moved = K.whole(F.col("seg"), SEED + 1, F.least(F.lit(NOISE["slide"]), F.col("n") - F.col("_at") - F.col("_n")) + 1)
         begin = F.col("_at") + F.when(F.col("det") == R.DETECTORS[0], F.lit(0)).otherwise(moved)
         cut = W.cut(blocks, sizes.select("det", "seg", F.col("_n").alias("n"), begin.alias("begin")), R.BLOCK)
-        path = f"{shared_folder(spark)}/noise-{mode}-{uuid.uuid4().hex}"
+        path = new_path(spark, f"noise-{mode}")
         sinks.write_blocks(cut, path)
         rows = sources.read_blocks(spark, path).groupBy("det", "seg").agg(F.sum(F.size("samples")).alias("n"), F.round(F.sum(F.aggregate("samples", F.lit(0.0), lambda t, x: t + x)), 4).alias("total"))
         rows = rows.select(F.lit(mode).alias("mode"), "det", F.col("seg").cast("long").alias("seg"), "n", "total")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quaver.functions import astro as A
@@ -14,7 +12,7 @@ from quaver.operators import report as E
 from quaver.operators import samples as M
 from quaver.plans import compare, search
 from quaver.plans.vectors import _samples
-from quaver.session import shared_folder, table
+from quaver.session import new_path, table
 from quaver.sinks import files as sinks
 from quaver.sources import files as sources
 from quaver.sources import roles as R
@@ -83,7 +81,7 @@ def epoch_report(spark, d):
 
 def _stored_evaluation(rows, tag: str):
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     sinks.write_evaluation(rows, path)
     return sources.read_evaluation(spark, path)
 
@@ -134,7 +132,7 @@ def segment_checks(spark, d):
 
 def strain_slice(spark, d):
     """One detector's samples of a few segments between two blocks, read back from the stored series: folders and row groups beyond are not read."""
-    path = f"{shared_folder(spark)}/series-{uuid.uuid4().hex}"
+    path = new_path(spark, "series")
     sinks.write_blocks(R.strain(spark, d), path)
     rows = sources.read_blocks(spark, path, ["L1"], (3, 9), (1, 2))
     return rows.select("det", "seg", "block", F.size("samples").alias("n"), *_tell("samples"))
