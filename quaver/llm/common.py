@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaver.session import new_path, remove, shared_folder, stored
+
+__all__ = ["WHITE", "arrow_rows", "ascii_lower", "forget", "new_path", "partitions", "read", "remove", "shared_folder", "small_batches", "stored", "words"]
+
 #: ASCII white space, as the contracts' word patterns exclude it.
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -19,40 +21,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset a local
-    master gets a temporary folder; a cluster without the setting is an error,
-    as no local folder can stand in for a shared one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="quaver-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of so many rows, which bounds a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def forget(*frames: DataFrame) -> None:
     """Delete stored tables that nothing will read again, and let Spark drop the shuffles of jobs that are over."""
     for df in frames:
@@ -63,11 +31,6 @@ def forget(*frames: DataFrame) -> None:
     SparkSession.active().sparkContext._jvm.System.gc()
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions inside send so many rows in a batch to Python; the session's own number comes back after them."""

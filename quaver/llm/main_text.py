@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaver.llm import exchange
-from quaver.llm.common import small_batches, stored
+from quaver.llm.common import forget, small_batches, stored
 from quaver.llm.exchange import packed, unpacked
 from quaver.llm.textarrays import NOT_WHITE, Words, mix
 from quaver.llm.url_filter import host
@@ -449,6 +449,7 @@ def main_texts(pages: DataFrame, block_bytes: int = BLOCK_BYTES, array: bool = T
         runs = kind(exchange.tallied(runs, np.uint32, 2, _pages, "main-text-runs"), "run")
         out = exchange.answered(blocks, ("page_ids", "urls", *source[:3], "hosts"), grams.union(runs).union(hosts), finish, OUT)
         out = stored(out, "main-texts")
+        forget(firsts, hosts, grams, runs)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated")
 
 
