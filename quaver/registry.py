@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaver.plans import compare, curation, draws, search, series, spans, spectra, tables, training, vectors
+from quaver.plans import compare, curation, datasets, draws, search, series, spans, spectra, tables, training, vectors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | series.QUERIES | compare.QUERIES | draws.QUERIES | spans.QUERIES | tables.QUERIES | vectors.QUERIES | spectra.QUERIES | training.QUERIES | curation.QUERIES
-ORACLES: dict[str, str] = search.ORACLES | series.ORACLES | compare.ORACLES | draws.ORACLES | spans.ORACLES | tables.ORACLES | vectors.ORACLES | spectra.ORACLES | training.ORACLES | curation.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = search.QUERIES | series.QUERIES | compare.QUERIES | draws.QUERIES | spans.QUERIES | tables.QUERIES | vectors.QUERIES | spectra.QUERIES | training.QUERIES | curation.QUERIES | datasets.QUERIES
+ORACLES: dict[str, str] = search.ORACLES | series.ORACLES | compare.ORACLES | draws.ORACLES | spans.ORACLES | tables.ORACLES | vectors.ORACLES | spectra.ORACLES | training.ORACLES | curation.ORACLES | datasets.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

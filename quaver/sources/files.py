@@ -29,6 +29,19 @@ def read_blocks(spark: SparkSession, path: str, detectors: list[str] | None = No
     return rows
 
 
+def read_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """The lookup table of a data set in shards."""
+    return spark.read.parquet(f"{path}/lookup")
+
+
+def read_samples(spark: SparkSession, path: str, lookup: DataFrame) -> DataFrame:
+    """The samples that rows of a lookup table point to, by class, shard and place; classes and shards are folders."""
+    data = spark.read.parquet(f"{path}/data").withColumns({"class": F.col("class").cast("string"), "shard": F.col("shard").cast("long")})
+    keys = {"class": F.regexp_extract("path", "class=([^/]*)", 1), "shard": F.regexp_extract("path", "shard=([0-9]+)", 1).cast("long")}
+    again = [c for c in data.columns if c in lookup.columns and c != "row"]
+    return lookup.withColumns(keys).join(data.drop(*again), ["class", "shard", "row"]).drop("class", "shard")
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """``seg_id, start, end`` of a CSV whose header leaves the first name blank."""
     return spark.read.schema("seg_id int, start bigint, end bigint").option("header", True).option("enforceSchema", True).csv(path)

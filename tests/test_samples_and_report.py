@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from quaver.functions import astro
 from quaver.operators import intervals, report, samples
+from quaver.sinks import dataset
 from quaver.sinks import files as sinks
 from quaver.sources import files as sources
 
@@ -97,3 +99,20 @@ def test_vetoes_numbers_and_stored_slices(spark, tmp_path):
     part = sources.read_blocks(spark, f"file://{tmp_path}/s", ["H1"], (1, 2), (2, 4))
     assert sorted((r["det"], r["seg"], r["block"]) for r in part.collect()) == [("H1", s, b) for s in (1, 2) for b in (2, 3, 4)]
     assert "PartitionFilters: [" in (plan := part._jdf.queryExecution().toString()) and "det" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_a_data_set_in_shards(spark, tmp_path):
+    rows = spark.createDataFrame([(i, int(i % 4 == 0), [float(i)], "x") for i in range(90)], "id long, target int, a array<double>, path string")
+    where = f"file://{tmp_path}/d"
+    dataset.write_dataset(rows, where, "id", "target", 10, 3)
+    lookup = sources.read_lookup(spark, where)
+    found = sources.read_samples(spark, where, lookup).collect()
+    assert sorted(r["id"] for r in found) == list(range(90)) and all(r["a"] == [float(r["id"])] for r in found)
+    sizes = {}
+    for r in found:
+        sizes.setdefault(r["path"], []).append(r["row"])
+    assert sorted(map(len, sizes.values())) == [3, 7, 10, 10, 10, 10, 10, 10, 10, 10] and all(sorted(v) == list(range(len(v))) for v in sizes.values())
+    some = sources.read_samples(spark, where, lookup.where("id in (8, 9)")).collect()
+    assert {(r["id"], r["target"]) for r in some} == {(8, 1), (9, 0)}
+    with pytest.raises(Exception, match="already exists"):
+        dataset.write_dataset(rows, where, "id", "target", 10, 3)
