@@ -96,3 +96,11 @@ def test_decontamination_of_hard_rows(spark):
         (15, 13, ["1", "5"]), (12, 2, ["5"]), (6, 5, ["", "2"]), (0, 0, []), (0, 0, []), (800, 800, ["5"])]
     assert decontaminate.find_contamination(frame, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.find_contamination(frame.limit(0), bench).count() == 0
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    text = " ".join(f"w{i % 977}" for i in range(150_000)) + " " + item.upper()
+    docs = spark.createDataFrame([(1, 1, text), (2, 2, item)], "doc_id long, row long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.find_contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {1: (150_030, 30, ["7"]), 2: (30, 30, ["7"])}

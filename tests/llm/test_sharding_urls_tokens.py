@@ -132,3 +132,10 @@ def test_a_file_with_a_normaliser_is_left_to_the_library(tmp_path):
     encoder = token_store.CachedEncoder(str(tmp_path / "t.json"))
     assert not encoder.known and token_store.CachedEncoder(public_tokenizers.path("byte_bpe_50k.json")).known
     assert list(encoder.encode(["Some UPPER Words"])[0]) == changed.encode("Some UPPER Words").ids
+
+
+def test_very_long_urls(spark):
+    long = "http://Example.com/en/" + "a" * 300_000
+    pages = spark.createDataFrame([(1, long), (2, long + "?" + "q" * 100_000), (3, "x" * 200_000), (4, "http://" + "h" * 150_000)], "page_id long, url string")
+    got = {r["page_id"]: (r["host"], len(r["path"]), r["rule"]) for r in url_filter.judge(pages, url_filter.respelled(pages.limit(0))).collect()}
+    assert got == {1: ("example.com", 300_004, "example.com/en/"), 2: ("example.com", 300_004, "example.com/en/"), 3: ("", 0, None), 4: ("h" * 150_000, 0, None)}
