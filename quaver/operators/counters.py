@@ -35,14 +35,16 @@ def round_keys(seed: int, stream: int = 0) -> list[int]:
 def draw(counter: Column, seed: int, stream: int = 0) -> Column:
     """A whole number from 0 to ``RANGE - 1``; null for a null counter."""
     c = counter.cast("long")
-    halves = F.struct(c.bitwiseAND(F.lit(MASK)).alias("x"), F.shiftrightunsigned(c, 32).alias("y"))
+    # Both halves in one long, the one that is multiplied next above the other.
+    state = F.shiftleft(c, 32).bitwiseOR(F.shiftrightunsigned(c, 32))
 
     def turn(s: Column, key: Column) -> Column:
-        product = s["x"] * F.lit(MULTIPLIER)
-        return F.struct(F.shiftright(product, 32).bitwiseXOR(key).bitwiseXOR(s["y"]).alias("x"), product.bitwiseAND(F.lit(MASK)).alias("y"))
+        product = F.shiftrightunsigned(s, 32) * F.lit(MULTIPLIER)
+        mixed = F.shiftright(product, 32).bitwiseXOR(key).bitwiseXOR(s.bitwiseAND(F.lit(MASK)))
+        return F.shiftleft(mixed, 32).bitwiseOR(product.bitwiseAND(F.lit(MASK)))
 
     keys = F.array(*[F.lit(k).cast("long") for k in round_keys(seed, stream)])
-    return F.aggregate(keys, halves, turn, lambda s: s["x"] * F.lit(1 << 21) + F.shiftright(s["y"], 11))
+    return F.aggregate(keys, state, turn, lambda s: F.shiftrightunsigned(s, 11))
 
 
 def draws(counter: np.ndarray, seed: int, stream: int = 0) -> np.ndarray:

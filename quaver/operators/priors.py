@@ -12,8 +12,8 @@ from quaver.functions.bounds import Triangle
 from quaver.operators import counters
 from quaver.session import stored
 
-#: Trials of a row in a round, and trials under one counter.
-TRIALS, EPOCH = 32, 1024
+#: Trials of a row in the first round, and trials under one counter.
+TRIALS, EPOCH = 8, 1024
 
 
 def bounded(df: DataFrame, id_: str, kind: str, triangle: Triangle, seed: int, limits: tuple[float, float] | None = None) -> DataFrame:
@@ -56,12 +56,12 @@ def trial(counter: Column, number: Column, seed: int, axis: int) -> Column:
 def rejected_until_accepted(df: DataFrame, id_: str, low: list[float], high: list[float], accept: Callable[..., Column], seed: int, trials: int = TRIALS) -> DataFrame:
     """Add ``trial`` and ``point``, the first draw of a box that ``accept`` takes, for every row.
 
-    A round tries the next ``trials`` draws of each row that is left and stores what it found; rounds go
-    on until no row is left. Ids are not null; rows of one id draw alike.
+    A round tries the next ``trials`` draws of each row that is left, twice as many as the round before, and
+    stores what it found; rounds go on until no row is left. Ids are not null; rows of one id draw alike.
     """
     left, found, first = df, None, 0
     while True:
-        shift = seed + first // EPOCH
+        shift, trials = seed + first // EPOCH, min(trials, EPOCH - first % EPOCH)
         number = lambda i: i.cast("long") + F.lit(first)
         draws = F.transform(
             F.sequence(F.lit(0), F.lit(trials - 1)),
@@ -71,7 +71,7 @@ def rejected_until_accepted(df: DataFrame, id_: str, low: list[float], high: lis
         tried = stored(left.withColumn("_taken", taken), "trials")
         kept = tried.where("_taken is not null").select(*df.columns, "_taken.trial", "_taken.point")
         found = kept if found is None else found.unionByName(kept)
-        left, first = tried.where("_taken is null").select(*df.columns), first + trials
+        left, first, trials = tried.where("_taken is null").select(*df.columns), first + trials, min(2 * trials, EPOCH)
         if left.isEmpty():
             return found
 

@@ -106,6 +106,7 @@ def drawn(df: DataFrame, id_: str, spec: Spec, seed: int, trials: int = TRIALS)
     place = counters.draw(F.col(id_), seed, 0) * EPOCH + F.pmod(F.col("trial"), F.lit(EPOCH))
     left, found, first = df.select(id_), None, 0
     while True:
+        trials = min(trials, EPOCH - first % EPOCH)
         tried = left.withColumn("trial", F.explode(F.sequence(F.lit(first), F.lit(first + trials - 1)))).withColumn("_place", place)
         columns: dict[str, Column] = {}
         for i, (names, kind, options) in enumerate(spec.priors):
