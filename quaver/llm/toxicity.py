@@ -181,12 +181,15 @@ class Model:
 
 
 def monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted isotonic fit of y on x by pooling neighbours out of order; knots for interpolation."""
-    order = np.argsort(x, kind="stable")
+    """Weighted isotonic fit of y on x by pooling neighbours out of order; knots for interpolation.
+
+    Equal x are one point before any pooling: else their first y can tie them to all that lies before.
+    """
+    points, at = np.unique(x, return_inverse=True)
     pools: list[list[float]] = []
-    for a, b, c in zip(x[order], y[order], w[order]):
-        pools.append([b * c, c, a, a])
-        while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1] or pools[-2][3] == pools[-1][2]):
+    for a, s, c in zip(points, np.bincount(at, y * w), np.bincount(at, w)):
+        pools.append([s, c, a, a])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, t, _, hi = pools.pop()
             pools[-1][0] += s
             pools[-1][1] += t

@@ -120,6 +120,14 @@ def test_monotone_fit():
     assert list(y) == sorted(y) and y[0] == 0 and y[-1] == 1
 
 
+def test_monotone_fit_of_tied_votes():
+    # Votes of 0 and 1 alone, one clean example among those of 1, as on large tables of like texts.
+    x, y = toxicity.monotone(np.array([0.0] * 5 + [1.0] * 5), np.array([0.0] * 6 + [1.0] * 4), np.ones(10))
+    assert list(x) == [0, 1] and np.allclose(y, [0, 0.8])
+    x, y = toxicity.monotone(np.array([0.0, 0.0, 0.5, 0.5, 1.0, 1.0]), np.array([0.0, 1.0, 0.0, 0.0, 0.0, 1.0]), np.array([1.0, 1, 1, 1, 1, 3]))
+    assert np.allclose(np.interp([0, 0.5, 1], x, y), [0.25, 0.25, 0.75])
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").toPandas()
