@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.operators.ordered import bucketed, neighbours, row_numbers, running_sums
+from quaver.session import stored
+
+#: Intervals of one side that are paired in one tile; it does not bear on the result.
+TILE = 4096
 
 
 def points_in(points: DataFrame, intervals: DataFrame, at: str) -> DataFrame:
@@ -84,6 +88,31 @@ def intersect(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:
     return rows.select("left_id", "right_id", F.col("a").alias("start"), F.col("b").alias("end"))
 
 
+def overlaps(left: DataFrame, right: DataFrame, width: int, tile: int = TILE) -> DataFrame:
+    """All pairs of two lists (``left_id``, ``right_id``) of intervals with a common part, and that part.
+
+    Intervals of one list may overlap. Those of both meet in buckets of ``width``, about an interval's length,
+    and each pair in the one where its part begins. A bucket of very many intervals is cut into tiles of so many of
+    each side, so a task holds no more than a tile's, and a bucket of any size goes to as many tasks as its pairs need.
+    """
+
+    def placed(df: DataFrame, side: str) -> DataFrame:
+        buckets = F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))
+        return stored(df.where("start < end").select(side, "start", "end", F.explode(buckets).alias("_b")), "overlaps")
+
+    def tiled(df: DataFrame, side: str, own: str, other: str) -> DataFrame:
+        rows = df.join(cuts, "_b").withColumn(own, F.pmod(F.xxhash64(side, "start", "end"), f"_n{own}"))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_n{other}") - 1)))
+        return rows.select("_b", "_l", "_r", side, F.col("start").alias(f"_s{own}"), F.col("end").alias(f"_e{own}"))
+
+    left, right = placed(left, "left_id"), placed(right, "right_id")
+    needed = [df.groupBy("_b").agg(F.ceil(F.count("*") / tile).alias(name)) for df, name in ((left, "_n_l"), (right, "_n_r"))]
+    cuts = stored(needed[0].join(needed[1], "_b"), "overlaps-cuts")
+    pairs = tiled(left, "left_id", "_l", "_r").join(tiled(right, "right_id", "_r", "_l"), ["_b", "_l", "_r"])
+    pairs = pairs.select("_b", "left_id", "right_id", F.greatest("_s_l", "_s_r").alias("start"), F.least("_e_l", "_e_r").alias("end"))
+    return pairs.where(f"start < end and start div {width} = _b").drop("_b")
+
+
 def subtract(intervals: DataFrame, vetoes: DataFrame, least: int) -> DataFrame:
     """What vetoes leave of disjoint intervals, in pieces longer than ``least``."""
     rows = _swept(intervals.select("start", "end").where("start < end"), coalesce(vetoes.select("start", "end")), {})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaver.operators import intervals as I
+from quaver.session import stored
 from quaver.sources import roles as R
 
 HOUR = 3600 * R.SECOND
@@ -31,13 +32,11 @@ def _padded(spark, d):
 
 
 def _intersect(spark, d):
-    """Common observing time, two seconds at least, of two lists of merged spans, of odd and of even users."""
-    rows = R.segments(spark, d, SHORT)
-    sides = []
-    for side, odd in (("left_id", 1), ("right_id", 0)):
-        merged = I.coalesce(rows.where(f"seg_id div 1000000 % 2 = {odd}").select("start", "end"))
-        sides.append(merged.withColumn(side, F.expr(f"start div {R.SECOND}")))
-    return I.intersect(*sides, 2 * R.SECOND)
+    """Common observing time of every odd user's span with every even user's."""
+    rows = stored(R.segments(spark, d, SHORT), "spans")
+    left = rows.where("seg_id div 1000000 % 2 = 1").select(F.col("seg_id").alias("left_id"), "start", "end")
+    right = rows.where("seg_id div 1000000 % 2 = 0").select(F.col("seg_id").alias("right_id"), "start", "end")
+    return I.overlaps(left, right, HOUR)
 
 
 QUERIES = {
@@ -84,18 +83,9 @@ ORACLES = {
         'hit AS (SELECT hr.start AS h0, hr."end" AS h1, co.start AS v0, co."end" AS v1 FROM hr JOIN co ON co.start < hr."end" AND co."end" > hr.start)',
     ),
     "interval_intersect": _sql(
-        f"""SELECT a.start // {R.SECOND} AS left_id, b.start // {R.SECOND} AS right_id, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end"
-        FROM odd_users a JOIN even_users b ON least(a."end", b."end") - greatest(a.start, b.start) >= {2 * R.SECOND}""",
-        _SHORT, *[
-            part
-            for side, odd in (("odd", 1), ("even", 0))
-            for part in (
-                f'{side}_m AS (SELECT start, "end", max("end") OVER (ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM sh WHERE seg_id // 1000000 % 2 = {odd})',
-                f'{side}_i AS (SELECT *, sum(CASE WHEN start <= top THEN 0 ELSE 1 END) OVER (ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS i FROM {side}_m)',
-                f'{side}_users AS (SELECT min(start) AS start, max("end") AS "end" FROM {side}_i GROUP BY i)',
-            )
-        ],
-    ),
+        """SELECT a.seg_id AS left_id, b.seg_id AS right_id, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM sh a JOIN sh b
+        ON a.seg_id // 1000000 % 2 = 1 AND b.seg_id // 1000000 % 2 = 0 AND greatest(a.start, b.start) < least(a."end", b."end")""", _SHORT
+    ),
     "cumulative_offsets": _sql(
         'SELECT seg_id, start, "end", (sum("end" - start) OVER (ORDER BY start, seg_id ROWS UNBOUNDED PRECEDING) - ("end" - start))::BIGINT AS "offset" FROM sh', _SHORT
     ),

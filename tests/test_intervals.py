@@ -1,7 +1,9 @@
 import math
 import random
 
+from pyspark.sql import functions as F
 from quaver.operators import intervals
+from quaver.plans import spans as plans
 
 
 def spans(rng, n, longest, reach=1000):
@@ -65,3 +67,21 @@ def test_lists_that_overlap_are_told(spark):
     rows = frame(spark, [(0, 0, 5), (1, 5, 9), (2, 8, 12), (3, 20, 30), (4, 22, 23)])
     assert sorted(r["seg_id"] for r in intervals.overlapping(rows).collect()) == [2, 4]
     assert intervals.overlapping(rows.limit(0)).count() == 0
+
+
+def test_all_overlapping_pairs_of_two_lists(spark):
+    rng = random.Random(6)
+    for longest, width in ((3, 7), (60, 25), (900, 200)):
+        a, b = spans(rng, 120, longest), spans(rng, 90, longest)
+        left, right = frame(spark, a + [(500, None, 5), (501, 9, 3)]).withColumnRenamed("seg_id", "left_id"), frame(spark, b).withColumnRenamed("seg_id", "right_id")
+        want = sorted((i, j, max(s, t), min(e, f)) for i, s, e in a for j, t, f in b if max(s, t) < min(e, f))
+        for tile in (5, 4096):
+            assert sorted(map(tuple, intervals.overlaps(left, right, width, tile).collect())) == want
+
+
+def test_every_user_is_intersected(spark, tmp_path):
+    rows = [(i, f"2024-01-01 0{h}:{m}:00", user, "view", 1.0) for i, (user, h, m) in enumerate((u, h, m) for u, h, m in [(1, 0, 10), (1, 0, 40), (3, 0, 20), (3, 1, 30), (2, 0, 30), (2, 1, 0), (4, 0, 35), (4, 0, 50), (5, 3, 10)])]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"file://{tmp_path}/events.parquet")
+    got = plans.QUERIES["interval_intersect"](spark, f"file://{tmp_path}").collect()
+    assert sorted((r["left_id"] // 1000000, r["right_id"] // 1000000, (r["end"] - r["start"]) // 60_000_000) for r in got) == [(1, 2, 10), (1, 4, 5), (3, 2, 30), (3, 4, 15)]
