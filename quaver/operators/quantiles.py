@@ -1,10 +1,11 @@
-"""Exact quantiles of groups, by rounds of counts that narrow a rank to one bin.
+"""Exact quantiles of groups, by rounds of counts that narrow a rank to a few rows.
 
-A round cuts each open range of values at splitters, which a mergeable sketch of the values
-in it gives, counts exactly what equals each splitter and what lies between two, and keeps
-the bin that holds the wanted rank. Sketches and counts merge within each task before
-anything is sent, so a group with a third of all rows is some hundred numbers a task. A
-splitter is a bin of its own: values that very many rows share are settled at once, and
+A round sketches each open range of values once, takes from the sketch two splitters about
+where the wanted rank should be, and counts exactly what lies below, between and above them
+and what equals each; the part that holds the rank is the next range. Sketches and counts
+merge within each task before anything is sent, so a group with a third of all rows is some
+hundred numbers a task, and a row is compared with two splitters, whatever their number. A
+splitter is a part of its own: values that very many rows share are settled at once, and
 every round leaves fewer distinct values. What is left of a range once it has ``FEW`` rows is
 put in order, by one task a group.
 """
@@ -16,21 +17,31 @@ from pyspark.sql import functions as F
 
 from quaver.session import stored
 
-#: Bins a round, and the rows that are put in order in a group; neither bears on the result.
+#: Shares that a sketch tells, and the rows that are put in order in a group; neither bears on the result.
 BINS, FEW = 128, 4096
 KEY = ("g", "k")
 
 
 def _narrow(values: DataFrame, open_: DataFrame) -> DataFrame:
-    """One round over ``g, k, low, high, rank``: the wanted rank, from 0, is among the values from ``low`` to ``high``."""
-    held = values.join(open_, "g").where("v between low and high")
-    cuts = held.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.percentile_approx("v", [i / BINS for i in range(1, BINS)], 10 * BINS))).alias("cuts"))
-    # Even bins lie between splitters, odd ones are a splitter.
-    bin_ = 2 * F.size(F.filter("cuts", lambda c: c < F.col("v"))) + F.array_contains("cuts", F.col("v")).cast("int")
-    counts = held.join(cuts, [*KEY]).groupBy(*KEY, "rank", bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    upto = F.sum("n").over(Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    found = counts.withColumn("_upto", upto).where("rank < _upto and rank >= _upto - n")
-    return found.select(*KEY, "low", "high", (F.col("rank") - F.col("_upto") + F.col("n")).alias("rank"), "n")
+    """One round over ``g, k, low, high, rank, n``: the wanted rank, from 0, is among the n values from ``low`` to ``high``."""
+    # Only groups of over FEW rows are open, so these tables are small beside the values.
+    span = ["g", "low", "high"]
+
+    def held(spans: DataFrame) -> DataFrame:
+        return values.join(F.broadcast(spans), "g").where("v between low and high")
+
+    cuts = F.percentile_approx("v", [i / BINS for i in range(BINS + 1)], 10 * BINS)
+    sketches = held(open_.select(*span).distinct()).groupBy(*span).agg(cuts.alias("cuts"))
+    place = F.col("rank") * BINS / F.col("n")
+    below, above = F.greatest(F.floor(place) - 1, F.lit(0)), F.least(F.ceil(place) + 1, F.lit(BINS))
+    ends = [F.get("cuts", at.cast("int")).alias(name) for name, at in (("a", below), ("b", above))]
+    places = stored(open_.join(sketches, span).select(*span, "k", "rank", *ends), "quantile-places")
+    cut = [*span, "a", "b"]
+    part = F.expr("case when v < a then 0 when v = a then 1 when v < b then 2 when v = b then 3 else 4 end")
+    counts = held(places.select(*cut).distinct()).groupBy(*cut, part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    counts = counts.withColumn("_upto", F.sum("n").over(Window.partitionBy(*cut).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)))
+    found = places.join(counts, cut).where("rank < _upto and rank >= _upto - n")
+    return found.select(*KEY, F.col("least").alias("low"), F.col("most").alias("high"), (F.col("rank") - F.col("_upto") + F.col("n")).alias("rank"), "n")
 
 
 def order_statistics(values: DataFrame, ranks: DataFrame, few: int = FEW) -> DataFrame:
@@ -41,7 +52,7 @@ def order_statistics(values: DataFrame, ranks: DataFrame, few: int = FEW) -> Dat
         open_ = open_.where(f"n > {few} and low < high")
         if open_.isEmpty():
             break
-        open_ = stored(_narrow(values, open_.drop("n")), "quantile-round")
+        open_ = stored(_narrow(values, open_), "quantile-round")
     done = settled[0]
     for more in settled[1:]:
         done = done.unionByName(more)

@@ -24,6 +24,17 @@ def test_quantiles_of_hot_tied_and_odd_groups(spark):
     assert quantiles.quantiles(df.limit(0), ["name"], "x", [0.5]).count() == 0
 
 
+def test_a_quantile_round_reads_each_row_once_a_range(spark):
+    # Ranks that share a range share its work, and a row meets two splitters: no array of them, no lambda.
+    values = spark.range(20_000).selectExpr("struct(0 as _all) as g", "cast(id % 7919 as double) as v")
+    ranks = spark.createDataFrame([(k, 0.0, 7918.0, 20_000) for k in (999, 1000, 9999, 10_000, 18_999, 19_000)], "k long, low double, high double, n long")
+    ranks = ranks.selectExpr("struct(0 as _all) as g", "*")
+    want = sorted(i % 7919 for i in range(20_000))
+    assert {r["k"]: r["v"] for r in quantiles.order_statistics(values, ranks, 100).collect()} == {k: want[k] for k in (999, 1000, 9999, 10_000, 18_999, 19_000)}
+    plan = quantiles._narrow(values, ranks.withColumn("rank", F.col("k")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan.lower()
+
+
 def fold(segments, duration, offset, minimum, slide, buffer):
     """The running duration, a segment at a time."""
     past, out = 0, []
