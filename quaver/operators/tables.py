@@ -106,3 +106,12 @@ def best_so_far(epochs: DataFrame, epoch: str, loss: str) -> DataFrame:
     before = Window.orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
     improved = F.col(loss) < F.coalesce(F.min(loss).over(before), F.lit(float("inf")))
     return epochs.select(epoch, loss, F.min(loss).over(upto).alias("best"), improved.alias("improved"))
+
+
+def sides(df: DataFrame, first: Column, second: Column, columns: list[str]) -> DataFrame:
+    """The distinct rows of ``columns`` that only the first side has, the second, or ``both``; nulls are equal.
+
+    Each task sends a distinct row once, with the sides it was seen on; no side is joined with another.
+    """
+    seen = df.where(first | second).groupBy(*columns).agg(F.bool_or(F.coalesce(first, F.lit(False))).alias("_a"), F.bool_or(F.coalesce(second, F.lit(False))).alias("_b"))
+    return seen.select(*columns, F.when(F.col("_a") & F.col("_b"), "both").when(F.col("_a"), "first").otherwise("second").alias("side"))

@@ -47,36 +47,27 @@ def efficiency_by_level(spark, d) -> DataFrame:
     return counts.select("snr", "_n", F.inline("_f")).select("snr", "rank", "n_found", F.round(F.col("n_found") / F.col("_n"), 6).alias("efficiency"))
 
 
-def _team(spark, d, team: int) -> DataFrame:
-    return R.events(spark, d).where(F.col("user_id") % 2 == team).select(F.expr("time div 3600000000").alias("hour"), "event_type")
+def _sides(spark, d, *columns: str) -> DataFrame:
+    """Distinct values of the events of two teams, even and odd users, and the ``side`` that has them."""
+    rows = R.events(spark, d).select(F.expr("time div 3600000000").alias("hour"), "event_type", "stat", (F.col("user_id") % 2).alias("team"))
+    return T.sides(rows, F.col("team") == 0, F.col("team") == 1, list(columns))
 
 
 def unique_pairs(spark, d) -> DataFrame:
     """The pairs that only one team has, or both."""
-    a, b = _team(spark, d, 0), _team(spark, d, 1)
-    sides = {"first": a.subtract(b), "second": b.subtract(a), "both": a.intersect(b)}
-    out = None
-    for side, rows in sides.items():
-        rows = rows.withColumn("side", F.lit(side))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return _sides(spark, d, "hour", "event_type")
 
 
 def unique_values(spark, d) -> DataFrame:
-    return _team(spark, d, 0).select("hour").subtract(_team(spark, d, 1).select("hour"))
+    return _sides(spark, d, "hour").where("side = 'first'").select("hour")
 
 
 def unique_ratio_bins(spark, d) -> DataFrame:
     """By bins of stat, the first team's values that the second lacks for each of the second's that the first lacks, smoothed."""
-    rows = R.events(spark, d).select((F.col("user_id") % 2).alias("team"), "stat")
-    a, b = rows.where("team = 0").select("stat"), rows.where("team = 1").select("stat")
-
-    def bins(own: DataFrame, name: str) -> DataFrame:
-        return own.groupBy(F.floor(F.col("stat") / BIN).cast("long").alias("bin")).agg(F.count("*").alias(name))
-
-    both = bins(a.subtract(b), "n_first").join(bins(b.subtract(a), "n_second"), "bin", "full")
-    both = both.select("bin", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_first", "n_second")])
-    return both.withColumn("ratio", F.round((F.col("n_first") + SMOOTH) / (F.col("n_second") + SMOOTH), 6))
+    own = _sides(spark, d, "stat").where("side <> 'both'")
+    n = [F.count(F.when(F.col("side") == side, 1)).alias(f"n_{side}") for side in ("first", "second")]
+    rows = own.groupBy(F.floor(F.col("stat") / BIN).cast("long").alias("bin")).agg(*n)
+    return rows.withColumn("ratio", F.round((F.col("n_first") + SMOOTH) / (F.col("n_second") + SMOOTH), 6))
 
 
 def histogram_int_edges(spark, d) -> DataFrame:

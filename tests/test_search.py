@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from compare import connect, differences
+from pyspark.sql import functions as F
 from quaver import registry
 from quaver.operators import intervals, search, tables
 
@@ -61,3 +62,14 @@ def test_chunks_and_histogram(spark):
     sizes = sorted((r.chunk, r["count"]) for r in tables.chunks(rows, "k", 5).groupBy("chunk").count().collect())
     assert [n for _, n in sizes] == [3, 3, 3, 2, 2]
     assert dict(map(tuple, tables.histogram(rows, "k", 4).collect())) == {0: 3, 1: 3, 2: 3, 3: 4}
+
+
+def test_sides_of_odd_rows_without_a_join(spark):
+    rows = [(0, 5, "a"), (1, 5, "a"), (0, 5, None), (0, 5, None), (1, None, None), (0, None, None), (1, 6, "b"), (None, 7, "x"), (-1, 8, "x")]
+    df = spark.createDataFrame(rows, "team long, hour long, kind string")
+    got = tables.sides(df, F.col("team") == 0, F.col("team") == 1, ["hour", "kind"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(5, "a", "both"), (5, None, "first"), (None, None, "both"), (6, "b", "second")], key=str)
+    for name in ("unique_pairs", "unique_values", "unique_ratio_bins"):
+        frame = registry.QUERIES[name](spark, SF)
+        assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+        assert differences(frame, connect(SF), registry.ORACLES[name]) == ""
