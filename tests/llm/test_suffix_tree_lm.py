@@ -1,9 +1,11 @@
 import math
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, namedtuple
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from quaver.llm import exchange
 from quaver.llm import suffix_tree_lm as lm
 
 SF = "/root/testdata/sf0.001"
@@ -116,3 +118,25 @@ def test_contexts_of_a_small_corpus_stay_in_a_large_one(spark):
     trained = sum(not r["held_out"] for r in out)
     assert lm.MIN_COUNT <= trained <= 20 and out[0]["train_tokens"] > 20_000_000
     assert {r["n_states"] for r in out} == {2}
+
+
+def test_what_one_block_has_is_not_sent_and_keys_are_short():
+    words = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5, dtype=np.uint64))
+    tokens = np.array([0, 1, 2, 3] * 30 + [4], np.uint32)
+    row = namedtuple("Row", "block doc_ids lengths words tokens")("0-0", [7003], [len(tokens)], exchange.packed(words), exchange.packed(tokens))
+    counts, other = np.array([30, 30, 30, 30, 1], np.int64), np.array([0, 0, 1, 0, 1], np.int64)
+    ranks = lambda alone: exchange.packed(np.diff(np.arange((alone == 0).sum()), prepend=0).astype(np.uint32))
+    for alone, keys in ((np.ones(5, np.int64), 0), (other, 2)):
+        block, spaces = lm.Block(row), {0: 5, 1: 25}
+        reply = lm.Reply([{"bucket": 0, "numbers": exchange.packed(counts << 1 | alone), "ranks": ranks(alone)}], 1, 5, 1)
+        block.begin(reply, 121, 5)
+        block.examine(spaces)
+        # Of the pairs only 0 1 and 3 0 have no word that is in this block alone.
+        assert len(block.sent) == keys and len(block.next_hash) == 5
+        assert not (block.sent_keys & np.uint64((1 << 56) - 1)).any()
+        assert len(block.messages(1, spaces)) == 1
+
+
+def test_short_keys_are_distinct():
+    keys = lm._spread(np.arange(1 << 16, dtype=np.uint64), 16)
+    assert len(np.unique(keys)) == 1 << 16 and not (keys & np.uint64((1 << 48) - 1)).any()
