@@ -56,7 +56,7 @@ from quaver.llm import exchange
 from quaver.llm.common import forget, stored
 from quaver.llm.textarrays import NOT_WHITE, Words, mix, text_slices
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Occurrences that a context needs, in a corpus of any size.
 MIN_COUNT = 12
 #: Strength of the parent in a state, nats of the test, discount of the root.
